@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lattis.llm import bin_completion, simhash_bk
+from lattis.llm import bin_completion, chat_format, decontaminate, embedding_hnsw, language_bloom, quality_gbt, simhash_bk, warc
 
 
 def _tokenizer(name: str) -> str:
@@ -19,6 +19,32 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op2_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.archive(spark, _read(spark, sf_dir, "pages"))
+    return warc.read_records(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat_format.digests(chat_format.format_conversations(turns.unionByName(chat_format.check_row(spark))))
+
+
+def op5_quality_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_gbt.score_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op6_language_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_bloom.identify_documents(_read(spark, sf_dir, "documents"))
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op8_embedding_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_hnsw.near_duplicate_vectors(_read(spark, sf_dir, "embeddings"))
+
+
 def op9_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bin_completion.pack_documents(_read(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
@@ -28,8 +54,59 @@ def op10_simhash_bk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_warc_normaliser": op2_warc_normaliser,
+    "op3_chat_format": op3_chat_format,
+    "op5_quality_gbt": op5_quality_gbt,
+    "op6_language_bloom": op6_language_bloom,
+    "op7_decontaminate": op7_decontaminate,
+    "op8_embedding_hnsw": op8_embedding_hnsw,
     "op9_bin_completion": op9_bin_completion,
     "op10_simhash_bk": op10_simhash_bk,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_warc_normaliser": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+        d AS (SELECT page_id, sha1(payload) AS payload_digest, CAST(octet_length(payload) AS BIGINT) AS payload_bytes FROM p),
+        h AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) ELSE page_id END AS holder FROM d)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN page_id = holder OR holder IS NULL OR page_id IS NULL THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> holder THEN holder END AS refers_to
+        FROM h
+    """,
+    "op3_chat_format": r"""
+        WITH t AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+            UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+        ),
+        e AS (
+            SELECT *, length(replace(replace(replace(text, '\', '\\'), '###', '\h'), '</turn>', '\e')) AS coded FROM t
+        )
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               CAST(sum(length('### ') + length(role) + length(': ') + coded + length('</turn>') + 1) AS BIGINT) AS formatted_chars
+        FROM e GROUP BY conv_id
+    """,
+    "op8_embedding_hnsw": """
+        WITH RECURSIVE e AS (
+            SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+        ),
+        ok AS (
+            SELECT * FROM e WHERE label IS NOT NULL AND v IS NOT NULL AND len(v) > 0
+            AND len(list_filter(v, x -> x IS NULL OR NOT isfinite(x))) = 0 AND list_aggregate(v, 'max') IS NOT NULL
+            AND len(list_filter(v, x -> x <> 0)) > 0
+        ),
+        link AS (
+            SELECT a.vec_id AS x, b.vec_id AS y FROM ok a JOIN ok b ON a.label = b.label AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id
+            WHERE list_cosine_similarity(a.v, b.v) >= 0.98
+        ),
+        reach AS (SELECT vec_id AS x, vec_id AS y FROM e UNION SELECT r.x, l.y FROM reach r JOIN link l ON r.y = l.x),
+        c AS (SELECT x AS vec_id, min(y) AS component_id FROM reach GROUP BY x),
+        n AS (SELECT x AS vec_id, count(*) AS n_links FROM link GROUP BY x)
+        SELECT e.vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, component_id, e.vec_id = component_id AS kept
+        FROM e JOIN c USING (vec_id) LEFT JOIN n USING (vec_id)
+    """,
+}
