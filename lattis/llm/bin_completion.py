@@ -13,10 +13,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattis.llm.tokens import word_memo
+from lattis.llm.tokens import run_memo
 from lattis.session import materialize
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, idx long"
@@ -181,6 +182,18 @@ class Placement:
 # ------------------------------------------------------------- operators
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 2_000, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``rows`` rows and, but for one long text, ``size`` bytes of text."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < len(batch):
+            stop = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, side="right"))
+            stop = min(max(stop, at + 1), at + rows)
+            yield batch.slice(at, stop - at)
+            at = stop
+
+
 def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Token pieces of whole texts: each text's identifiers and ``end_id``.
 
@@ -189,23 +202,25 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: in
     ``idx`` number the pieces of a length within their task. Rows repeat as
     often as their document does.
     """
-    end = np.array([end_id], dtype="<u4").tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        encode = word_memo(tokenizer).encode
+        memo = run_memo(tokenizer)
+        end = np.array([end_id], dtype="<u4").tobytes()
         seen = np.zeros(capacity + 1, dtype=np.int64)
-        step = 4 * capacity
-        for batch in batches:
+        for some in _slices(batches):
+            texts = [t or "" for t in some.column(1).to_pylist()]
+            ids, bounds = memo.encode(texts)
             out: list[tuple] = []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encode(text.as_py() or "") + end
-                for piece, at in enumerate(range(0, len(ids), step)):
-                    own = ids[at : at + step]
-                    n = len(own) // 4
-                    out.append((key, piece, at // 4, n, zlib.crc32(own), part, seen[n]))
+            for key, a, b in zip(some.column(0).to_pylist(), bounds.tolist(), bounds.tolist()[1:]):
+                for piece, at in enumerate(range(a, b + 1, capacity)):
+                    stop = min(at + capacity, b)
+                    crc = zlib.crc32(ids[at:stop])
+                    n = stop - at
+                    if at + capacity > b:
+                        crc, n = zlib.crc32(end, crc), n + 1
+                    out.append((key, piece, at - a, n, crc, part, seen[n]))
                     seen[n] += 1
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
             columns = list(zip(*out)) if out else [()] * len(kinds)
