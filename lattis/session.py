@@ -74,3 +74,13 @@ def materialize(df: DataFrame, kind: str = "table") -> DataFrame:
     path = new_shared_path(spark, kind)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def deal(df: DataFrame, *keys: str, least: int = 0) -> DataFrame:
+    """``df`` dealt out by ``keys`` to the session's number of shuffle partitions, or ``least``.
+
+    A number that is asked for is kept: small rows that stand for much work
+    (a file, a shard) aren't put together by their size.
+    """
+    n = max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n, *keys)
