@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from lattis.llm.simhash_bk import merge
 from lattis.operators.components import connected_components
-from lattis.session import materialize
+from lattis.session import deal, materialize
 
 FOUND = "rep long, n long, root long"
 
@@ -233,7 +233,7 @@ def near_duplicate_vectors(
     placed = distinct.where("rep is not null").join(sizes, "group")
     shard = F.pmod(F.xxhash64("digest"), F.col("shards")).cast("int")
     members = placed.select("group", shard.alias("shard"), "rep", "mult", "v", "chunks")
-    graphs = materialize(members.repartition("group", "shard").sortWithinPartitions("group", "shard", "rep").mapInArrow(_build, "group string, shard int, chunks int, graph binary"), "graphs")
+    graphs = materialize(deal(members, "group", "shard").sortWithinPartitions("group", "shard", "rep").mapInArrow(_build, "group string, shard int, chunks int, graph binary"), "graphs")
     asked = placed.select(
         "group",
         F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"),
@@ -243,7 +243,7 @@ def near_duplicate_vectors(
         "v",
     )
     given = graphs.select("group", "shard", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("what"), F.lit(None).cast("long").alias("rep"), F.col("graph").alias("v"))
-    met = given.unionByName(asked).repartition("group", "shard", "chunk").sortWithinPartitions("group", "shard", "chunk", "what", "rep")
+    met = deal(given.unionByName(asked), "group", "shard", "chunk").sortWithinPartitions("group", "shard", "chunk", "what", "rep")
     found = materialize(met.mapInArrow(_ask(least, beam, recall, audit), FOUND), "found")
     counts = found.where("n is not null").groupBy("rep").agg(F.sum("n").alias("n"))
     roots = connected_components(found.where("root is not null").select(F.col("rep").alias("src"), F.col("root").alias("dst"))).toDF("rep", "component")

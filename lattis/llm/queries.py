@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lattis.llm import bin_completion, chat_format, decontaminate, embedding_hnsw, language_bloom, quality_gbt, simhash_bk, warc
+from lattis.llm import bin_completion, chat_format, decontaminate, embedding_hnsw, language_bloom, license_scan, quality_gbt, simhash_bk, token_counts, warc
 
 
 def _tokenizer(name: str) -> str:
@@ -19,6 +19,13 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = _tokenizer("byte_bpe_50k.tiktoken")
+    return token_counts.count_document_tokens(spark, _read(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN).select("doc_id", "n_tokens")
+
+
 def op2_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = warc.archive(spark, _read(spark, sf_dir, "pages"))
     return warc.read_records(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -29,6 +36,10 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.format_conversations(turns.unionByName(chat_format.check_row(spark))))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_documents(_read(spark, sf_dir, "documents"))
+
+
 def op5_quality_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_gbt.score_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
@@ -54,8 +65,10 @@ def op10_simhash_bk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_separator_scan": op1_separator_scan,
     "op2_warc_normaliser": op2_warc_normaliser,
     "op3_chat_format": op3_chat_format,
+    "op4_license_scan": op4_license_scan,
     "op5_quality_gbt": op5_quality_gbt,
     "op6_language_bloom": op6_language_bloom,
     "op7_decontaminate": op7_decontaminate,
@@ -96,8 +109,8 @@ ORACLE_SQL: dict[str, str] = {
         ),
         ok AS (
             SELECT * FROM e WHERE label IS NOT NULL AND v IS NOT NULL AND len(v) > 0
-            AND len(list_filter(v, x -> x IS NULL OR NOT isfinite(x))) = 0 AND list_aggregate(v, 'max') IS NOT NULL
-            AND len(list_filter(v, x -> x <> 0)) > 0
+            AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+            AND len(list_filter(v, lambda x: x <> 0)) > 0
         ),
         link AS (
             SELECT a.vec_id AS x, b.vec_id AS y FROM ok a JOIN ok b ON a.label = b.label AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattis.operators.components import connected_components
-from lattis.session import materialize
+from lattis.session import deal, materialize
 
 # ----------------------------------------------------------- fingerprints
 
@@ -207,7 +207,7 @@ def link_fingerprints(distinct: DataFrame, radius: int = 3, shard_size: int = 16
         if rows:
             yield search(np.concatenate(held))
 
-    return dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "fp").mapInArrow(run, "src long, dst long")
+    return deal(dealt, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "fp").mapInArrow(run, "src long, dst long")
 
 
 def near_duplicates(prints: DataFrame, radius: int = 3) -> DataFrame:
