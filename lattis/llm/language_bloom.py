@@ -217,7 +217,7 @@ def identify_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return found.select("doc_id", in_fold("doc_id").alias("held_out"), "x.*")
 
 
-def keep_identified(docs: DataFrame, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def keep_identified(docs: DataFrame, least: float = 0.4, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of ``docs`` whose text is in a learned language; columns as they are.
 
     A text goes if it has no letter, or if its language's filter contains

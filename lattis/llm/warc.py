@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattis.llm import files
-from lattis.session import materialize, new_shared_path
+from lattis.session import deal, materialize, new_shared_path
 
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -211,7 +211,7 @@ def read_records(index: DataFrame, run_bytes: int = 4 << 20) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds)], names=[x.split()[0] for x in names.split(", ")])
 
     runs = index.groupBy("file", F.floor(F.col("offset") / run_bytes).alias("run")).agg(F.collect_list(F.struct("offset", "length")).alias("spans"))
-    return runs.select("file", "spans").mapInArrow(run, names)
+    return deal(runs, "file", "run").select("file", "spans").mapInArrow(run, names)
 
 
 def archive(spark: SparkSession, pages: DataFrame, folder: str | None = None) -> DataFrame:
@@ -222,7 +222,7 @@ def archive(spark: SparkSession, pages: DataFrame, folder: str | None = None) ->
     """
     folder = folder or new_shared_path(spark, "warc")
     monoliths = materialize(write_monoliths(with_revisits(pages), f"{folder}/whole"), "whole")
-    index = materialize(normalise(monoliths.repartition("file"), f"{folder}/records"), "index")
+    index = materialize(normalise(deal(monoliths, "file", least=2 * monoliths.count()), f"{folder}/records"), "index")
     system, path = files.open_fs(f"{folder}/whole")
     if system.get_file_info(path).is_file is False and not monoliths.isEmpty():
         system.delete_dir(path)
