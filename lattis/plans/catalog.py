@@ -1,3 +1,4 @@
 """Importing this module registers every query."""
 from lattis.plans import topology  # noqa: F401
 from lattis.plans import integrity  # noqa: F401
+from lattis.plans import retrieval  # noqa: F401
