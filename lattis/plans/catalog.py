@@ -2,3 +2,4 @@
 from lattis.plans import topology  # noqa: F401
 from lattis.plans import integrity  # noqa: F401
 from lattis.plans import retrieval  # noqa: F401
+from lattis.plans import evaluation  # noqa: F401
