@@ -184,7 +184,7 @@ def train(docs: DataFrame, each: int = 1_500, vocabulary: int = 60_000, distinct
     counts = sample.repartition(8).mapInArrow(run, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
     totals = Window.partitionBy("lang")
     shares = counts.withColumn("total", F.sum("n").over(totals)).withColumn("share", F.col("n") / F.col("total"))
-    own = shares.withColumn("top", F.max("share").over(Window.partitionBy("key"))).where((F.col("n") >= 2) & (F.col("share") >= distinctive * F.col("top")))
+    own = shares.withColumn("top", F.max("share").over(Window.partitionBy("key"))).where(F.col("share") >= distinctive * F.col("top"))
     common = own.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "key"))).where(F.col("at") <= vocabulary)
     found = common.select("lang", "key", "share").toPandas()
     keys, held = [], []
