@@ -131,7 +131,9 @@ class Template:
 
 
 def scan(words: list[str], templates: list[Template], least: float, margin: float = 0.5) -> list[tuple[str, float, int, int]]:
-    """``(license, coverage, start, stop)`` of the best match of each license.
+    """``(license, coverage, start, stop)`` of the best match of each license, best first.
+
+    Words that a better covered license spans count for no other one.
 
     A template of which fewer than ``least`` of the words occur in the text
     can't be covered and isn't aligned. Others are aligned to each stretch
@@ -157,7 +159,11 @@ def scan(words: list[str], templates: list[Template], least: float, margin: floa
                 found = (len(run) / n, a + run[0][0], a + run[-1][0] + 1)
                 if found[0] >= least and (t.license not in best or (-found[0], found[1]) < (-best[t.license][0], best[t.license][1])):
                     best[t.license] = found
-    return [(name, *x) for name, x in sorted(best.items(), key=lambda x: (-x[1][0], x[0]))]
+    found: list[tuple[str, float, int, int]] = []
+    for name, (coverage, a, b) in sorted(best.items(), key=lambda x: (-x[1][0], x[0])):
+        if all(b <= c or a >= d for _, _, c, d in found):
+            found.append((name, coverage, a, b))
+    return found
 
 
 def _clusters(places: list[int], n: int, reach: int, least: float) -> Iterator[int]:
