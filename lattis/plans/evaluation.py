@@ -107,12 +107,12 @@ def router_cross_table(spark, sf_dir):
     return R.router_table(_firsts(spark, sf_dir), "hybrid", "vector")
 
 
-_cand_sql = "cand AS (SELECT l_orderkey AS qid, l_linenumber * 10000000000 + l_partkey * 100000 + l_suppkey AS id, l_discount AS a, CASE WHEN l_linenumber % 5 <> 0 THEN l_tax END AS b, l_quantity > 40 AS relevant FROM lineitem)"
+_cand_sql = "cand AS (SELECT l_orderkey AS qid, (l_linenumber * 10000000000 + l_partkey * 100000 + l_suppkey) * 100 + CAST(l_quantity AS BIGINT) AS id, l_discount AS a, CASE WHEN l_linenumber % 5 <> 0 THEN l_tax END AS b, l_quantity > 40 AS relevant FROM lineitem)"
 
 
 def _line_id():
-    """A line's number, part and supplier in one number: the first alone may repeat in an order."""
-    return F.col("l_linenumber") * F.lit(10_000_000_000) + F.col("l_partkey") * 100_000 + F.col("l_suppkey")
+    """A line's number, part, supplier and quantity in one number: the first alone may repeat in an order."""
+    return (F.col("l_linenumber") * F.lit(10_000_000_000) + F.col("l_partkey") * 100_000 + F.col("l_suppkey")) * 100 + F.col("l_quantity").cast("long")
 
 
 def _candidates(spark, sf_dir):
@@ -135,7 +135,7 @@ def pooled_ab(spark, sf_dir):
 
 @query(
     "weight_sweep",
-    """WITH s AS (SELECT w, l_orderkey AS qid, l_quantity > 40 AS relevant, row_number() OVER (PARTITION BY w, l_orderkey ORDER BY round(w * l_discount + (1 - w) * l_tax, 9) DESC, l_linenumber, l_partkey, l_suppkey) AS r FROM lineitem, (VALUES (0.0::DOUBLE), (0.5), (1.0)) g(w)),
+    """WITH s AS (SELECT w, l_orderkey AS qid, l_quantity > 40 AS relevant, row_number() OVER (PARTITION BY w, l_orderkey ORDER BY round(w * l_discount + (1 - w) * l_tax, 9) DESC, l_linenumber, l_partkey, l_suppkey, l_quantity) AS r FROM lineitem, (VALUES (0.0::DOUBLE), (0.5), (1.0)) g(w)),
     f AS (SELECT w, qid, min(r) FILTER (relevant) AS rank FROM s GROUP BY 1, 2)
     SELECT w, round(avg((coalesce(rank, 99) <= 2)::INT), 6) AS recall, round(avg(coalesce(1 / rank, 0)), 6) AS mrr FROM f GROUP BY 1""",
 )
@@ -146,7 +146,7 @@ def weight_sweep(spark, sf_dir):
 
 @query(
     "trust_gate",
-    """WITH c AS (SELECT l_orderkey AS qid, first(struct_pack(id := l_linenumber * 10000000000 + l_partkey * 100000 + l_suppkey, rel := l_quantity > 40, s := l_tax) ORDER BY l_discount DESC, l_linenumber, l_partkey, l_suppkey) AS x, first(struct_pack(id := l_linenumber * 10000000000 + l_partkey * 100000 + l_suppkey, rel := l_quantity > 40, s := l_tax) ORDER BY l_tax DESC, l_linenumber, l_partkey, l_suppkey) AS y FROM lineitem GROUP BY 1),
+    """WITH c AS (SELECT l_orderkey AS qid, first(struct_pack(id := (l_linenumber * 10000000000 + l_partkey * 100000 + l_suppkey) * 100 + CAST(l_quantity AS BIGINT), rel := l_quantity > 40, s := l_tax) ORDER BY l_discount DESC, l_linenumber, l_partkey, l_suppkey, l_quantity) AS x, first(struct_pack(id := (l_linenumber * 10000000000 + l_partkey * 100000 + l_suppkey) * 100 + CAST(l_quantity AS BIGINT), rel := l_quantity > 40, s := l_tax) ORDER BY l_tax DESC, l_linenumber, l_partkey, l_suppkey, l_quantity) AS y FROM lineitem GROUP BY 1),
     o AS (SELECT *, x.id <> y.id AND y.s - x.s >= 0.035 AS ov FROM c)
     SELECT count(*) AS n, count(*) FILTER (ov) AS overridden, count(*) FILTER (ov AND y.rel AND NOT x.rel) AS helped, count(*) FILTER (ov AND NOT y.rel AND x.rel) AS hurt FROM o""",
 )
