@@ -129,8 +129,9 @@ def spearman(rows: DataFrame, x: str, y: str) -> DataFrame:
         return counts.select(c, (last - (F.col("k") - 1) / 2).alias(f"rank_{c}"))
 
     joined = rows.join(ranks(x), x).join(ranks(y), y)
-    rho = joined.agg(F.count("*").alias("n"), F.corr(f"rank_{x}", f"rank_{y}").alias("rho"))
-    return rho.select("n", F.round(F.when((F.col("n") < 3) | F.isnan("rho"), None).otherwise(F.col("rho")), 6).alias("rho"))
+    a, b = f"rank_{x}", f"rank_{y}"
+    agg = joined.agg(F.count("*").alias("n"), F.covar_pop(a, b).alias("c"), (F.sqrt(F.var_pop(a)) * F.sqrt(F.var_pop(b))).alias("s"))
+    return agg.select("n", F.round(F.when(F.col("n") >= 3, F.try_divide("c", "s")), 6).alias("rho"))
 
 
 def isotonic(rows: DataFrame, x: str = "score", y: str = "y") -> DataFrame:
