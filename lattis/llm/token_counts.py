@@ -108,4 +108,5 @@ def count_document_tokens(spark: SparkSession, docs: DataFrame, ranks: str, patt
     folder = folder or new_shared_path(spark, "tokens")
     written = materialize(write_token_files(docs, folder, ranks, pattern, end_id, dtype, id_col, text_col), "manifest")
     counted = count_tokens(written, end_id, dtype, block_bytes)
-    return written.join(counted, ["file", "ordinal"]).select("doc_id", "n_tokens", "file", "start")
+    # both sides have a row a document, though the blocks they come from look small: never broadcast
+    return written.hint("merge").join(counted.hint("merge"), ["file", "ordinal"]).select("doc_id", "n_tokens", "file", "start")
