@@ -244,7 +244,11 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Rows with a null id can't be named by a decision and stay.
     """
     found = materialize(near_duplicate_documents(docs, id_col, text_col, radius).where("doc_id is not null"), "groups")
-    gone = found.groupBy("doc_id").agg(F.min("component_id").alias("c")).where("doc_id <> c").select(F.col("doc_id").alias(id_col))
-    repeated = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(id_col))
-    once = docs.join(gone, id_col, "left_anti").join(repeated, id_col, "left_anti")
-    return once.unionByName(docs.join(repeated, id_col, "left_semi").dropDuplicates([id_col])).select(docs.columns)
+    by_id = found.groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count("*").alias("n"))
+    # written, so that the size of this set is known where it is joined: documents move only if it is large
+    marked = materialize(by_id.where("doc_id <> c or n > 1").select(F.col("doc_id").alias(id_col), (F.col("doc_id") == F.col("c")).alias("repeated")), "marked")
+    once = docs.join(marked.select(id_col), id_col, "left_anti").select(docs.columns)
+    repeated = marked.where("repeated").select(id_col)
+    if repeated.isEmpty():
+        return once
+    return once.unionByName(docs.join(repeated, id_col, "left_semi").dropDuplicates([id_col]).select(docs.columns))
