@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lattis.session import materialize
+
 MATCH = "doc_id long, item_id long, similarity double, hamming int, start_word long, n_words long"
 _base = np.uint64(0x9E3779B97F4A7C15)
 _ascii_space = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
@@ -223,4 +225,6 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, id_col
     A row with a null id can't be named by a match and stays.
     """
     found = find_contamination(docs, benchmark, least, id_col=id_col, text_col=text_col)
-    return docs.join(found.where("doc_id is not null").select(F.col("doc_id").alias(id_col)).distinct(), id_col, "left_anti").select(docs.columns)
+    # written, so that the size of this set is known where it is joined: documents move only if it is large
+    gone = materialize(found.where("doc_id is not null").select(F.col("doc_id").alias(id_col)).distinct(), "contaminated")
+    return docs.join(gone, id_col, "left_anti").select(docs.columns)
