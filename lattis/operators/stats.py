@@ -248,3 +248,52 @@ def apply_resolution(mentions: DataFrame, resolution: DataFrame) -> DataFrame:
     one = resolution.groupBy("member").agg(F.max_by("canonical", "seq").alias("canonical"))
     joined = mentions.join(one, F.col("id") == F.col("member"), "left").withColumn("id", F.coalesce("canonical", "id"))
     return joined.groupBy("note", "id").agg(F.max_by("description", F.struct(F.length("description"), F.col("description"))).alias("description"))
+
+
+def mrr_delta_interval(pairs: DataFrame, by: str, resamples: int = 2_000, seed: int = 0) -> DataFrame:
+    """``(by, n, delta, low, high)`` of the MRR's change, with percentiles by index, not interpolated (STA6)."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        d = pdf.sort_values("ord")["diff"].to_numpy(dtype=float)
+        means = np.sort(bootstrap_means(d, resamples, seed, max(1, min(1000, 10_000_000 // len(d)))))
+        return pd.DataFrame({by: [pdf[by].iloc[0]], "n": [len(d)], "delta": [d.mean()], "low": [means[int(0.025 * resamples)]], "high": [means[min(resamples - 1, int(0.975 * resamples))]]})
+
+    return pairs.groupBy(by).applyInPandas(run, f"`{by}` {dict(pairs.dtypes)[by]}, n long, delta double, low double, high double")
+
+
+def interpolate(fit: DataFrame, rows: DataFrame, x: str = "score") -> DataFrame:
+    """Rows with ``p``: the fit at ``x``, linear between its points and flat beyond them (STA9).
+
+    The fit's points are the pieces of a step function between neighbours; a
+    row meets its piece by an ordered union, so nothing is joined by range.
+    """
+    w = Window.partitionBy(F.lit(0)).orderBy("x")
+    pieces = fit.select("x", "fitted", F.lead("x").over(w).alias("x2"), F.lead("fitted").over(w).alias("f2"))
+    marks = pieces.select(F.col("x"), F.struct("x", "fitted", "x2", "f2").alias("piece"), F.lit(None).cast("long").alias("row"))
+    asked = rows.withColumn("row", F.monotonically_increasing_id()).select(F.col(x).cast("double").alias("x"), F.lit(None).cast(marks.schema["piece"].dataType).alias("piece"), "row")
+    order = Window.orderBy("x", F.col("row").isNotNull())
+    met = marks.unionByName(asked).withColumn("at", F.last("piece", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))).where("row is not null")
+    lowest = fit.agg(F.min_by("fitted", "x").alias("lowest"))
+    t = (F.col("x") - F.col("at.x")) / (F.col("at.x2") - F.col("at.x"))
+    p = F.when(F.col("at").isNull(), F.col("lowest")).when(F.col("at.x2").isNull(), F.col("at.fitted")).otherwise(F.col("at.fitted") + t * (F.col("at.f2") - F.col("at.fitted")))
+    return met.crossJoin(lowest).select(F.col("x").alias(x), p.alias("p"))
+
+
+def cross_validated_calibration(rows: DataFrame, key: str, folds: int = 5, score: str = "score", y: str = "y") -> DataFrame:
+    """One row ``(n, brier, ece)`` of calibrated scores, each fitted without its own fold (STA11).
+
+    Folds are dealt by a hash of the key.
+    """
+    dealt = rows.withColumn("fold", F.pmod(F.xxhash64(key), F.lit(folds)))
+    out = None
+    for k in range(folds):
+        held = dealt.where(F.col("fold") == k)
+        fit = isotonic(dealt.where(F.col("fold") != k), score, y)
+        # the score keeps its row's label through the ordered union: labels are averaged by score first
+        by_score = held.groupBy(F.col(score).cast("double").alias(score)).agg(F.sum(y).alias("right"), F.count("*").alias("n"))
+        part = interpolate(fit, by_score.select(score), score).join(by_score, score)
+        out = part if out is None else out.unionByName(part)
+    bin_ = F.least(F.floor(F.col("p") * 10), F.lit(9))
+    sq = F.col("right") * F.pow(1 - F.col("p"), 2) + (F.col("n") - F.col("right")) * F.pow("p", 2)
+    per = out.groupBy(bin_.alias("bin")).agg(F.sum("n").alias("n"), F.sum(F.col("p") * F.col("n")).alias("conf"), F.sum("right").alias("right"), F.sum(sq).alias("sq"))
+    return per.agg(F.sum("n").alias("n"), F.round(F.sum("sq") / F.sum("n"), 6).alias("brier"), F.round(F.sum(F.abs(F.col("conf") - F.col("right"))) / F.sum("n"), 6).alias("ece"))

@@ -513,3 +513,26 @@ def hop_reachability(spark, sf_dir):
     """Whether a conversation's last turn is within two `follows` hops of its first (an extension)."""
     c = S.read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.max("turn").alias("needed"))
     return c.select("conv_id", "needed", (F.col("needed") <= 2).alias("within_two"))
+
+
+@query("paired_bootstrap")
+def paired_bootstrap(spark, sf_dir):
+    """Means, intervals and probabilities by depth; the stream of resamples is pinned by unit tests."""
+    d = T.paired(_arm(spark, sf_dir, "B"), _arm(spark, sf_dir, "A")).select((F.col("qid") % 3).alias("hops"), F.col("qid").alias("ord"), "diff")
+    return T.paired_bootstrap(d, ["hops"], resamples=1000)
+
+
+@query("calibration_cv")
+def calibration_cv(spark, sf_dir):
+    """Cross-validated calibration of discounts as scores (folds are hashed)."""
+    li = S.read(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_discount").alias("score"), (F.col("l_quantity") > 30).cast("int").alias("y"))
+    return T.cross_validated_calibration(li, "l_orderkey")
+
+
+@query("model_replies", "SELECT conv_id, turn, CASE WHEN text IS NULL THEN NULL WHEN length(text) % 2 = 0 THEN 'yes' ELSE 'no' END AS reply, length(text) % 2 = 0 AS yes FROM conversations")
+def model_replies(spark, sf_dir):
+    """An injected model's replies, judged (STA26)."""
+    from lattis.functions import models
+
+    reply = models.complete(F.col("text"), lambda prompts: ["yes" if len(p) % 2 == 0 else "no" for p in prompts])
+    return S.read(spark, sf_dir, "conversations").select("conv_id", "turn", reply.alias("reply")).withColumn("yes", models.verdict_yes(F.col("reply")))

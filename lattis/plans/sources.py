@@ -116,3 +116,38 @@ def cache_evict(spark, sf_dir):
 def review_surface(spark, sf_dir):
     """Numbers with their context and quotes, for a reader (look-around: checked by unit tests)."""
     return K.review_surface(S.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.col("text").alias("body")))
+
+
+def _notes(spark, sf_dir):
+    """A note a document: it declares its source as an entity and its language as an edge."""
+    d = S.read(spark, sf_dir, "documents")
+    key = F.lpad(F.col("doc_id").cast("string"), 8, "0")
+    head = F.concat(F.lit("---\nentities:\n  - {id: "), "source", F.lit(", type: source, canonical: note "), key, F.lit("}\nedges:\n  - {from: "), "source", F.lit(", type: writes, to: "), "lang", F.lit("}\n  - {from: "), "source", F.lit(", to: none}\n---\n"))
+    return d.select(key.alias("path"), F.concat(head, "text").alias("text"))
+
+
+@query("vault_graph", "SELECT 'entity' AS part, source AS a, 'note ' || lpad(CAST(min(doc_id) AS VARCHAR), 8, '0') AS b, 'source' AS kind FROM documents GROUP BY source UNION ALL SELECT 'edge', source, lang, 'writes' FROM documents")
+def vault_graph(spark, sf_dir):
+    g = P.vault(_notes(spark, sf_dir))
+    return g.entities.select(F.lit("entity").alias("part"), F.col("id").alias("a"), F.col("name").alias("b"), F.col("entity_type").alias("kind")).union(g.edges.select(F.lit("edge"), "source_id", "target_id", "edge_type"))
+
+
+@query("source_bodies", "SELECT lpad(CAST(doc_id AS VARCHAR), 8, '0') AS path, md5(text) AS body_md5 FROM documents")
+def source_bodies(spark, sf_dir):
+    return P.source_bodies(_notes(spark, sf_dir)).select("path", F.md5(F.col("body").cast("binary")).alias("body_md5"))
+
+
+@query("lme_questions", "SELECT 'q' || conv_id || CASE WHEN conv_id % 4 = 0 THEN '_abs' ELSE '' END AS question_id, CASE WHEN conv_id % 2 = 0 THEN '2' ELSE '6' END AS category, conv_id % 4 = 0 AS abstention, 's' || turn AS session_id, md5(text) AS turn_md5 FROM conversations")
+def lme_questions(spark, sf_dir):
+    """A conversation's turns as the sessions of one question."""
+    c = S.read(spark, sf_dir, "conversations")
+    t = F.array_sort(F.collect_list(F.struct("turn", "text")))
+    k = F.col("conv_id")
+    raw = c.groupBy("conv_id").agg(t.alias("t")).select(
+        F.concat(F.lit("q"), k.cast("string"), F.when(k % 4 == 0, "_abs").otherwise("")).alias("question_id"),
+        F.when(k % 2 == 0, "multi-session").otherwise("temporal-reasoning").alias("question_type"),
+        F.transform("t", lambda x: F.concat(F.lit("s"), x["turn"].cast("string"))).alias("haystack_session_ids"),
+        F.transform("t", lambda x: x["turn"].cast("string")).alias("haystack_dates"),
+        F.transform("t", lambda x: F.array(x["text"])).alias("haystack_sessions"),
+    )
+    return P.haystack_questions(raw).select("question_id", "category", "abstention", "session_id", F.md5(F.get("turns", F.lit(0)).cast("binary")).alias("turn_md5"))
