@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lattis.operators.ordering import global_index
 from lattis.operators.ranks import share
 
 
@@ -20,7 +21,7 @@ def paired(a: DataFrame, b: DataFrame, key: str = "qid", x: str = "score") -> Da
 
 def paired_by_position(a: DataFrame, b: DataFrame, order: Sequence[str], key: str, x: str) -> DataFrame:
     """Pairs by place in ``order``; ``agree`` tells whether the keys of a pair do (JN6)."""
-    n = lambda df, s: df.withColumn("i", F.row_number().over(Window.orderBy(*order))).select("i", F.col(key).alias(f"key_{s}"), F.col(x).alias(s))
+    n = lambda df, s: global_index(df, order).select("i", F.col(key).alias(f"key_{s}"), F.col(x).alias(s))
     return n(a, "a").join(n(b, "b"), "i").withColumn("agree", F.col("key_a").eqNullSafe(F.col("key_b")))
 
 

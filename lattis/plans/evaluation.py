@@ -269,7 +269,7 @@ def paired_scores(spark, sf_dir):
     return T.paired(_arm(spark, sf_dir, "B"), _arm(spark, sf_dir, "A"))
 
 
-@query("paired_positional", "WITH a AS (SELECT row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS i, o_orderpriority AS key_a, o_totalprice AS a FROM orders WHERE o_orderstatus = 'O'), b AS (SELECT row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS i, o_orderpriority AS key_b, o_totalprice AS b FROM orders WHERE o_orderstatus = 'F') SELECT CAST(i AS INT) AS i, key_a, a, key_b, b, key_a = key_b AS agree FROM a JOIN b USING (i)")
+@query("paired_positional", "WITH a AS (SELECT row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS i, o_orderpriority AS key_a, o_totalprice AS a FROM orders WHERE o_orderstatus = 'O'), b AS (SELECT row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS i, o_orderpriority AS key_b, o_totalprice AS b FROM orders WHERE o_orderstatus = 'F') SELECT CAST(i AS BIGINT) AS i, key_a, a, key_b, b, key_a = key_b AS agree FROM a JOIN b USING (i)")
 def paired_positional(spark, sf_dir):
     o = S.read(spark, sf_dir, "orders")
     return T.paired_by_position(o.where("o_orderstatus = 'O'"), o.where("o_orderstatus = 'F'"), ["o_orderdate", "o_orderkey"], "o_orderpriority", "o_totalprice")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lattis.operators import integrity as I
 from lattis.operators import relations as R
+from lattis.operators.ordering import global_index
 from lattis.operators.topology import components_of
 from lattis.plans.registry import query
 from lattis.sources import graphs as S
@@ -201,8 +201,9 @@ def phantom_edges(spark, sf_dir):
     """Each turn names the next turn of all; is that in its conversation?"""
     turns = S.read(spark, sf_dir, "conversations")
     key = (F.col("conv_id") * 1000 + F.col("turn")).cast("string")
-    order = Window.orderBy("conv_id", "turn")
-    nxt = turns.select("conv_id", "turn", key.alias("source_id"), F.lead(key).over(order).alias("target_id")).where("target_id is not null")
+    placed = global_index(turns.select("conv_id", "turn", key.alias("source_id")), ["conv_id", "turn"])
+    after = placed.select((F.col("i") - 1).alias("i"), F.col("source_id").alias("target_id"))
+    nxt = placed.join(after, "i")
     edges = nxt.select(F.col("source_id").cast("long").alias("seq"), "source_id", "target_id", F.col("conv_id").cast("string").alias("source_note"))
     of = lambda n: turns.select(key.alias("id"), F.array(F.substring("text", 1, n)).alias("forms"))
     names = of(40).unionByName(of(60).withColumn("id", F.concat(F.lit("t"), "id")))
