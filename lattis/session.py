@@ -58,6 +58,12 @@ def new_shared_path(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark)}/lattis/{kind}-{uuid.uuid4().hex}"
 
 
+def clear_shared(spark: SparkSession) -> None:
+    """Remove what :func:`new_shared_path` has given out, once no result that reads it is needed."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/lattis")
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """``df`` through a reliable checkpoint; any executor may be lost after it."""
     shared_dir(df.sparkSession)

@@ -14,3 +14,15 @@ def test_numbers_follow_the_order(spark):
 
 def test_empty(spark):
     assert global_index(spark.createDataFrame([], "a int"), ["a"]).collect() == []
+
+
+def test_shared_folder_is_cleared(spark, tmp_path):
+    from lattis.session import clear_shared, materialize
+
+    df = materialize(spark.range(3).toDF("id"))
+    assert df.count() == 3
+    (path,) = {f.rpartition("/")[0] for f in df.inputFiles()}
+    clear_shared(spark)
+    import os
+
+    assert not os.path.exists(path.removeprefix("file://"))
