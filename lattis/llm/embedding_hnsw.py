@@ -53,8 +53,9 @@ class SmallWorld:
         if pool <= 0:
             return links
         chosen = np.full((n, degree), -1, dtype=np.int32)
-        for a in range(0, n, 512):
-            b = min(n, a + 512)
+        block = max(16, min(512, (1 << 15) // own.shape[1]))
+        for a in range(0, n, block):
+            b = min(n, a + block)
             near = own[a:b] @ own.T
             near[np.arange(b - a), np.arange(a, b)] = -2
             top = np.argpartition(-near, pool - 1, axis=1)[:, :pool]
@@ -63,7 +64,7 @@ class SmallWorld:
             top, value = np.take_along_axis(top, order, axis=1), np.take_along_axis(value, order, axis=1)
             taken = np.zeros((b - a, pool), dtype=bool)
             count = np.zeros(b - a, dtype=int)
-            between = np.einsum("qid,qjd->qij", own[top], own[top], optimize=True) if pool <= 128 else None
+            between = np.einsum("qid,qjd->qij", own[top], own[top], optimize=True)
             for j in range(pool):
                 # a candidate nearer to a chosen link than to the node is reached through that link
                 shadow = (taken & (between[:, j, :] > value[:, j : j + 1])).any(axis=1)
