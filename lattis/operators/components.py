@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lattis.session import cut_lineage
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", rows_a_task: int = 250_000) -> DataFrame:
     """``(node, component)`` for every node that an edge touches.
 
     The component is its smallest node. Self-loops and edges with a null
@@ -19,14 +19,16 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     no neighbour list is ever gathered, so a hub's neighbours spread over
     tasks (its minimum is combined map-side, its join side can be split by
     AQE). The rounds are logarithmic in the longest path; each ends in a
-    reliable checkpoint.
+    reliable checkpoint of a task for every ``rows_a_task`` links, so small
+    graphs don't leave hundreds of small files a round.
     """
     pairs = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null")
     nodes = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
     links = cut_lineage(_low(pairs))
+    tasks = 1 + links.count() // rows_a_task
     before = None
     while True:
-        links = cut_lineage(_small_star(_large_star(links)))
+        links = cut_lineage(_small_star(_large_star(links)).coalesce(tasks))
         now = links.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if now == before or now["n"] == 0:
             break
