@@ -9,6 +9,10 @@ quarter of them. Exact weighted-shingle similarity then decides.
 Which windows need a fingerprint is bounded exactly beforehand: two equal
 windows of ``m`` shingles with similarity ``t`` share ``2mt/(1+t)`` of them,
 so a window in which fewer shingles occur in any item can't match one.
+
+An item longer than the document is compared with the whole document, as one
+window. There the items that share enough shingles are found exactly, without
+the fingerprints: of few shingles, those differ too much.
 """
 
 from __future__ import annotations
@@ -96,6 +100,7 @@ class ItemsOfLength:
 
     n_words: int
     ids: np.ndarray
+    shingles: np.ndarray
     counts: list[Counter]
     prints: np.ndarray
     blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
@@ -115,6 +120,11 @@ class ItemsOfLength:
         near = distance <= radius
         return window[near], item[near], distance[near]
 
+    def sharing(self, window: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ``(0, item, distance)`` of items with ``least`` or more shingles that ``window`` has too."""
+        item = np.flatnonzero(np.isin(self.shingles, window).sum(axis=1) >= least)
+        return np.zeros_like(item), item, np.bitwise_count(signature(window[None, :]) ^ self.prints[item])
+
 
 class ItemIndex:
     """Items by length, and the set of all their shingles behind a bit filter."""
@@ -129,14 +139,15 @@ class ItemIndex:
                 lengths.setdefault(len(hashes), []).append((key, shingle_hashes(hashes, each)))
         self.groups: list[ItemsOfLength] = []
         for n, rows in sorted(lengths.items()):
-            prints = signature(np.array([s for _, s in rows]))
+            shingles = np.array([s for _, s in rows])
+            prints = signature(shingles)
             blocks = []
             for b in range(4):
                 own = (prints >> np.uint64(16 * b)).astype(np.uint16)
                 order = np.argsort(own, kind="stable")
                 values, first = np.unique(own[order], return_index=True)
                 blocks.append((values, np.r_[first, len(own)], order))
-            self.groups.append(ItemsOfLength(n, np.array([k for k, _ in rows]), [Counter(s.tolist()) for _, s in rows], prints, blocks))
+            self.groups.append(ItemsOfLength(n, np.array([k for k, _ in rows]), shingles, [Counter(s.tolist()) for _, s in rows], prints, blocks))
         every = [s for rows in lengths.values() for _, s in rows]
         self.shingles = {n: np.unique(np.concatenate([s for _, s in rows])) for n, rows in lengths.items() if n < each}
         long = [s for n, rows in lengths.items() if n >= each for _, s in rows]
@@ -161,26 +172,29 @@ class ItemIndex:
         best: dict[int, tuple[float, int, int, int]] = {}
         cache: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for group in self.groups:
-            if group.n_words > len(words):
-                break
             each = min(self.each, group.n_words)
+            n_words = min(group.n_words, len(words))
+            m, own = n_words - each + 1, group.n_words - each + 1
+            if m < 1 or m < least * own - 1e-9:  # longer items differ even more
+                break
             if each not in cache:
                 hashes = shingle_hashes(words, each) if len(words) >= each else np.empty(0, np.uint64)
                 cache[each] = hashes, np.r_[0, np.cumsum(self.known(hashes, each))]
             hashes, hits = cache[each]
             if not hits[-1]:
                 continue
-            m = group.n_words - each + 1
             shared = hits[m:] - hits[:-m]
-            starts = np.flatnonzero(shared >= np.ceil(2 * m * least / (1 + least) - 1e-9))
+            enough = np.ceil((m + own) * least / (1 + least) - 1e-9)
+            starts = np.flatnonzero(shared >= enough)
             for k in range(0, len(starts), windows):
                 chosen = starts[k : k + windows]
                 rows = np.lib.stride_tricks.sliding_window_view(hashes, m)[chosen]
-                for w, i, distance in zip(*group.candidates(signature(rows), radius)):
+                pairs = group.sharing(rows[0], enough) if m < own else group.candidates(signature(rows), radius)
+                for w, i, distance in zip(*pairs):
                     found = similarity(Counter(rows[w].tolist()), group.counts[i])
                     key, start = int(group.ids[i]), int(chosen[w])
                     if found >= least and (key not in best or (-found, start) < (-best[key][0], best[key][2])):
-                        best[key] = (found, int(distance), start, group.n_words)
+                        best[key] = (found, int(distance), start, n_words)
         return [(key, *x) for key, x in sorted(best.items())]
 
 
@@ -188,7 +202,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, least: float = 0.8
     """One row of ``MATCH`` for each document and item of which it holds a passage.
 
     The row tells the item's most similar window in the whole text (the
-    first of equal ones). Null and empty texts, and items without a word,
+    first of equal ones), which is the whole text where the item is longer.
+    Null and empty texts, and items without a word,
     match nothing; rows with a null id are reported under it; repeated rows
     give repeated matches; items that share an id give one row. Items are
     taken ``block`` at a time, so what a task receives is bounded; documents

@@ -49,6 +49,31 @@ def test_equals_brute_force(spark):
     assert any(r["similarity"] < 1 for r in rows) and any(r["hamming"] > 0 for r in rows)
 
 
+def test_items_longer_than_the_document_equal_brute_force(spark):
+    """Documents that are an item with words cut off or deleted, against every item as one window."""
+    rng = random.Random(11)
+    items = [(k, [f"x{k}y{i}" if rng.random() < 0.8 else "the" for i in range(n)]) for k, n in enumerate([2, 3, 4, 5, 6, 8, 9, 12, 15, 20, 30, 40, 40, 59])]
+    docs = []
+    for _, own in items:
+        for cut in range(12):
+            docs += [own[: len(own) - cut], own[cut:], [w for i, w in enumerate(own) if i not in rng.sample(range(len(own)), min(len(own), cut // 4))]]
+    rows = [(k, " ".join(w)) for k, w in enumerate(docs)]
+    passages = [(k, " ".join(w)) for k, w in items]
+    shingles = lambda w, each: Counter(tuple(w[i : i + each]) for i in range(len(w) - each + 1))
+    expected = {}
+    for key, words in enumerate(docs):
+        for item, own in items:
+            n, each = min(len(own), len(words)), min(5, len(own))
+            best = max((D.similarity(shingles(words[i : i + n], each), shingles(own, each)) for i in range(len(words) - n + 1)), default=0)
+            if best >= 0.8:
+                expected[key, item] = (round(best, 9), n)
+    found = D.find_contamination(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(passages, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]): (round(r["similarity"], 9), r["n_words"]) for r in found} == expected
+    assert len(found) == len(expected) > len(slow(rows, passages)) + 50
+    forty = next(k for k, w in enumerate(docs) if w == items[11][1][:39])
+    assert expected[forty, 11] == (round(35 / 36, 9), 39)
+
+
 def test_index_gives_all_fingerprints_within_the_radius():
     rng = np.random.default_rng(1)
     items = [(k, " ".join(f"v{x}" for x in rng.integers(0, 9, 12))) for k in range(80)]
