@@ -43,32 +43,38 @@ def completions(counts: np.ndarray, room: int, most: int = 6, effort: int = 400)
     if not smallest:
         return [()]
     sizes = np.flatnonzero(counts[: room + 1])[::-1]
-    left = {}
-    tries = effort
-
-    def descend(chosen: tuple[int, ...], space: int, at: int) -> bool:
-        nonlocal tries
-        if space < smallest:
-            found[chosen] = room - space
-            return space == 0 and sum(1 for v in found.values() if v == room) >= 2
-        fits = at + int(np.searchsorted(-sizes[at:], -space))
-        any_fit = False
-        for k in range(fits, len(sizes)):
-            s = int(sizes[k])
-            if counts[s] - left.get(s, 0) <= 0:
+
+    def descend() -> None:
+        """Depth first, largest items first. The nesting is a list: a filling may hold as many items as the room has tokens."""
+        left: dict[int, int] = {}
+        tries, space, chosen = effort, room, []
+        nested = [[0, False]]  # by chosen item: the next place in ``sizes``, and whether any item has fitted
+        while nested:
+            k = nested[-1][0]
+            while k < len(sizes) and counts[sizes[k]] <= left.get(int(sizes[k]), 0):
+                k += 1
+            if k == len(sizes):
+                if not nested.pop()[1]:
+                    found[tuple(chosen)] = room - space
+                if chosen:
+                    s = chosen.pop()
+                    left[s] -= 1
+                    space += s
                 continue
             if tries <= 0 and found:
-                return True
+                return
             tries -= 1
-            any_fit = True
+            s = int(sizes[k])
+            nested[-1] = [k + 1, True]
+            if space - s < smallest:
+                found[(*chosen, s)] = room - space + s
+                if space == s and sum(1 for v in found.values() if v == room) >= 2:
+                    return
+                continue
             left[s] = left.get(s, 0) + 1
-            stop = descend((*chosen, s), space - s, k)
-            left[s] -= 1
-            if stop:
-                return True
-        if not any_fit:
-            found[chosen] = room - space
-        return False
+            chosen.append(s)
+            space -= s
+            nested.append([k + int(np.searchsorted(-sizes[k:], -space)), False])
 
     # pairs that fill the room exactly are the commonest best case: find them first
     half = sizes[sizes * 2 >= room]
@@ -76,7 +82,7 @@ def completions(counts: np.ndarray, room: int, most: int = 6, effort: int = 400)
     for s in mates[: most // 2 + 1]:
         found[(int(s), int(room - s))] = room
     if len(found) < 2:
-        descend((), room, 0)
+        descend()
     ranked = sorted(found, key=lambda f: (-found[f], len(f), tuple(-x for x in f)))
     return ranked[:most]
 
@@ -107,7 +113,7 @@ def solve(counts: np.ndarray, capacity: int, budget: int = 2_000) -> list[tuple[
         out = []
         for way in ways:
             filling = (top, *way)
-            need = {s: filling.count(s) for s in filling}
+            need = {s: filling.count(s) for s in set(filling)}
             out.append((filling, min(int(counts[s]) // k for s, k in need.items())))
         return out
 

@@ -55,6 +55,24 @@ def test_large_histograms_reach_the_bound():
     assert B.solve(np.zeros(9, int), 8) == []
 
 
+@pytest.mark.parametrize("lengths", [{1: 5_000}, {1: 5_000, 2: 700}, {1: 66_000, 300: 40, 700: 50, 2048: 3}])
+def test_fillings_of_very_many_pieces(lengths):
+    counts = np.zeros(2049, dtype=int)
+    counts[list(lengths)] = list(lengths.values())
+    patterns = B.solve(counts, 2048)
+    assert all(sum(f) <= 2048 for f, _ in patterns)
+    used = sum(n * np.bincount(f, minlength=2049) for f, n in patterns)
+    assert (used == counts).all()
+    assert sum(n for _, n in patterns) == -(-int((counts * np.arange(2049)).sum()) // 2048)
+
+
+def test_many_empty_texts(spark):
+    docs = spark.range(5_000).selectExpr("id as doc_id", "case when id % 2 = 0 then '' end as text")
+    rows = B.pack_documents(docs, PATH).collect()
+    check(rows, docs.collect(), 2048)
+    assert len({r["sequence_id"] for r in rows}) == 3
+
+
 def check(rows, docs, capacity):
     by_sequence = {}
     for r in rows:
