@@ -4,7 +4,10 @@ Vectors of one label are dealt into shards of bounded size. Each shard gets a
 hierarchical navigable small-world graph; every vector of the label queries
 every shard of it. Before a group of queries counts, some of them are audited
 against brute force over the shard, and the beam is widened until the audit's
-recall is reached. Candidates are verified by cosine in double precision.
+recall is reached. Where no beam reaches it, where the audit has no link to
+judge by, or where some node of the graph can't be reached from every other,
+the shard is searched by brute force in blocks. Candidates are verified by
+cosine in double precision.
 """
 
 from __future__ import annotations
@@ -44,6 +47,7 @@ class SmallWorld:
         for k in range(int(level.max(initial=0)) + 1):
             nodes = np.flatnonzero(level >= k)
             self.levels.append((nodes, self._links(nodes, 2 * degree if k == 0 else degree)))
+        self.whole = _strongly_connected(self.levels[0][1])
 
     def _links(self, nodes: np.ndarray, degree: int) -> np.ndarray:
         """Neighbours of each node of a level, as places in ``nodes``; -1 where there are fewer."""
@@ -186,6 +190,27 @@ class SmallWorld:
         return np.concatenate(hit_q), np.concatenate(hit_n)
 
 
+def _strongly_connected(links: np.ndarray) -> bool:
+    """Whether links lead from every node to every other: out from the first to all, and back from all."""
+    src = np.repeat(np.arange(len(links)), links.shape[1])
+    dst = links.ravel().astype(np.int64)
+    src, dst = src[dst >= 0], dst[dst >= 0]
+    for a, b in ((src, dst), (dst, src)):
+        order = np.argsort(a, kind="stable")
+        b, first = b[order], np.searchsorted(a[order], np.arange(len(links) + 1))
+        seen = np.zeros(len(links), dtype=bool)
+        new = np.arange(min(1, len(links)))
+        while len(new):
+            seen[new] = True
+            many = first[new + 1] - first[new]
+            at = np.repeat(first[new] - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(many.sum())
+            new = np.unique(b[at])
+            new = new[~seen[new]]
+        if not seen.all():
+            return False
+    return True
+
+
 # --------------------------------------------------------------- operators
 
 
@@ -296,7 +321,7 @@ def _ask(least: float, beam: int, recall: float, audit: int, step: int = 512):
                 continue
             queries = _matrix(rows["v"])
             unit, own = _unit(queries), _unit(whole)
-            width = _audited(graph, unit[:: max(1, len(unit) // audit)][:audit], own, least, beam, recall)
+            width = _audited(graph, unit, asked, own, reps, least, beam, recall, audit)
             # places: members of the shard first, then those queries that aren't members
             order = np.argsort(reps, kind="stable")
             near = np.minimum(np.searchsorted(reps[order], asked), len(reps) - 1)
@@ -305,7 +330,7 @@ def _ask(least: float, beam: int, recall: float, audit: int, step: int = 512):
             label = np.arange(len(reps) + len(asked))
             n = np.zeros(len(asked), dtype=np.int64)
             for a in range(0, len(asked), step):
-                q, node = graph.search(unit[a : a + step], width, reach)
+                q, node = graph.search(unit[a : a + step], width, reach) if width else np.nonzero(unit[a : a + step] @ own.T >= reach)
                 q += a
                 for c in range(0, len(q), 1 << 16):
                     i, j = q[c : c + (1 << 16)], node[c : c + (1 << 16)]
@@ -330,13 +355,23 @@ def _ask(least: float, beam: int, recall: float, audit: int, step: int = 512):
     return run
 
 
-def _audited(graph: SmallWorld, sample: np.ndarray, own: np.ndarray, least: float, beam: int, recall: float) -> int:
-    """The narrowest of the doubled beams whose links reach ``recall`` of brute force's."""
-    truth = sample @ own.T >= least
-    wanted = int(truth.sum())
-    while wanted and beam < len(own):
+def _audited(graph: SmallWorld, unit: np.ndarray, asked: np.ndarray, own: np.ndarray, reps: np.ndarray, least: float, beam: int, recall: float, audit: int) -> int:
+    """The narrowest of the doubled beams whose links reach ``recall`` of brute force's; 0 where none does.
+
+    A vector's link to itself doesn't count. The audit takes more queries
+    while it finds no link, 512 at most.
+    """
+    while graph.whole:
+        chosen = np.arange(0, len(unit), max(1, len(unit) // audit))[:audit]
+        sample = unit[chosen]
+        truth = (sample @ own.T >= least) & (asked[chosen, None] != reps)
+        wanted = int(truth.sum())
+        if wanted or audit >= min(512, len(unit)):
+            break
+        audit = min(512, 4 * audit)
+    while graph.whole and wanted and beam < len(own):
         q, node = graph.search(sample, beam, least - 1e-4)
         if int(truth[q, node].sum()) >= recall * wanted:
-            break
+            return beam
         beam *= 2
-    return min(beam, len(own))
+    return 0

@@ -62,6 +62,40 @@ def test_a_cluster_wider_than_the_beam_is_walked_whole():
     assert len(q) >= 0.99 * truth.sum()
 
 
+def test_islands_of_many_vectors_equal_brute_force(spark):
+    """Groups of near but unequal vectors, up to 2,000 of them: a node's nearest are all of its own group."""
+    rng = np.random.default_rng(5)
+    sizes = [2000, 600, 600, 600, 80, 90, 100]
+    x = np.concatenate([c + 0.05 * rng.normal(size=(n, 24)) for n, c in zip(sizes, rng.normal(size=(7, 24)))])
+    x = x[rng.permutation(len(x))].astype(np.float32)
+    unit = H._unit(x.astype(float))
+    links = unit @ unit.T >= 0.98
+    label = H.merge(np.arange(len(x)), *np.nonzero(links))
+    found = fast(spark, [(i, v, 0, 0) for i, v in enumerate(x.tolist())])
+    assert found == [(i, int(links[i].sum()) - 1, int(label[i])) for i in range(len(x))]
+    assert not H.SmallWorld(unit).whole
+
+
+def test_the_audit_leaves_out_self_hits_and_falls_back():
+    rng = np.random.default_rng(6)
+    unit = H._unit(rng.normal(size=(900, 16)))
+    near = H._unit(unit[:300] + 0.01 * rng.normal(size=(300, 16)))
+    own, reps = np.r_[unit, near], np.arange(1200)
+
+    class Blind:
+        """Finds each query itself and nothing else."""
+
+        whole = True
+
+        def search(self, queries, beam, reach):
+            return np.arange(len(queries)), (queries @ own.T).argmax(axis=1)
+
+    ask = lambda graph, ids: H._audited(graph, own[ids], reps[ids], own, reps, 0.98, 48, 0.5, 48)
+    assert ask(Blind(), reps) == 0
+    assert ask(H.SmallWorld(own), reps) in (0, 48, 96)
+    assert H._strongly_connected(np.array([[1, -1], [2, -1], [0, -1]])) and not H._strongly_connected(np.array([[1, -1], [2, -1], [1, -1]]))
+
+
 def test_recall_of_the_index_over_a_table(spark):
     rows = [(r["vec_id"], r["embedding"], r["label"], 0) for r in spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").collect()]
     found, expected = fast(spark, rows), slow(rows)
