@@ -1,7 +1,8 @@
 """Language ID by language-bitmask n-gram filters.
 
 One Bloom filter for each language, bit-sliced: slot ``i`` holds bit ``i`` of
-every language's filter in one word. An n-gram reads a few slots; their
+every language's filter in one word; every 64 languages have slots of their
+own. An n-gram reads a few slots; their
 conjunction is the set of all languages that (may) contain it. Counts by
 language, less the expected false positives, decide.
 """
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 SIZE = 4
+#: Languages at most: 16 MB of slots for every 64.
+MOST = 256
 _odd = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 
 
@@ -65,7 +68,7 @@ def ngrams(text: str) -> tuple[np.ndarray, bool]:
 
 @dataclass
 class BitSlicedBloom:
-    """``slots[i]``: which languages' filters have bit ``i`` set."""
+    """``slots[i]``: which languages' filters have bit ``i`` set; with over 64 languages ``slots[k, i]``, for the ``k``-th 64 of them."""
 
     languages: list[str]
     slots: np.ndarray
@@ -75,24 +78,25 @@ class BitSlicedBloom:
 
     @staticmethod
     def build(languages: list[str], keys: list[np.ndarray], bits: int = 21, hashes: int = 3) -> BitSlicedBloom:
-        if len(languages) > 64:
-            raise ValueError("a slot holds 64 languages at most")
-        kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if np.dtype(k).itemsize * 8 >= max(1, len(languages)))
-        slots = np.zeros(1 << bits, dtype=kind)
+        if len(languages) > MOST:
+            raise ValueError(f"{MOST} languages at most")
+        kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if np.dtype(k).itemsize * 8 >= min(64, max(1, len(languages))))
+        slots = np.zeros((max(1, -(-len(languages) // 64)), 1 << bits), dtype=kind)
         rates = []
         for i, own in enumerate(keys):
-            flag = kind(1 << i)
+            part, bit = slots[i // 64], kind(i % 64)
+            flag = kind(1 << i % 64)
             for at in positions(own, bits, hashes):
-                slots[at] |= flag
-            rates.append((((slots >> kind(i)) & kind(1)).mean()) ** hashes)
-        return BitSlicedBloom(languages, slots, np.array(rates), np.ones(len(languages)), hashes)
+                part[at] |= flag
+            rates.append((((part >> bit) & kind(1)).mean()) ** hashes)
+        return BitSlicedBloom(languages, slots[0] if len(slots) == 1 else slots, np.array(rates), np.ones(len(languages)), hashes)
 
     def members(self, keys: np.ndarray) -> np.ndarray:
-        """All languages whose filter contains each key, as a bitmask."""
-        bits = int(len(self.slots)).bit_length() - 1
+        """All languages whose filter contains each key, as a bitmask (a row of masks for each 64 languages, if over 64)."""
+        bits = int(self.slots.shape[-1]).bit_length() - 1
         found = None
         for at in positions(keys, bits, self.hashes):
-            found = self.slots[at] if found is None else found & self.slots[at]
+            found = self.slots[..., at] if found is None else found & self.slots[..., at]
         return found
 
     def counts(self, keys: np.ndarray) -> np.ndarray:
@@ -104,7 +108,8 @@ class BitSlicedBloom:
             table = (np.arange(256)[:, None] >> np.arange(len(self.languages))) & 1
             seen = of_mask @ table
         else:
-            seen = np.array([int(((mask >> self.slots.dtype.type(i)) & self.slots.dtype.type(1)).sum()) for i in range(len(self.languages))])
+            kind, masks = self.slots.dtype.type, np.atleast_2d(mask)
+            seen = np.array([int(((masks[i // 64] >> kind(i % 64)) & kind(1)).sum()) for i in range(len(self.languages))])
         return np.maximum(0, (seen - len(keys) * self.false_rate) / (1 - self.false_rate))
 
     def decide(self, text: str | None) -> tuple[str, float, float]:
@@ -145,14 +150,16 @@ def train(docs: DataFrame, each: int = 1_500, vocabulary: int = 60_000, distinct
     chooses the rows. A language's filter holds its ``vocabulary`` commonest
     n-grams whose share of its text is at least ``distinctive`` times the
     largest share in any language, so that stray passages in other
-    languages don't enter. ``share`` keeps the part of a language's own
+    languages don't enter. Over ``MOST`` languages are an error. ``share`` keeps the part of a language's own
     n-grams that its filter holds. At most languages x vocabulary counts
     reach the driver.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~in_fold("doc_id"))
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(64).collect()}
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST + 1).collect()}
     languages = sorted(sizes)
+    if len(languages) > MOST:
+        raise ValueError(f"{MOST} languages at most")
     if not languages:
         return BitSlicedBloom.build([], [])
     unit = (F.xxhash64("doc_id", F.lit(7)).bitwiseAND(F.lit((1 << 52) - 1))) / F.lit(float(1 << 52))

@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pytest
 
 from lattis.llm import language_bloom as L
 
@@ -45,3 +46,15 @@ def test_odd_rows(odd_docs, no_docs):
     assert kept.columns == odd_docs.columns and {r["doc_id"] for r in kept.collect()} >= {1, 4, 5}
     assert not {r["doc_id"] for r in kept.collect()} & {2, 3, 6, 7}
     assert L.identify_documents(no_docs).collect() == [] and L.keep_identified(no_docs).collect() == []
+
+
+def test_more_than_64_languages(spark):
+    words = lambda k: " ".join("".join(chr(97 + (k * 7 + i * j * j + k * i) % 26) for j in range(6)) + chr(0x4E00 + k) for i in range(40))
+    rows = [(100 * k + i, words(k), f"l{k:03}") for k in range(70) for i in range(8 + (k < 60))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    bloom = L.train(docs)
+    assert len(bloom.languages) == 70 == len(bloom.share) and bloom.slots.shape[0] == 2
+    assert [bloom.decide(words(k))[0] for k in range(70)] == bloom.languages
+    assert L.keep_identified(docs).count() == len(rows)
+    with pytest.raises(ValueError, match="languages at most"):
+        L.train(docs.selectExpr("doc_id", "text", "cast(doc_id as string) as lang").union(spark.range(9_000, 9_900).selectExpr("id", "'a'", "cast(id as string)")))
