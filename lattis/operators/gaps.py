@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from lattis.operators.topology import both_ways, components_of, simple, size_bucket
-from lattis.session import cut_lineage
+from lattis.session import cut_lineage, materialize
 
 
 def component_sizes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -238,41 +238,47 @@ def _h1(d: np.ndarray) -> tuple[int, float]:
 def label_communities(edges: DataFrame, rounds: int = 6, levels: int = 3, resolution: float = 1.0) -> DataFrame:
     """``(id, community)`` by local moving and contraction on the weighted graph (TOP8).
 
-    In each round the nodes of one half (by a hash of id and round) move to
+    In each round the nodes of one half (by the md5 of id and round) move to
     the neighbouring community of the largest modularity gain; ties go to
     the smallest name. Communities are then contracted to nodes, and so on
-    until none merge. Joins and aggregations only; one checkpoint a round.
+    until none merge. Joins and aggregations only; a round ends in a written
+    table, whose size is that of its files. (A checkpoint keeps its plan's
+    estimate, which multiplies in a join of a table with tables made from
+    it, so the estimate's digits would double every round.)
     """
     weight = edges.groupBy(F.least("source_id", "target_id").alias("a"), F.greatest("source_id", "target_id").alias("b")).agg(F.count("*").alias("w"))
     loops = weight.where("a = b").select(F.col("a").alias("u"), F.col("a").alias("v"), (2 * F.col("w")).alias("w"))
     pair = weight.where("a <> b")
-    links = cut_lineage(pair.select(F.col("a").alias("u"), F.col("b").alias("v"), "w").union(pair.select("b", "a", "w")).union(loops))
+    links = materialize(pair.select(F.col("a").alias("u"), F.col("b").alias("v"), "w").union(pair.select("b", "a", "w")).union(loops))
     two_m = links.agg(F.sum("w")).first()[0]
     placed = None
     for _ in range(levels):
         moved = _local_moving(links, two_m, rounds, resolution)
-        placed = moved if placed is None else cut_lineage(placed.join(moved.select(F.col("id").alias("community"), F.col("community").alias("to")), "community").select("id", F.col("to").alias("community")))
+        placed = moved if placed is None else materialize(placed.join(moved.select(F.col("id").alias("community"), F.col("community").alias("to")), "community").select("id", F.col("to").alias("community")))
         if moved.where("id <> community").isEmpty():
             break
         at = lambda c, name: moved.select(F.col("id").alias(c), F.col("community").alias(name))
-        links = cut_lineage(links.join(at("u", "cu"), "u").join(at("v", "cv"), "v").groupBy(F.col("cu").alias("u"), F.col("cv").alias("v")).agg(F.sum("w").alias("w")))
+        links = materialize(links.join(at("u", "cu"), "u").join(at("v", "cv"), "v").groupBy(F.col("cu").alias("u"), F.col("cv").alias("v")).agg(F.sum("w").alias("w")))
     return placed
 
 
 def _local_moving(links: DataFrame, two_m: int | None, rounds: int, resolution: float) -> DataFrame:
     now = links.groupBy(F.col("u").alias("id")).agg(F.sum("w").alias("k")).withColumn("community", F.col("id"))
+    apart = links.where("u <> v")
     for i in range(rounds):
         total = now.groupBy("community").agg(F.sum("k").alias("kc"))
-        near = links.where("u <> v").join(now.select(F.col("id").alias("v"), "community"), "v").groupBy(F.col("u").alias("id"), "community").agg(F.sum("w").alias("kin"))
-        option = now.select("id", "k", F.col("community").alias("own")).join(near, "id").join(total, "community")
+        near = apart.join(now.select(F.col("id").alias("v"), "community"), "v").groupBy(F.col("u").alias("id"), "community").agg(F.sum("w").alias("kin")).join(total, "community")
+        option = now.select("id", "k", F.col("community").alias("own")).join(near, "id", "left")
         alone = F.col("kc") - F.when(F.col("community") == F.col("own"), F.col("k")).otherwise(0)
         gain = F.col("kin") - resolution * F.col("k") * alone / F.lit(float(two_m))
-        best = option.withColumn("gain", gain).groupBy("id").agg(F.min_by("community", F.struct(-F.col("gain"), "community")).alias("to"), F.max("gain").alias("top"), F.max(F.when(F.col("community") == F.col("own"), F.col("gain"))).alias("stay"))
-        wish = best.where(F.col("top") > F.coalesce("stay", F.lit(0.0)) + 1e-12).select("id", "to")
-        turn = F.pmod(F.xxhash64("id", F.lit(i)), F.lit(2)) == 0
-        joined = now.join(wish, "id", "left")
-        now = cut_lineage(joined.select("id", "k", F.coalesce(F.when(turn, F.col("to")), F.col("community")).alias("community"), F.col("to").isNotNull().alias("restless")))
-        if now.where("restless").isEmpty():
+        best = option.withColumn("gain", gain).groupBy("id", "k", "own").agg(
+            F.min_by("community", F.struct(-F.col("gain"), "community")).alias("to"), F.max("gain").alias("top"), F.max(F.when(F.col("community") == F.col("own"), F.col("gain"))).alias("stay")
+        )
+        restless = F.col("top") > F.coalesce("stay", F.lit(0.0)) + 1e-12
+        turn = F.md5(F.concat(F.col("id"), F.lit(f":{i}"))) < "8"
+        seen = Observation()
+        moved = best.select("id", "k", F.when(restless & turn, F.col("to")).otherwise(F.col("own")).alias("community"), F.coalesce(restless, F.lit(False)).alias("restless"))
+        now = materialize(moved.observe(seen, F.count_if("restless").alias("n")).drop("restless"))
+        if not seen.get["n"]:
             break
-        now = now.drop("restless")
-    return now.select("id", "community")
+    return now

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from lattis.operators.topology import entropy, raw_degree
 
 #: Spellings of the two typed relations.
-SUPERSEDES = ("supersedes", "superseded_by", "replaces", "replaced_by", "obsoletes")
-CONTRADICTS = ("contradicts", "contradicted_by", "conflicts_with", "disputes")
+SUPERSEDES = ("supersedes", "superseded_by", "supersede", "replaces", "replaced_by")
+CONTRADICTS = ("contradicts", "contradicted_by", "contradict", "conflicts_with")
 
 
 def normalize_predicate(edge_type: Column) -> Column:

@@ -1,8 +1,8 @@
 """Graph topology: degrees, health, components, neighbourhoods, brokerage.
 
 Graphs are ``(id, name, entity_type)`` and ``(source_id, target_id,
-edge_type)``. Iterations checkpoint; nothing but convergence counts reaches
-the driver.
+edge_type)``. A round of an iteration ends in a written table; nothing but
+convergence counts reaches the driver.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattis.operators.components import connected_components
-from lattis.session import cut_lineage
+from lattis.session import cut_lineage, materialize
 
 
 def valid_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -118,7 +118,7 @@ def khop(edges: DataFrame, roots: DataFrame, hops: int) -> DataFrame:
     edge = seen
     for k in range(1, hops + 1):
         reached = edge.join(steps, F.col("id") == F.col("u")).select("root", F.col("v").alias("id")).distinct()
-        edge = cut_lineage(reached.join(seen, ["root", "id"], "left_anti").withColumn("depth", F.lit(k)))
+        edge = materialize(reached.join(seen, ["root", "id"], "left_anti").withColumn("depth", F.lit(k)))
         seen = seen.unionByName(edge)
     return seen
 
@@ -131,14 +131,14 @@ def induced_edges(edges: DataFrame, ids: DataFrame) -> DataFrame:
 def shortest_paths(edges: DataFrame, pairs: DataFrame, longest: int = 20) -> DataFrame:
     """``(a, b, hops)`` for each asked pair; null hops if apart or further than ``longest`` (TOP20)."""
     steps = both_ways(simple(edges))
-    asked = cut_lineage(pairs.select("a", "b").distinct())
+    asked = materialize(pairs.select("a", "b").distinct())
     seen = asked.select("a", F.col("a").alias("id")).distinct()
     edge, found = seen, asked.where("a = b").withColumn("hops", F.lit(0))
     for k in range(1, longest + 1):
-        edge = cut_lineage(edge.join(steps, F.col("id") == F.col("u")).select("a", F.col("v").alias("id")).distinct().join(seen, ["a", "id"], "left_anti"))
+        edge = materialize(edge.join(steps, F.col("id") == F.col("u")).select("a", F.col("v").alias("id")).distinct().join(seen, ["a", "id"], "left_anti"))
         if edge.isEmpty():
             break
-        seen = cut_lineage(seen.union(edge))
+        seen = materialize(seen.union(edge))
         found = found.unionByName(asked.join(edge.withColumnRenamed("id", "b"), ["a", "b"]).withColumn("hops", F.lit(k)))
     return asked.join(found, ["a", "b"], "left")
 

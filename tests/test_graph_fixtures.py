@@ -154,7 +154,7 @@ def test_supersession(spark):
 
 
 def test_contradictions(spark):
-    e = edges(spark, "a-b:contradicts b-a:Conflicts-With c-c:disputes d-e:mentions").withColumn("seq", F.monotonically_increasing_id()).withColumn("evidence", F.when(F.col("source_id") == "a", "said so"))
+    e = edges(spark, "a-b:contradicts b-a:Conflicts-With c-c:contradict d-e:disputes").withColumn("seq", F.monotonically_increasing_id()).withColumn("evidence", F.when(F.col("source_id") == "a", "said so"))
     found = {(r["a"], r["b"]): r["claim_a"] for r in R.contradiction_pairs(e, nodes(spark, x="a b")).collect()}
     assert found == {("a", "b"): "said so", ("c", "c"): "c"}
 
@@ -199,3 +199,34 @@ def test_entropy_is_bounded(spark):
     counts = spark.createDataFrame([(int(n),) for n in rng.integers(1, 100, 9)], "n long")
     r = T.entropy(counts).first()
     assert 0 <= r["entropy"] <= np.log2(9) and 0 <= r["normalized"] <= 1
+
+
+def size_bits(df):
+    return df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length()
+
+
+def test_iterations_do_not_compound_size_estimates(spark):
+    """A round's estimate mustn't be a product of those before: its digits would hang the planner."""
+    n = 40
+    path = spark.createDataFrame([(f"n{k:02d}", f"n{k + 1:02d}", "supersedes") for k in range(n)], EDGE)
+    nodes = spark.createDataFrame([(f"n{k:02d}", "", "t") for k in range(n + 1)], NODE)
+    pairs = spark.createDataFrame([("n00", "n15")], "a string, b string")
+    for found in (
+        G.label_communities(path, rounds=10, levels=1),
+        T.khop(path, spark.createDataFrame([("n00",)], "id string"), 10),
+        T.components_of(nodes, path),
+        R.supersession_chains(path),
+    ):
+        assert size_bits(found) < 200
+    assert T.shortest_paths(path, pairs).first()["hops"] == 15
+
+
+def test_supersession_chains_double_their_steps(spark):
+    long = [(f"a{k + 1:03d}", f"a{k:03d}", "supersedes") for k in range(300)]
+    rows = [*long, ("b2", "b1", "replaces"), ("c", "c0", "supersedes"), ("c", "c1", "supersedes"), (None, "x", "supersedes")]
+    found = {r["head"]: (r["length"], r["chain"]) for r in R.supersession_chains(spark.createDataFrame(rows, EDGE)).collect()}
+    assert found["a300"] == (301, ">".join(f"a{k:03d}" for k in range(301)))
+    assert found["b2"] == (2, "b1>b2") and found["c"] == (2, "c0>c") and len(found) == 3
+    assert R.supersession_chains(spark.createDataFrame([], EDGE)).collect() == []
+    with pytest.raises(ValueError):
+        R.supersession_chains(spark.createDataFrame([("h", "p", "supersedes"), ("p", "q", "supersedes"), ("q", "p", "supersedes")], EDGE)).collect()
