@@ -100,3 +100,30 @@ def test_recall_of_the_index_over_a_table(spark):
     rows = [(r["vec_id"], r["embedding"], r["label"], 0) for r in spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").collect()]
     found, expected = fast(spark, rows), slow(rows)
     assert sum(n for _, n, _ in found) >= 0.9 * sum(n for _, n, _ in expected)
+
+
+def test_null_and_shared_ids_lose_no_link(spark):
+    a, b, far = [1.0, 2.0, 3.0], [1.0, 2.0, 3.01], [-3.0, 1.0, 0.0]
+    rows = [(7, a, 0, 0), (9, a, 0, 0), (None, a, 0, 0), (11, b, 0, 0), (20, far, 0, 0), (20, [-3.0, 1.0, 0.01], 0, 0), (30, [0.0, 0.0, 1.0], 0, 0), (30, [0.0, 1.0, 0.0], 0, 0), (None, [5.0, -5.0, 5.0], 0, 0)]
+    found = H.near_duplicate_vectors(spark.createDataFrame(rows, ROWS)).collect()
+    got = sorted(((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in found), key=str)
+    assert got == sorted([(7, 3, 7, True), (9, 3, 7, False), (None, 3, 7, None), (11, 3, 7, False), (20, 1, 20, True), (20, 1, 20, True), (30, 0, 30, True), (30, 0, 30, True), (None, 0, None, None)], key=str)
+
+
+def test_vectors_that_link_with_nothing_among_others(spark):
+    rows = [(1, None, 0, 0), (2, [0.0, 0.0], 0, 0), (3, [1.0, None], 0, 0), (4, [], 0, 0), (5, [3.0, 4.0], 0, 0), (6, [float("inf"), 1.0], 0, 0), (7, [3.0, 4.0], None, 0)]
+    read = {r["vec_id"]: r["v"] for r in H.read_vectors(spark.createDataFrame(rows, ROWS)).collect()}
+    assert {k for k, v in read.items() if v is not None} == {5} and np.frombuffer(bytes(read[5])).tolist() == [3.0, 4.0]
+
+
+def test_the_graph_is_searched_while_it_grows():
+    """Insertion in batches keeps every node reachable and finds what brute force finds."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(3000, 16))
+    x[1::5] = x[0::5] + 0.03 * rng.normal(size=x[1::5].shape)
+    unit = H._unit(x)
+    graph = H.SmallWorld(unit)
+    assert graph.whole
+    q, node = graph.search(unit, 48, 0.98)
+    truth = unit @ unit.T >= 0.98
+    assert len(q) >= 0.99 * truth.sum() and truth[q, node].mean() > 0.999
