@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +23,7 @@ from lattis.llm.tokens import run_memo
 from lattis.session import materialize
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, idx long"
-PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, n_sequences long, least_sequences long"
 
 
 # ---------------------------------------------------------------- search
@@ -31,8 +33,11 @@ def completions(counts: np.ndarray, room: int, most: int = 6, effort: int = 400)
     """Undominated fillings of ``room`` from the lengths that are left.
 
     Fuller fillings come first and, of equally full ones, those with fewer
-    and larger items. A filling that leaves room for another item at hand is
-    dominated and isn't listed; so is any other where one item fills the room.
+    and larger items. A filling is dominated, and isn't listed, if it leaves
+    room for another item at hand, or if some of its items can be exchanged
+    for one larger or equal item at hand (:func:`dominated`). Of fillings
+    that are all dominated by some that weren't met, the first stays.
+    ``effort`` bounds the items tried once a filling has been found.
     """
     if room <= 0:
         return [()]
@@ -84,7 +89,63 @@ def completions(counts: np.ndarray, room: int, most: int = 6, effort: int = 400)
     if len(found) < 2:
         descend()
     ranked = sorted(found, key=lambda f: (-found[f], len(f), tuple(-x for x in f)))
-    return ranked[:most]
+    at_hand = int.from_bytes(np.packbits(counts[: room + 1] > 0, bitorder="little").tobytes(), "little")
+    free = (f for f in ranked[: 16 * most] if not dominated(f, room, at_hand & ~sum(1 << s for s in set(f) if counts[s] <= f.count(s))))
+    return list(islice(free, most)) or ranked[:1]
+
+
+def dominated(filling: tuple[int, ...], room: int, at_hand: int) -> bool:
+    """Whether items of ``filling`` can be exchanged for one item at hand that is larger, or as large as two or more.
+
+    Bit t of ``at_hand`` tells whether an item of t tokens is left beside the
+    filling. Whatever packing goes on from the filling goes on as well after
+    the exchange, as what comes out fits where the other item was.
+    """
+    slack = room - sum(filling)
+    any_of, many = 1, 0  # bit t: some items (two or more of them) have t tokens together
+    for s in filling:
+        many |= (many | (any_of & ~1)) << s
+        any_of |= any_of << s
+    # every sum plus 1 to ``slack``, by doubling the span that is covered
+    reach, covered = (any_of & ~1) << 1 if slack else 0, 1
+    while covered < slack:
+        more = min(covered, slack - covered)
+        reach |= reach << more
+        covered += more
+    return bool(at_hand & (reach | many))
+
+
+def least_bins(counts: np.ndarray, capacity: int) -> int:
+    """A lower bound on the sequences: tokens / capacity, and what large pieces waste.
+
+    For a threshold ``a`` up to half the capacity, pieces over ``capacity -
+    a`` are alone among those of ``a`` and more, pieces over half the capacity
+    are in sequences of their own, and what the others of ``a`` and more need
+    beyond the room left there takes further sequences. Of pieces longer than
+    a (k + 1)-th of the capacity, k at most fit together. The best of all counts.
+    """
+    lengths = np.arange(len(counts), dtype=np.int64)
+    counts = counts.astype(np.int64)
+    n, tokens = np.r_[0, np.cumsum(counts)], np.r_[0, np.cumsum(counts * lengths)]
+    half = capacity // 2 + 1  # the least length of which no two fit
+    a = np.arange(0, capacity // 2 + 1)
+    alone = n[-1] - n[capacity - a + 1]
+    from_ = np.minimum(half, capacity - a + 1)
+    single = n[capacity - a + 1] - n[from_]
+    room = single * capacity - (tokens[capacity - a + 1] - tokens[from_])
+    small = tokens[from_] - tokens[np.minimum(a, from_)]
+    k = np.arange(1, 65)
+    some = -(-(n[-1] - n[capacity // (k + 1) + 1]) // k)
+    return int(max((alone + single + np.maximum(0, -(-(small - room) // capacity))).max(), some.max()))
+
+
+@dataclass
+class Packing:
+    """Patterns ``(lengths of one sequence, number of such sequences)``, how many sequences they are, and a lower bound."""
+
+    patterns: list[tuple[tuple[int, ...], int]]
+    sequences: int
+    least: int
 
 
 def solve(counts: np.ndarray, capacity: int, budget: int = 2_000) -> list[tuple[tuple[int, ...], int]]:
@@ -97,9 +158,14 @@ def solve(counts: np.ndarray, capacity: int, budget: int = 2_000) -> list[tuple[
     best fit at every step, is the first incumbent; the search stops at the
     lower bound or after ``budget`` nodes beyond it.
     """
+    return pack_counts(counts, capacity, budget).patterns
+
+
+def pack_counts(counts: np.ndarray, capacity: int, budget: int = 2_000) -> Packing:
+    """:func:`solve`, with the number of sequences and the lower bound; equal, they prove that there can't be fewer."""
     counts = counts.astype(np.int64).copy()
     lengths = np.arange(len(counts))
-    floor = -(-int((counts * lengths).sum()) // capacity)
+    floor = least_bins(counts, capacity)
     best: list[tuple[tuple[int, ...], int]] | None = None
     best_n = 1 << 62
     path: list[tuple[tuple[int, ...], int]] = []
@@ -124,7 +190,7 @@ def solve(counts: np.ndarray, capacity: int, budget: int = 2_000) -> list[tuple[
     stack: list[Iterator[tuple[tuple[int, ...], int]]] = []
     stack.append(iter(options(4)) if counts.any() else iter(()))
     if not counts.any():
-        return []
+        return Packing([], 0, 0)
     while stack:
         step = next(stack[-1], None)
         if step is None:
@@ -138,8 +204,7 @@ def solve(counts: np.ndarray, capacity: int, budget: int = 2_000) -> list[tuple[
         if best is not None and (spent > budget or best_n <= floor):
             break
         apply(step, 1)
-        bound = used + step[1] + -(-int((counts * lengths).sum()) // capacity)
-        if bound >= best_n:
+        if best is not None and used + step[1] + least_bins(counts, capacity) >= best_n:
             apply(step, -1)
             continue
         path.append(step)
@@ -151,7 +216,7 @@ def solve(counts: np.ndarray, capacity: int, budget: int = 2_000) -> list[tuple[
             used -= step[1]
         else:
             stack.append(iter(options(4)))
-    return best or []
+    return Packing(best or [], best_n if best else 0, floor)
 
 
 class Placement:
@@ -238,6 +303,10 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: in
 def pack(pieces: DataFrame, capacity: int = 2048, budget: int = 2_000) -> DataFrame:
     """Pieces with their ``sequence_id`` and ``offset``; columns ``PACKED``.
 
+    ``n_sequences`` is the number of sequences in all, and
+    ``least_sequences`` a lower bound on it: where they are equal, the
+    packing is proven to be as short as can be; where they aren't, their
+    difference is the most that a longer search could win.
     ``pieces`` must be stable when read again (a written table). No pieces
     give no rows. To the driver goes one count for each length, so at most
     ``capacity`` rows; ranks across tasks come from the counts by task and
@@ -246,7 +315,9 @@ def pack(pieces: DataFrame, capacity: int = 2048, budget: int = 2_000) -> DataFr
     counts = np.zeros(capacity + 1, dtype=np.int64)
     for row in pieces.groupBy("length").count().collect():
         counts[row["length"]] = row["count"]
-    placement = Placement(solve(counts, capacity, budget))
+    packing = pack_counts(counts, capacity, budget)
+    placement = Placement(packing.patterns)
+    totals = [pa.scalar(packing.sequences, pa.int64()), pa.scalar(packing.least, pa.int64())]
     by_task = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     first = by_task.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
@@ -255,7 +326,7 @@ def pack(pieces: DataFrame, capacity: int = 2048, budget: int = 2_000) -> DataFr
         for batch in batches:
             sequence, offset = placement.place(batch.column("length").to_numpy(), batch.column("rank").to_numpy())
             kept = [batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(sequence), pa.array(offset)], names=[x.split()[0] for x in PACKED.split(", ")])
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(sequence), pa.array(offset), *(pa.repeat(t, len(batch)) for t in totals)], names=[x.split()[0] for x in PACKED.split(", ")])
 
     ranked = pieces.join(first, ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first") + F.col("idx")).alias("rank"))
     return ranked.mapInArrow(run, PACKED)

@@ -109,3 +109,33 @@ def test_memo_equals_the_tokenizer_and_stays_bounded():
         for some in (texts[:3], texts[3:100], texts):
             ids, ends = m.encode(some)
             assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == [whole.encode(t, add_special_tokens=False).ids for t in some]
+
+
+@pytest.mark.parametrize("seed", range(25))
+def test_the_lower_bound_holds(seed):
+    rng = np.random.default_rng(100 + seed)
+    lengths = rng.integers(1, 21, rng.integers(1, 11)).tolist()
+    counts = np.bincount(lengths, minlength=21)
+    packing = B.pack_counts(counts, 20)
+    assert B.least_bins(counts, 20) == packing.least <= fewest(lengths, 20) == packing.sequences
+
+
+def test_the_bound_sees_what_large_pieces_waste():
+    rng = np.random.default_rng(3)
+    for lengths, gap in ((rng.integers(600, 720, 9000), 0), (np.r_[rng.integers(900, 1200, 5000), rng.integers(1, 300, 3000)], 0.002), (rng.integers(500, 2049, 8700), 0.002), (np.r_[np.ones(1_000_000, int)], 0)):
+        packing = B.pack_counts(np.bincount(lengths, minlength=2049), 2048)
+        assert 0 <= packing.sequences - packing.least <= gap * packing.sequences
+
+
+def test_exchanges():
+    bits = lambda *lengths: sum(1 << s for s in lengths)
+    assert B.dominated((5, 3), 10, bits(4)) and B.dominated((5, 3), 10, bits(7)) and B.dominated((5, 3), 8, bits(8))
+    assert not B.dominated((5, 3), 8, bits(4, 6)) and not B.dominated((5, 3), 10, bits(11, 3)) and not B.dominated((5, 3), 10, 0)
+
+
+@pytest.mark.parametrize("empty", [1_100, 3_000])
+def test_empty_texts_beside_a_long_one(spark, empty):
+    docs = spark.range(empty).selectExpr("id as doc_id", "'' as text").union(spark.createDataFrame([(-1, "the rain " * 1500)], "doc_id long, text string"))
+    rows = B.pack_documents(docs, PATH).collect()
+    check(rows, docs.collect(), 2048)
+    assert {(r["n_sequences"], r["least_sequences"]) for r in rows} == {(len({r["sequence_id"] for r in rows}),) * 2}
