@@ -17,6 +17,8 @@ the fingerprints: of few shingles, those differ too much.
 
 from __future__ import annotations
 
+import itertools
+import pickle
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,7 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattis.session import materialize
+from lattis.llm import files
+from lattis.session import deal, materialize, new_shared_path
 
 MATCH = "doc_id long, item_id long, similarity double, hamming int, start_word long, n_words long"
 _base = np.uint64(0x9E3779B97F4A7C15)
@@ -101,24 +104,41 @@ class ItemsOfLength:
     n_words: int
     ids: np.ndarray
     shingles: np.ndarray
-    counts: list[Counter]
     prints: np.ndarray
     blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
 
-    def candidates(self, prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All ``(window, item, distance)`` with fingerprints within ``radius``."""
-        pairs = []
-        for b, (values, first, items) in enumerate(self.blocks):
-            own = (prints >> np.uint64(16 * b)).astype(np.uint16)
-            window, value = np.nonzero(np.bitwise_count(own[:, None] ^ values[None, :]) <= radius // 4)
-            many = first[value + 1] - first[value]
-            at = np.repeat(first[value] - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(many.sum())
-            pairs.append(np.repeat(window, many) * len(self.ids) + items[at])
-        found = np.unique(np.concatenate(pairs))
-        window, item = found // len(self.ids), found % len(self.ids)
-        distance = np.bitwise_count(prints[window] ^ self.prints[item])
-        near = distance <= radius
-        return window[near], item[near], distance[near]
+    def candidates(self, prints: np.ndarray, radius: int, cells: int = 1 << 22) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ``(window, item, distance)`` with fingerprints within ``radius``.
+
+        A block of a window is looked up under all values that the radius
+        allows, or compared with the items' values where those are fewer;
+        ``cells`` bounds how many of either are held at a time.
+        """
+        masks = _masks(radius // 4)
+        out = []
+        step = max(1, cells // max(1, min(len(masks), max(len(values) for values, _, _ in self.blocks))))
+        for a in range(0, len(prints), step):
+            some, pairs = prints[a : a + step], []
+            for b, (values, first, items) in enumerate(self.blocks):
+                own = (some >> np.uint64(16 * b)).astype(np.uint16)
+                if len(values) <= len(masks):
+                    window, value = np.nonzero(np.bitwise_count(own[:, None] ^ values[None, :]) <= radius // 4)
+                else:
+                    slot = np.full(1 << 16, -1, dtype=np.int32)
+                    slot[values] = np.arange(len(values))
+                    value = slot[own[:, None] ^ masks[None, :]]
+                    window = np.nonzero(value >= 0)[0]
+                    value = value[value >= 0]
+                many = first[value + 1] - first[value]
+                at = np.repeat(first[value] - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(many.sum())
+                window, item = np.repeat(window, many), items[at]
+                near = np.bitwise_count(some[window] ^ self.prints[item]) <= radius
+                pairs.append(window[near] * len(self.ids) + item[near])
+            found = np.unique(np.concatenate(pairs))
+            window, item = found // len(self.ids), found % len(self.ids)
+            out.append((window + a, item, np.bitwise_count(some[window] ^ self.prints[item])))
+        window, item, distance = (np.concatenate(x) for x in zip(*out)) if out else (np.empty(0, np.int64),) * 3
+        return window, item, distance
 
     def sharing(self, window: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All ``(0, item, distance)`` of items with ``least`` or more shingles that ``window`` has too."""
@@ -126,6 +146,16 @@ class ItemsOfLength:
         return np.zeros_like(item), item, np.bitwise_count(signature(window[None, :]) ^ self.prints[item])
 
 
+_known_masks: dict[int, np.ndarray] = {}
+
+
+def _masks(most: int) -> np.ndarray:
+    """All 16-bit values of at most ``most`` set bits."""
+    if most not in _known_masks:
+        _known_masks[most] = np.array([sum(1 << i for i in chosen) for k in range(most + 1) for chosen in itertools.combinations(range(16), k)], dtype=np.uint16)
+    return _known_masks[most]
+
+
 class ItemIndex:
     """Items by length, and the set of all their shingles behind a bit filter."""
 
@@ -147,7 +177,7 @@ class ItemIndex:
                 order = np.argsort(own, kind="stable")
                 values, first = np.unique(own[order], return_index=True)
                 blocks.append((values, np.r_[first, len(own)], order))
-            self.groups.append(ItemsOfLength(n, np.array([k for k, _ in rows]), shingles, [Counter(s.tolist()) for _, s in rows], prints, blocks))
+            self.groups.append(ItemsOfLength(n, np.array([k for k, _ in rows]), shingles, prints, blocks))
         every = [s for rows in lengths.values() for _, s in rows]
         self.shingles = {n: np.unique(np.concatenate([s for _, s in rows])) for n, rows in lengths.items() if n < each}
         long = [s for n, rows in lengths.items() if n >= each for _, s in rows]
@@ -191,45 +221,91 @@ class ItemIndex:
                 rows = np.lib.stride_tricks.sliding_window_view(hashes, m)[chosen]
                 pairs = group.sharing(rows[0], enough) if m < own else group.candidates(signature(rows), radius)
                 for w, i, distance in zip(*pairs):
-                    found = similarity(Counter(rows[w].tolist()), group.counts[i])
+                    found = similarity(Counter(rows[w].tolist()), Counter(group.shingles[i].tolist()))
                     key, start = int(group.ids[i]), int(chosen[w])
                     if found >= least and (key not in best or (-found, start) < (-best[key][0], best[key][2])):
                         best[key] = (found, int(distance), start, n_words)
         return [(key, *x) for key, x in sorted(best.items())]
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, radius: int = 19, each: int = 5, block: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, radius: int = 23, each: int = 5, block: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of ``MATCH`` for each document and item of which it holds a passage.
 
     The row tells the item's most similar window in the whole text (the
     first of equal ones), which is the whole text where the item is longer.
     Null and empty texts, and items without a word,
     match nothing; rows with a null id are reported under it; repeated rows
-    give repeated matches; items that share an id give one row. Items are
-    taken ``block`` at a time, so what a task receives is bounded; documents
-    are never shuffled.
+    give repeated matches; items that share an id give one row; other
+    columns aren't read. No documents, or no items, give no rows.
+
+    Items are indexed ``block`` at a time, by tasks, into files that the
+    documents' tasks read one after the other; so a task holds one block,
+    the driver the files' names, and documents are read and hashed once and
+    never shuffled.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null").distinct()
     blocks = max(1, -(-items.count() // block))
     numbered = items.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(blocks)).cast("int"))
+    folder = new_shared_path(docs.sparkSession, "items")
+    written = materialize(deal(numbered, "block").sortWithinPartitions("block", "item_id", "text").select("block", "item_id", "text").mapInArrow(_index(folder, each), "file string"), "blocks")
+    names = sorted(r["file"] for r in written.collect())
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    found = None
-    for k in range(blocks):
-        index = ItemIndex([(r["item_id"], r["text"]) for r in numbered.where(F.col("block") == k).orderBy("item_id", "text").collect()], each)
-        part = texts.mapInArrow(_search(index, least, radius), MATCH)
-        found = part if found is None else found.unionByName(part)
-    return found
+    return texts.mapInArrow(_search(names, least, radius), MATCH)
+
+
+def _index(folder: str, each: int):
+    """Writes each block of items as an index file and returns the files' names."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def write() -> pa.RecordBatch:
+            name = f"{folder}/{files.attempt_name(f'block{now}', '.items')}"
+            with files.create(name) as out:
+                out.write(pickle.dumps(ItemIndex(held, each), protocol=5))
+            return pa.RecordBatch.from_pydict({"file": [name]})
+
+        now, held = None, []
+        for batch in batches:
+            for k, item, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if k != now and held:
+                    yield write()
+                    held = []
+                now = k
+                held.append((item, text))
+        if held:
+            yield write()
+
+    return run
 
 
-def _search(index: ItemIndex, least: float, radius: int):
+def _search(names: list[str], least: float, radius: int, words_at_once: int = 1 << 20):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
-        names = [x.split()[0] for x in MATCH.split(", ")]
+        columns = [x.split()[0] for x in MATCH.split(", ")]
         kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int64(), pa.int64())
+        at_hand: tuple[str, ItemIndex] | None = None
+
+        def search(held: list[tuple[int | None, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+            nonlocal at_hand
+            for name in names:
+                if at_hand is None or at_hand[0] != name:
+                    at_hand = None  # before the next is read: one block at a time
+                    at_hand = name, pickle.loads(files.read_range(name, 0, files.size(name)))
+                out = [(key, *m) for key, words in held for m in at_hand[1].matches(words, least, radius)]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*out), kinds)], names=columns)
+
+        held, n = [], 0
         for batch in batches:
-            out = [(key, *m) for key, text in zip(batch.column(0).to_pylist(), batch.column(1)) for m in index.matches(hasher(words_of(text.as_py())), least, radius)]
-            columns = list(zip(*out)) if out else [()] * len(kinds)
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds)], names=names)
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                words = hasher(words_of(text.as_py()))
+                if len(words):
+                    held.append((key, words))
+                    n += len(words)
+                if n >= words_at_once:
+                    yield from search(held)
+                    held, n = [], 0
+        if held:
+            yield from search(held)
 
     return run
 
@@ -237,7 +313,8 @@ def _search(index: ItemIndex, least: float, radius: int):
 def keep_clean(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that hold no passage of an item; columns as they are.
 
-    A row with a null id can't be named by a match and stays.
+    A row with a null id can't be named by a match and stays; so do null and
+    empty texts. Repeated rows go or stay together.
     """
     found = find_contamination(docs, benchmark, least, id_col=id_col, text_col=text_col)
     # written, so that the size of this set is known where it is joined: documents move only if it is large

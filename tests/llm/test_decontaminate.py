@@ -95,3 +95,38 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert D.find_contamination(no_docs, benchmark).collect() == []
     assert D.find_contamination(odd_docs, benchmark.limit(0)).collect() == []
     assert D.keep_clean(odd_docs, benchmark.limit(0)).count() == odd_docs.count()
+
+
+def test_blocks_are_looked_up_under_all_values_in_reach():
+    """More items of one length than values in reach: looked up, a few windows at a time."""
+    rng = np.random.default_rng(2)
+    items = [(k, " ".join(f"v{x}" for x in rng.integers(0, 50, 12))) for k in range(4_000)]
+    (group,) = D.ItemIndex(items).groups
+    assert all(len(values) > len(D._masks(4)) for values, _, _ in group.blocks)
+    probe = group.prints[rng.integers(0, 4_000, 60)]
+    for _ in range(16):
+        probe = probe ^ (np.uint64(1) << rng.integers(0, 64, 60).astype(np.uint64))
+    near = np.bitwise_count(probe[:, None] ^ group.prints[None, :]) <= 19
+    for cells in (1 << 22, 5_000):
+        window, item, distance = group.candidates(probe, 19, cells)
+        assert {*zip(window.tolist(), item.tolist())} == {(int(a), int(b)) for a, b in zip(*np.nonzero(near))}
+        assert (np.bitwise_count(probe[window] ^ group.prints[item]) == distance).all()
+
+
+def test_documents_are_read_once_however_many_items(spark):
+    docs, items = corpus()
+    found = D.find_contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), block=2)
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
+def test_the_radius_loses_no_similar_window():
+    """Windows that differ in as many shingles as similarity 0.8 allows."""
+    rng = np.random.default_rng(0)
+    for m in (9, 15, 30, 56):
+        a = rng.integers(0, 1 << 62, (1_500, m)).astype(np.uint64) * np.uint64(4)
+        k = m // 9
+        b = a.copy()
+        b[:, :k] = rng.integers(0, 1 << 62, (1_500, k)).astype(np.uint64) * np.uint64(4)
+        mix = lambda x: D._mix(x.ravel()).reshape(x.shape)
+        assert (m - k) / (m + k) >= 0.8
+        assert np.bitwise_count(D.signature(mix(a)) ^ D.signature(mix(b))).max() <= 23
