@@ -136,13 +136,14 @@ def write_monoliths(records: DataFrame, folder: str, level: int = 1) -> DataFram
     return records.mapInArrow(run, "file string, n long")
 
 
-def normalise(monoliths: DataFrame, folder: str, level: int = 1, chunk: int = 1 << 20) -> DataFrame:
+def normalise(monoliths: DataFrame, folder: str, level: int = 1, chunk: int = 1 << 20, flush_rows: int = 4_096) -> DataFrame:
     """Rewrite each file of ``(file)`` with one gzip member a record; the rows of ``INDEX``.
 
     Beside every rewritten file lies ``<file>.idx``, a line
     ``offset length record-id type`` for each record. Streams of one or of
-    many members are read alike, a megabyte at a time; one record is held at
-    a time. An archive that ends within a record is an error.
+    many members are read alike, a megabyte at a time; one record and
+    ``flush_rows`` index rows are held at a time. An archive that ends within a
+    record is an error.
     """
 
     def inflated(uri: str) -> Iterator[bytes]:
@@ -161,7 +162,8 @@ def normalise(monoliths: DataFrame, folder: str, level: int = 1, chunk: int = 1
         for batch in batches:
             for k, source in enumerate(batch.column(0).to_pylist()):
                 name = f"{folder}/{files.attempt_name(f'{source.rpartition('/')[2].split('.')[0]}-{k}', '.warc.gz')}"
-                rows: dict[str, list] = {x.split()[0]: [] for x in INDEX.split(", ")}
+                names = [x.split()[0] for x in INDEX.split(", ")]
+                rows: dict[str, list] = {x: [] for x in names}
                 reader, at, n = RecordReader(), 0, 0
                 with files.create(name) as out, files.create(f"{name}.idx") as sidecar:
                     for data in inflated(source):
@@ -174,18 +176,24 @@ def normalise(monoliths: DataFrame, folder: str, level: int = 1, chunk: int = 1
                                 rows[key].append(value)
                             at += len(member)
                             n += 1
+                            if n % flush_rows == 0:
+                                yield pa.RecordBatch.from_pydict(rows)
+                                rows = {x: [] for x in names}
                     reader.close()
-                yield pa.RecordBatch.from_pydict(rows)
+                if rows["file"]:
+                    yield pa.RecordBatch.from_pydict(rows)
 
     return monoliths.select("file").mapInArrow(run, INDEX)
 
 
-def read_records(index: DataFrame, run_bytes: int = 4 << 20) -> DataFrame:
+def read_records(index: DataFrame, run_bytes: int = 4 << 20, task_bytes: int = 64 << 20) -> DataFrame:
     """``(page_id, url, record_type, refers_to, payload_digest, payload_bytes, stored_digest)``.
 
     Records are read by their offsets; neighbours in a file are fetched
-    together, ``run_bytes`` at a time. A response's digest and size are those
-    of the payload that was read; a revisit's are its headers'.
+    together, ``run_bytes`` at a time, and dealt out so that a task reads
+    about ``task_bytes`` (the offsets are small, whatever they stand for). A
+    response's digest and size are those of the payload that was read; a
+    revisit's are its headers'. ``index`` is read twice.
     """
     names = "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, stored_digest string"
 
@@ -211,7 +219,10 @@ def read_records(index: DataFrame, run_bytes: int = 4 << 20) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds)], names=[x.split()[0] for x in names.split(", ")])
 
     runs = index.groupBy("file", F.floor(F.col("offset") / run_bytes).alias("run")).agg(F.collect_list(F.struct("offset", "length")).alias("spans"))
-    return deal(runs, "file", "run").select("file", "spans").mapInArrow(run, names)
+    stored = index.agg(F.sum("length")).first()[0] or 0
+    # by a hash of its own: the aggregate is partitioned by file and run already, and would be left as it is
+    dealt = deal(runs.withColumn("to", F.xxhash64("file", "run")), "to", least=-(-stored // task_bytes))
+    return dealt.select("file", "spans").mapInArrow(run, names)
 
 
 def archive(spark: SparkSession, pages: DataFrame, folder: str | None = None) -> DataFrame:

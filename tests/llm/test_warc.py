@@ -1,6 +1,8 @@
 import hashlib
 import zlib
 
+from pyspark.sql import functions as F
+
 from lattis.llm import files, warc
 from lattis.session import new_shared_path
 
@@ -67,3 +69,23 @@ def test_streams_of_one_or_many_members_are_read_alike(spark):
 
 def test_no_pages(spark):
     assert warc.read_records(warc.archive(spark, spark.createDataFrame([], PAGES))).collect() == []
+
+
+def test_the_read_back_takes_many_tasks(spark):
+    pages = spark.range(400).selectExpr("id as page_id", "'u' as url", "repeat(cast(id * 7919 as string), 300) as html")
+    index = warc.archive(spark, pages)
+    tasks = warc.read_records(index, run_bytes=2_000).select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    assert len(tasks) == int(spark.conf.get("spark.sql.shuffle.partitions")) and sum(r["count"] for r in tasks) == 400
+    many = warc.read_records(index, run_bytes=2_000, task_bytes=3_000).select(F.spark_partition_id().alias("p")).distinct().count()
+    assert many > len(tasks)
+
+
+def test_index_rows_are_flushed(spark):
+    raws = [warc.record(k, "u", b"x", hashlib.sha1(b"x").hexdigest(), 1, None) for k in range(25)]
+    folder = new_shared_path(spark, "test")
+    stream = zlib.compressobj(6, 8, 31)
+    with files.create(f"{folder}/a.warc.gz") as f:
+        f.write(stream.compress(b"".join(raws)) + stream.flush())
+    for batch in (1, 10, 25):
+        index = warc.normalise(spark.createDataFrame([(f"{folder}/a.warc.gz",)], "file string"), f"{folder}/out", flush_rows=batch).collect()
+        assert [r["row"] for r in index] == list(range(25))
