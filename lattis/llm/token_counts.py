@@ -57,8 +57,9 @@ def count_tokens(token_files: DataFrame, end_id: int, dtype: str = "<u2", block_
     ``start`` is the identifier's place in the file; ``n_tokens`` leaves out
     the end identifier. Identifiers after the last end are a last document
     that isn't ``ended``. Neighbouring ends enclose a document of no tokens;
-    an empty file holds none; a file that is listed twice counts once. A
-    file whose size isn't a multiple of the width is an error.
+    an empty file holds none; a file that is listed twice counts once, a null
+    file not at all. A file whose size isn't a multiple of the width is an
+    error. The prefix scan of a file takes one row of five numbers a block.
     """
     width = np.dtype(dtype).itemsize
     block = block_bytes // width * width
@@ -87,16 +88,18 @@ def count_tokens(token_files: DataFrame, end_id: int, dtype: str = "<u2", block_
                 )
 
     blocks = token_files.select("file").where("file is not null").distinct().mapInArrow(cut, "file string, offset long, bytes long")
-    found = deal(blocks, "file", "offset").mapInArrow(scan, "file string, offset long, n long, last long, stop long, ends array<long>")
-    before = Window.partitionBy("file").orderBy("offset").rowsBetween(Window.unboundedPreceding, -1)
-    stitched = found.select(
+    # written, as the windows run over a few numbers a block and the ends of a block stay where they are
+    found = materialize(deal(blocks, "file", "offset").mapInArrow(scan, "file string, offset long, n long, last long, stop long, ends array<long>"), "ends")
+    in_file = Window.partitionBy("file").orderBy("offset")
+    before = in_file.rowsBetween(Window.unboundedPreceding, -1)
+    carried = found.select(
         "file",
-        "ends",
-        "stop",
-        (F.lead("offset").over(Window.partitionBy("file").orderBy("offset")).isNull()).alias("final"),
+        "offset",
+        F.lead("offset").over(in_file).isNull().alias("final"),
         F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"),
         F.coalesce(F.last("last", ignorenulls=True).over(before), F.lit(-1)).alias("carry"),
     )
+    stitched = found.select("file", "offset", "stop", "ends").join(carried, ["file", "offset"])
     tail = F.when(F.col("final") & (F.coalesce(F.try_element_at("ends", F.lit(-1)), F.col("carry")) < F.col("stop") - 1), F.array(F.col("stop"))).otherwise(F.array().cast("array<long>"))
     documents = stitched.select("file", "base", "carry", "ends", F.size("ends").alias("n"), F.posexplode(F.concat("ends", tail)).alias("at", "end"))
     start = F.when(F.col("at") == 0, F.col("carry")).otherwise(F.get("ends", F.col("at") - 1)) + 1

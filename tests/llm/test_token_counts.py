@@ -50,3 +50,21 @@ def test_boundaries_across_blocks(spark, block_bytes):
 def test_file_without_an_end_and_empty_file(spark):
     assert [(r["n_tokens"], r["ended"]) for r in count_tokens(write(spark, [5, 6, 7]), 0, block_bytes=2).collect()] == [(3, False)]
     assert count_tokens(write(spark, []), 0).collect() == []
+
+
+def test_a_file_of_a_gigabyte(spark):
+    """In blocks of 4 MB; the window sees numbers a block, and no block's ends."""
+    path = f"{new_shared_path(spark, 'test')}/flat.bin"
+    part = np.ones(1 << 24, dtype="<u2")
+    part[[5, 6, 3_000_000, 9_999_999]] = 0
+    with files.create(path) as f:
+        for _ in range(32):
+            f.write(part.tobytes())
+    assert files.size(path) == 1 << 30
+    found = count_tokens(spark.createDataFrame([(path,)], "file string"), 0)
+    windows = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window [" in line]
+    assert windows and not any("ends" in line for line in windows)
+    rows = found.orderBy("ordinal").collect()
+    files.remove(path)
+    ends = np.concatenate([np.array([5, 6, 3_000_000, 9_999_999]) + k * len(part) for k in range(32)] + [[32 * len(part)]])
+    assert [(r["ordinal"], r["start"], r["n_tokens"], r["ended"]) for r in rows] == [(k, a + 1, b - a - 1, k < 128) for k, (a, b) in enumerate(zip([-1, *ends], ends.tolist()))]
