@@ -25,7 +25,7 @@ _odd = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB866
 
 
 def code_points(text: str) -> np.ndarray:
-    """A text's lower-cased letters as code points; other runs are one space."""
+    """The lower-cased text as code points."""
     return np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype="<u4")
 
 
@@ -75,6 +75,7 @@ class BitSlicedBloom:
     false_rate: np.ndarray
     share: np.ndarray
     hashes: int = 3
+    usual: int = 0  #: the place of the commonest language
 
     @staticmethod
     def build(languages: list[str], keys: list[np.ndarray], bits: int = 21, hashes: int = 3) -> BitSlicedBloom:
@@ -116,16 +117,18 @@ class BitSlicedBloom:
         """``(language, score, contained)``: the decision, its share among languages, the share of n-grams known to it.
 
         ``und`` with zeros for a null text or one without a letter. Ties go to
-        the language that comes first in order.
+        the language that comes first in order; a text too short for an
+        n-gram, or with none that a filter holds, to the commonest one with
+        zeros.
         """
         keys, letter = ngrams(text or "")
         if not letter:
             return "und", 0.0, 0.0
         if not len(keys) or not self.languages:
-            return (self.languages[0], 0.0, 0.0) if self.languages else ("und", 0.0, 0.0)
+            return (self.languages[self.usual], 0.0, 0.0) if self.languages else ("und", 0.0, 0.0)
         found = self.counts(keys) / self.share
-        best = int(found.argmax())
         total = found.sum()
+        best = int(found.argmax()) if total > 0 else self.usual
         contained = min(1.0, float(self.counts(keys)[best]) / len(keys))
         return self.languages[best], float(found[best] / total) if total > 0 else 0.0, contained
 
@@ -150,9 +153,10 @@ def train(docs: DataFrame, each: int = 1_500, vocabulary: int = 60_000, distinct
     chooses the rows. A language's filter holds its ``vocabulary`` commonest
     n-grams whose share of its text is at least ``distinctive`` times the
     largest share in any language, so that stray passages in other
-    languages don't enter. Over ``MOST`` languages are an error. ``share`` keeps the part of a language's own
-    n-grams that its filter holds. At most languages x vocabulary counts
-    reach the driver.
+    languages don't enter. Over ``MOST`` languages are an error. ``share``
+    keeps the part of a language's own n-grams that its filter holds. At most
+    languages x vocabulary counts reach the driver. With no row to learn
+    from there are no languages, and every text is ``und``.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~in_fold("doc_id"))
@@ -201,6 +205,7 @@ def train(docs: DataFrame, each: int = 1_500, vocabulary: int = 60_000, distinct
         held.append(max(float(part["share"].sum()), 1e-6))
     bloom = BitSlicedBloom.build(languages, keys)
     bloom.share = np.array(held)
+    bloom.usual = max(range(len(languages)), key=lambda k: (sizes[languages[k]], -k))
     return bloom
 
 
@@ -218,7 +223,13 @@ def identify(text: Column, bloom: BitSlicedBloom) -> Column:
 
 
 def identify_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``(doc_id, held_out, lang_pred, score, contained)`` for every row of ``docs``."""
+    """``(doc_id, held_out, lang_pred, score, contained)`` for every row of ``docs``.
+
+    Null texts and texts without a letter are ``und`` with score 0. Repeated
+    rows and rows with a null id are rows of their own (a null id is never
+    held out, and never learned from); other columns aren't read. No rows
+    give no rows.
+    """
     bloom = train(docs, id_col=id_col, text_col=text_col, lang_col=lang_col)
     found = docs.select(F.col(id_col).cast("long").alias("doc_id"), identify(F.col(text_col).cast("string"), bloom).alias("x"))
     return found.select("doc_id", in_fold("doc_id").alias("held_out"), "x.*")
@@ -227,8 +238,9 @@ def identify_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def keep_identified(docs: DataFrame, least: float = 0.4, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of ``docs`` whose text is in a learned language; columns as they are.
 
-    A text goes if it has no letter, or if its language's filter contains
-    fewer than ``least`` of its n-grams.
+    A text goes if it is null or has no letter, or if its language's filter
+    contains fewer than ``least`` of its n-grams. Rows are judged one by one,
+    so repeated rows go or stay together, whatever their id.
     """
     bloom = train(docs, id_col=id_col, text_col=text_col, lang_col=lang_col)
     return docs.where(identify(F.col(text_col).cast("string"), bloom)["contained"] >= least)

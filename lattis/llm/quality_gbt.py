@@ -245,13 +245,22 @@ def score(text: Column, forest: Forest) -> Column:
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, held_out, score, predicted)`` for every row of ``docs``."""
+    """``(doc_id, held_out, score, predicted)`` for every row of ``docs``.
+
+    Null texts are scored like empty ones. Repeated rows and rows with a
+    null id are rows of their own; other columns aren't read. No rows give no
+    rows; with no labels every text has the score 0.5.
+    """
     forest = train(docs, labels, id_col=id_col, text_col=text_col)
     scored = docs.select(F.col(id_col).cast("long").alias("doc_id"), score(F.col(text_col).cast("string"), forest).alias("score"))
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that score ``threshold`` or more; columns as they are."""
+    """The rows of ``docs`` that score ``threshold`` or more; columns as they are.
+
+    Rows are judged one by one by their text, null ones as empty, so repeated
+    rows go or stay together, whatever their id.
+    """
     forest = train(docs, labels, id_col=id_col, text_col=text_col)
     return docs.where(score(F.col(text_col).cast("string"), forest) >= threshold)

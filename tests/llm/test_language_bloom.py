@@ -58,3 +58,10 @@ def test_more_than_64_languages(spark):
     assert L.keep_identified(docs).count() == len(rows)
     with pytest.raises(ValueError, match="languages at most"):
         L.train(docs.selectExpr("doc_id", "text", "cast(doc_id as string) as lang").union(spark.range(9_000, 9_900).selectExpr("id", "'a'", "cast(id as string)")))
+
+
+def test_texts_too_short_for_an_ngram_get_the_commonest_language(spark):
+    docs = spark.createDataFrame([(k, "ein kurzer Satz vom Regen" if k > 3 else "a short line of rain", "de" if k > 3 else "cs") for k in range(20)], "doc_id long, text string, lang string")
+    bloom = L.train(docs)
+    assert bloom.languages == ["cs", "de"] and bloom.decide("x") == ("de", 0.0, 0.0) and bloom.decide("1") == ("und", 0.0, 0.0)
+    assert bloom.decide("qqqq qqqq")[0] == "de"
