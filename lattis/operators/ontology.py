@@ -147,3 +147,38 @@ def sensitivity(edges: DataFrame, mappings: Mapping[str, Column], stable: float
 
 def used_terms(edges: DataFrame) -> DataFrame:
     return edge_type_distribution(edges).select(F.col("edge_type").alias("term"))
+
+
+#: Finer types by what an entity is and the folder of its note; '' is any other folder.
+FINE_TYPES = {
+    "person": {"behavioral_research": "researcher", "veterinary_research": "researcher", "community_journalism": "journalist", "municipal_policy": "official", "": "person_other"},
+    "organization": {"breed_standards": "kennel_club", "behavioral_research": "research_org", "veterinary_research": "research_org", "municipal_policy": "regulatory_body", "": "organization_other"},
+    "publication": {"breed_standards": "breed_standard", "municipal_policy": "bylaw", "community_journalism": "article", "": "study"},
+}
+#: What evidence of a mention tells; the first that holds counts.
+FINE_MENTIONS = (("mentions_citation", ("cite", "reference")), ("mentions_finding", ("study", "research", "found")))
+
+
+def fine_entity_type(entity_type: Column, source_note: Column) -> Column:
+    """The finer type of an entity by the top folder of its note (ONT11); other types stay."""
+    domain = F.when(F.contains(source_note, F.lit("/")), F.split(source_note, "/")[0]).otherwise("")
+    found = entity_type
+    for kind, by_domain in FINE_TYPES.items():
+        rest = [(d, fine) for d, fine in by_domain.items() if d]
+        fine = F.lit(by_domain[""])
+        for d, name in rest:
+            fine = F.when(domain == d, F.lit(name)).otherwise(fine)
+        found = F.when(entity_type == kind, fine).otherwise(found)
+    return found
+
+
+def fine_edge_type(edge_type: Column, evidence: Column) -> Column:
+    """``mentions`` by what the evidence says of it (ONT11); other types stay."""
+    low = F.lower(F.coalesce(evidence, F.lit("")))
+    fine = F.lit("mentions_general")
+    for name, words in reversed(FINE_MENTIONS):
+        held = F.contains(low, F.lit(words[0]))
+        for w in words[1:]:
+            held = held | F.contains(low, F.lit(w))
+        fine = F.when(held, F.lit(name)).otherwise(fine)
+    return F.when(edge_type == "mentions", fine).otherwise(edge_type)

@@ -301,10 +301,10 @@ def bh_fdr(spark, sf_dir):
 _binom = "CASE WHEN b + c = 0 THEN 1 ELSE least(1, 2 * list_sum(list_transform(range(0, least(b, c) + 1), lambda i: exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2))))) END"
 
 
-@query("mcnemar", f"WITH {_firsts_sql}, p AS (SELECT coalesce(x.rank = 1, false) AS a, coalesce(y.rank = 1, false) AS b FROM firsts x JOIN firsts y ON x.qid = y.qid AND x.strategy = 'hybrid' AND y.strategy = 'vector' WHERE x.qid % 40 = 0), t AS (SELECT count(*) FILTER (a AND NOT b) AS b, count(*) FILTER (NOT a AND b) AS c FROM p) SELECT b, c, round({_binom}, 9) AS p FROM t")
+@query("mcnemar", f"WITH {_firsts_sql}, p AS (SELECT coalesce(x.rank = 1, false) AS a, coalesce(y.rank = 1, false) AS b FROM firsts x JOIN firsts y ON x.qid = y.qid AND x.strategy = 'hybrid' AND y.strategy = 'vector'), t AS (SELECT count(*) FILTER (a AND NOT b) AS b, count(*) FILTER (NOT a AND b) AS c FROM p) SELECT b, c, round({_binom}, 9) AS p FROM t")
 def mcnemar(spark, sf_dir):
-    """Over every fortieth question, a stated set, where the probability isn't 0."""
-    f = _firsts(spark, sf_dir).where("qid % 40 = 0")
+    """Over all questions."""
+    f = _firsts(spark, sf_dir)
     one = lambda s, n: f.where(F.col("strategy") == s).select("qid", F.coalesce(F.col("rank") == 1, F.lit(False)).alias(n))
     return T.mcnemar(one("hybrid", "a").join(one("vector", "b"), "qid"))
 

@@ -92,3 +92,28 @@ def counterfactual(spark, sf_dir):
 def ontology_sensitivity(spark, sf_dir):
     maps = {"as_is": F.col("edge_type"), "flat": F.lit("edge"), "fine": F.concat("edge_type", F.lit(":"), F.length("source_id").cast("string"))}
     return O.sensitivity(S.trade(spark, sf_dir).edges, maps)
+
+
+_fine = {"kind": "['person', 'organization', 'publication', 'breed'][1 + doc_id % 4]", "folder": "['behavioral_research', 'veterinary_research', 'community_journalism', 'municipal_policy', 'breed_standards', 'other'][1 + doc_id % 6]"}
+
+
+@query(
+    "fine_mapping",
+    f"""WITH d AS (SELECT doc_id, {_fine['kind']} AS kind, CASE WHEN doc_id % 7 = 0 THEN '' ELSE {_fine['folder']} END AS dom, CASE WHEN doc_id % 2 = 0 THEN 'mentions' ELSE 'bred_by' END AS edge, lower(coalesce(text, '')) || CASE WHEN doc_id % 3 = 0 THEN ' cited ' WHEN doc_id % 5 = 0 THEN ' a study ' ELSE '' END AS ev FROM documents)
+    SELECT doc_id, CASE kind
+        WHEN 'person' THEN CASE WHEN dom IN ('behavioral_research', 'veterinary_research') THEN 'researcher' WHEN dom = 'community_journalism' THEN 'journalist' WHEN dom = 'municipal_policy' THEN 'official' ELSE 'person_other' END
+        WHEN 'organization' THEN CASE WHEN dom = 'breed_standards' THEN 'kennel_club' WHEN dom IN ('behavioral_research', 'veterinary_research') THEN 'research_org' WHEN dom = 'municipal_policy' THEN 'regulatory_body' ELSE 'organization_other' END
+        WHEN 'publication' THEN CASE WHEN dom = 'breed_standards' THEN 'breed_standard' WHEN dom = 'municipal_policy' THEN 'bylaw' WHEN dom = 'community_journalism' THEN 'article' ELSE 'study' END
+        ELSE kind END AS entity_type,
+        CASE WHEN edge <> 'mentions' THEN edge WHEN contains(ev, 'cite') OR contains(ev, 'reference') THEN 'mentions_citation' WHEN contains(ev, 'study') OR contains(ev, 'research') OR contains(ev, 'found') THEN 'mentions_finding' ELSE 'mentions_general' END AS edge_type
+    FROM d""",
+)
+def fine_mapping(spark, sf_dir):
+    """Documents as entities of four kinds in seven folders, and as edges whose evidence is the text."""
+    pick = lambda *x: F.element_at(F.array(*map(F.lit, x)), (F.col("doc_id") % len(x) + 1).cast("int"))
+    folder = pick("behavioral_research", "veterinary_research", "community_journalism", "municipal_policy", "breed_standards", "other")
+    note = F.when(F.col("doc_id") % 7 == 0, "bare.md").otherwise(F.concat(folder, F.lit("/note.md")))
+    more = F.when(F.col("doc_id") % 3 == 0, " CITED ").when(F.col("doc_id") % 5 == 0, " a Study ").otherwise("")
+    kind, edge = pick("person", "organization", "publication", "breed"), F.when(F.col("doc_id") % 2 == 0, "mentions").otherwise("bred_by")
+    d = S.read(spark, sf_dir, "documents")
+    return d.select("doc_id", O.fine_entity_type(kind, note).alias("entity_type"), O.fine_edge_type(edge, F.concat(F.coalesce("text", F.lit("")), more)).alias("edge_type"))

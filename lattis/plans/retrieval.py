@@ -206,9 +206,9 @@ def full_context(spark, sf_dir):
     SELECT count(*) AS needles, count(*) FILTER (found) AS hits, round(count(*) FILTER (found) / count(*), 6) AS rate, round(avg(depth) FILTER (found), 6) AS mean_depth, coalesce(min(ord) FILTER (NOT found) - min(ord), count(*)) AS prefix FROM n""",
 )
 def niah(spark, sf_dir):
-    """Which items lie verbatim in a document; candidates share the item's longest token sequence start."""
+    """Which items lie verbatim in a document; candidates share the item's longest inner word."""
     items, docs = _queries(spark, sf_dir), _docs(spark, sf_dir)
-    held = items.join(docs.select(F.col("text").alias("body")), F.contains("body", "text"), "left_semi").select("qid", F.lit(True).alias("found"))
+    held = R.contained(items, docs).withColumn("found", F.lit(True))
     n = items.agg(F.count("*").alias("n"))
     rows = items.join(held, "qid", "left").crossJoin(n).select(F.col("qid").alias("ord"), (F.col("qid").cast("double") / F.col("n")).alias("depth"), F.coalesce("found", F.lit(False)).alias("found"))
     return R.needles(rows)
@@ -217,15 +217,19 @@ def niah(spark, sf_dir):
 @query("covered_only", "SELECT item_id AS qid FROM benchmark b WHERE EXISTS (SELECT 1 FROM documents d WHERE contains(d.text, b.text))")
 def covered_only(spark, sf_dir):
     """Questions whose expected passage occurs somewhere (FLT9)."""
-    docs = S.read(spark, sf_dir, "documents").select(F.col("text").alias("body"))
-    return _queries(spark, sf_dir).join(docs, F.contains("body", "text"), "left_semi").select("qid")
+    return R.contained(_queries(spark, sf_dir), _docs(spark, sf_dir))
 
 
-@query("chunk_paragraphs", "SELECT doc_id, CASE WHEN length(trim(text)) = 0 THEN 0 ELSE 1 END + CASE WHEN length(trim(text, chr(32) || chr(10) || chr(9))) >= 120 THEN 1 ELSE 0 END AS chunks FROM documents WHERE NOT regexp_matches(text, '\\n\\s*\\n') AND length(trim(text)) > 0")
+@query(
+    "chunk_paragraphs",
+    """WITH p AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(replace(coalesce(text, ''), chr(10), chr(10) || chr(10)), '\\n\\s*\\n'), lambda x: trim(x)), lambda x: x <> '') AS parts FROM documents),
+    l AS (SELECT doc_id, parts, list_transform(parts, lambda x: [x]) AS nested FROM p)
+    SELECT doc_id, CAST(CASE WHEN len(parts) = 0 THEN 0 ELSE len(list_reduce(nested, lambda acc, x: CASE WHEN length(acc[-1]) < 120 THEN acc[:-2] || [acc[-1] || chr(10) || chr(10) || x[1]] ELSE acc || x END)) END AS INT) AS chunks FROM l""",
+)
 def chunk_paragraphs(spark, sf_dir):
-    """A text repeated as a second paragraph is one chunk if short, and two if not."""
-    d = S.read(spark, sf_dir, "documents").where(~F.col("text").rlike(r"\n\s*\n") & (F.length(F.trim("text")) > 0))
-    return d.select("doc_id", F.size(R.chunk_paragraphs(F.concat("text", F.lit("\n \n"), "text"))).alias("chunks"))
+    """Every document, its lines set apart as paragraphs."""
+    spaced = F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit("\n\n"))
+    return S.read(spark, sf_dir, "documents").select("doc_id", F.size(R.chunk_paragraphs(spaced)).alias("chunks"))
 
 
 @query("window_grounding", f"""WITH x AS (SELECT doc_id, text, {_tok.format('text')} AS t, {_tok.format("(SELECT text FROM benchmark WHERE item_id = doc_id % 40)")} AS e FROM documents),
@@ -237,18 +241,37 @@ def window_grounding(spark, sf_dir):
     return docs.select("doc_id", R.grounded(F.col("evidence"), F.col("text")).alias("grounded"))
 
 
-@query("redact")
+_hosts = "' http://box-' || doc_id % 9 || '.lan:80' || doc_id % 10 || '/a?b disk.local:22 00:1a:2B:3c:4D:5e 10.0.' || doc_id % 256 || '.7 a.b' || doc_id || '@mail.example.org password: x' || doc_id || ' vault-' || doc_id % 3"
+_redacted = f"coalesce(text, '') || {_hosts}"
+for _pattern, _by in R.redactions(private_hosts=("vault-1",)):
+    _redacted = f"regexp_replace({_redacted}, '{_pattern}', '{_by.replace('$1$2', chr(92) + '1' + chr(92) + '2')}', 'g')"
+
+
+@query("redact", f"SELECT doc_id, md5({_redacted}) AS redacted_md5 FROM documents")
 def redact(spark, sf_dir):
-    """Redacted texts' digests (Java look-around: checked by unit tests)."""
-    return S.read(spark, sf_dir, "documents").select("doc_id", F.md5(R.redact(F.col("text")).cast("binary")).alias("redacted_md5"))
+    """Redacted texts' digests; every text ends in one of each thing to hide."""
+    text = F.concat(F.coalesce("text", F.lit("")), F.expr(_hosts))
+    return S.read(spark, sf_dir, "documents").select("doc_id", F.md5(R.redact(text, private_hosts=("vault-1",)).cast("binary")).alias("redacted_md5"))
+
 
+_marks = ["recall=", "expected: [", "min_hops", "tokens=", "elapsed_ms", "--questions runs/corpora"]
+_marked = "coalesce(text, '') || ' ' || " + " || ".join(f"CASE WHEN doc_id % {k + 2} = 0 THEN '{m}' ELSE '' END" for k, m in enumerate(_marks))
 
-@query("pollution_filter", "SELECT doc_id FROM documents WHERE contains(text, 'token = ')::INT + contains(text, 'License')::INT + contains(text, ' | ')::INT + contains(text, '!!')::INT >= 2")
+
+@query("pollution_filter", f"SELECT doc_id FROM (SELECT doc_id, {_marked} AS t FROM documents) WHERE {' + '.join(f'contains(t, {chr(39)}{m}{chr(39)})::INT' for m in _marks)} >= 2")
 def pollution_filter(spark, sf_dir):
-    """Two or more marker strings (FLT7)."""
-    marks = ["token = ", "License", " | ", "!!"]
-    total = sum((F.contains("text", F.lit(m)).cast("int") for m in marks[1:]), F.contains("text", F.lit(marks[0])).cast("int"))
-    return S.read(spark, sf_dir, "documents").where(total >= 2).select("doc_id")
+    """Two or more markers of a run's log (FLT7); every document gets some of them at its end."""
+    return S.read(spark, sf_dir, "documents").select("doc_id", F.expr(_marked).alias("t")).where(R.is_pollution(F.col("t"), "runs/corpora")).select("doc_id")
+
+
+@query("relevance_names", "SELECT page_id, regexp_extract(coalesce(url, ''), '[^/]*$') = (page_id % 50)::VARCHAR AS by_name, (coalesce(url, '') GLOB 'http*org/*' OR regexp_extract(coalesce(url, ''), '[^/]*$') GLOB '*1?' OR coalesce(url, '') GLOB '*1?') AND (contains(coalesce(html, ''), 'the') OR contains(coalesce(html, ''), 'zu')) AS by_glob, regexp_extract(coalesce(url, ''), '[^/]*$') GLOB '*1' OR coalesce(url, '') GLOB '*1' AS by_glob_only FROM pages")
+def relevance_names(spark, sf_dir):
+    """Relevance by file name, and by a glob on the path or its last part (FLT6)."""
+    p = S.read(spark, sf_dir, "pages")
+    none, either = F.array().cast("array<string>"), F.array(F.lit("the"), F.lit("zu"))
+    by_glob = F.col("url")
+    two = R.relevant_by_glob(by_glob, F.col("html"), "http*org/*", either) | R.relevant_by_glob(by_glob, F.col("html"), "*1?", either)
+    return p.select("page_id", R.relevant_by_name(F.col("url"), (F.col("page_id") % 50).cast("string")).alias("by_name"), two.alias("by_glob"), R.relevant_by_glob(by_glob, F.col("html"), "*1", none).alias("by_glob_only"))
 
 
 @query("relevance_predicate", "SELECT page_id, url GLOB 'http*://*.example.org/*' AND (contains(html, 'the') OR contains(html, 'zu')) AS relevant, contains(lower(html), 'license') AND regexp_extract(url, '[^/]*$') GLOB '*1*' AS relevant_ci FROM pages")

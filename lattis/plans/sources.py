@@ -66,11 +66,17 @@ def endpoint_synthesis(spark, sf_dir):
     return P.synthesize_endpoints(g.entities.where("entity_type <> 'nation'"), g.edges)
 
 
-@query("native_contradictions", "WITH p AS (SELECT DISTINCT least(doc_id, (doc_id * 7) % 50) AS a, greatest(doc_id, (doc_id * 7) % 50) AS b FROM documents WHERE doc_id < 50) SELECT 'm' || a AS a, 'm' || b AS b, CASE WHEN a % 2 = 0 THEN source WHEN a % 3 = 0 THEN lang ELSE 'm' || a END AS claim_a FROM (SELECT least('m' || a, 'm' || b) AS x, a, b FROM p) q JOIN documents ON doc_id = a WHERE 'm' || a <= 'm' || b UNION ALL SELECT 'm' || b, 'm' || a, CASE WHEN b % 2 = 0 THEN source WHEN b % 3 = 0 THEN lang ELSE 'm' || b END FROM p JOIN documents ON doc_id = b WHERE 'm' || a > 'm' || b")
+@query(
+    "native_contradictions",
+    """WITH p AS (SELECT DISTINCT least('m' || doc_id, 'm' || (doc_id * 7) % n) AS a, greatest('m' || doc_id, 'm' || (doc_id * 7) % n) AS b FROM documents, (SELECT count(*) AS n FROM documents)),
+    t AS (SELECT 'm' || doc_id AS id, CASE WHEN doc_id % 2 = 0 THEN source WHEN doc_id % 3 = 0 THEN lang END AS said FROM documents)
+    SELECT a, b, coalesce(said, a) AS claim_a FROM p LEFT JOIN t ON id = a""",
+)
 def native_contradictions(spark, sf_dir):
-    d = S.read(spark, sf_dir, "documents").where("doc_id < 50")
+    """Each document against that of seven times its id, modulo their number."""
+    d = S.read(spark, sf_dir, "documents")
     m = lambda c: F.concat(F.lit("m"), c.cast("string"))
-    pairs = d.select(m(F.col("doc_id")).alias("x"), m(F.col("doc_id") * 7 % 50).alias("y"))
+    pairs = d.crossJoin(d.agg(F.count("*").alias("n"))).select(m(F.col("doc_id")).alias("x"), m(F.col("doc_id") * 7 % F.col("n")).alias("y"))
     texts = d.select(m(F.col("doc_id")).alias("id"), F.when(F.col("doc_id") % 2 == 0, F.col("source")).otherwise("").alias("text"), F.when(F.col("doc_id") % 3 == 0, F.col("lang")).alias("description"))
     return P.native_contradictions(pairs, texts)
 
@@ -151,3 +157,23 @@ def lme_questions(spark, sf_dir):
         F.transform("t", lambda x: F.array(x["text"])).alias("haystack_sessions"),
     )
     return P.haystack_questions(raw).select("question_id", "category", "abstention", "session_id", F.md5(F.get("turns", F.lit(0)).cast("binary")).alias("turn_md5"))
+
+
+_kg_json = "CASE WHEN s_suppkey % 3 = 0 THEN '{\"nation\": \"' || s_nationkey || '\"}' WHEN s_suppkey % 3 = 1 THEN 'not json {' END"
+
+
+@query(
+    "knowledge_graph",
+    """SELECT 'node' AS part, 'kg:' || s_suppkey AS a, s_name AS b, CASE WHEN s_suppkey % 5 = 0 THEN 'kg:unknown' ELSE 'kg:n' || s_nationkey END AS kind, CASE WHEN s_suppkey % 3 = 0 THEN s_nationkey::VARCHAR END AS detail, 'kg_entity' AS came_from FROM supplier
+    UNION ALL SELECT 'edge', 'kg:' || o_custkey, 'kg:' || o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'kg_related' ELSE o_orderstatus END, o_orderpriority, 'kg_triple' FROM orders""",
+)
+def knowledge_graph(spark, sf_dir):
+    """Suppliers as entities, a third with properties that aren't JSON, and orders as triples."""
+    kind = F.when(F.col("s_suppkey") % 5 != 0, F.concat(F.lit("n"), F.col("s_nationkey").cast("string")))
+    entities = S.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), kind.alias("type"), F.expr(_kg_json).alias("properties"))
+    o = S.read(spark, sf_dir, "orders")
+    triples = o.select(F.col("o_custkey").alias("subject"), F.when(F.col("o_orderkey") % 4 != 0, F.col("o_orderstatus")).otherwise("").alias("predicate"), F.col("o_orderkey").alias("object"), F.col("o_orderpriority").alias("source_file"))
+    g = P.knowledge_graph(entities, triples)
+    p = F.col("properties")
+    nodes = g.entities.select(F.lit("node").alias("part"), F.col("id").alias("a"), F.col("name").alias("b"), F.col("entity_type").alias("kind"), p["nation"].alias("detail"), p["_table"].alias("came_from"))
+    return nodes.unionByName(g.edges.select(F.lit("edge").alias("part"), F.col("source_id").alias("a"), F.col("target_id").alias("b"), F.col("edge_type").alias("kind"), p["source_file"].alias("detail"), p["_table"].alias("came_from")))

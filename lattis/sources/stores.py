@@ -93,6 +93,37 @@ def synthesize_endpoints(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("id", "name", "entity_type").unionByName(missing)
 
 
+def knowledge_graph(entities: DataFrame, triples: DataFrame) -> Graph:
+    """The graph of a store's ``entities`` and ``triples`` tables (SRC9).
+
+    Identifiers and types get the prefix ``kg:``; properties that aren't a
+    JSON object are none. ``_created_at`` is an entity's ``created_at`` and a
+    triple's ``valid_from``. A null type is ``kg:unknown``, a null or empty
+    predicate ``kg_related``. Columns that a table lacks are null.
+    """
+    col = lambda df, c, kind="string": F.col(c).cast(kind) if c in df.columns else F.lit(None).cast(kind)
+    kg = lambda c: F.concat(F.lit("kg:"), c)
+    given = F.coalesce(F.from_json(col(entities, "properties"), "map<string,string>", {"mode": "PERMISSIVE"}), F.create_map().cast("map<string,string>"))
+    given = F.map_filter(given, lambda k, _: ~k.isin("_table", "_created_at"))
+    own = F.map_concat(given, F.create_map(F.lit("_table"), F.lit("kg_entity"), F.lit("_created_at"), col(entities, "created_at")))
+    kind = F.coalesce(F.when(col(entities, "type") != "", col(entities, "type")), F.lit("unknown"))
+    nodes = entities.select(kg(col(entities, "id")).alias("id"), col(entities, "name").alias("name"), kg(kind).alias("entity_type"), own.alias("properties"))
+    kept = ("valid_to", "confidence", "source_closet", "source_file")
+    about = F.create_map(F.lit("_table"), F.lit("kg_triple"), F.lit("_created_at"), col(triples, "valid_from"), *(x for c in kept for x in (F.lit(c), col(triples, c))))
+    predicate = F.coalesce(F.when(col(triples, "predicate") != "", col(triples, "predicate")), F.lit("kg_related"))
+    edges = triples.select(kg(col(triples, "subject")).alias("source_id"), kg(col(triples, "object")).alias("target_id"), predicate.alias("edge_type"), about.alias("properties"))
+    return Graph(nodes, edges)
+
+
+def cached_statistics(spark: SparkSession, path: str, needs: str = "component_count") -> DataFrame | None:
+    """Statistics that another job wrote at ``path``; None if there are none, or none with the column ``needs`` (SRC14). Nothing is computed here."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return None
+    found = spark.read.parquet(path)
+    return found if needs in found.columns else None
+
+
 def native_contradictions(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """``(a, b, claim_a)`` of unordered pairs, once; the claim is the memory's text, description or id (SRC11)."""
     once = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()

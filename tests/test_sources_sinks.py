@@ -122,3 +122,59 @@ def test_stream_windows_equal_batch(spark, tmp_path):
 def test_stream_dedupe(spark, tmp_path):
     events = spark.sql("select id % 5 as event_id, timestamp '2024-01-01 00:00:00' as ts from range(20)")
     assert drain(E.dedupe(stream(spark, events, tmp_path)), "deduped", "append").count() == 5
+
+
+@pytest.mark.parametrize(
+    "text, by",
+    [
+        ("see http://box.lan:80/a?b now", "see [ENDPOINT] now"),
+        ("disk.local:22 and lan.example.org", "[HOST] and lan.example.org"),
+        ("on Vault-1 and vault-12", "on [PRIVATE] and vault-12"),
+        ("to me@a.org or you@a.org or me@a.org.uk", "to me@a.org or [EMAIL] or [EMAIL]"),
+    ],
+)
+def test_redact_private_machines_and_allowed_addresses(spark, text, by):
+    found = R.redact(F.col("t"), private_hosts=("vault-1",), allowed_emails=("Me@a.org",))
+    assert spark.createDataFrame([(text,), (None,)], "t string").select(found).collect() == [(by,), (None,)]
+
+
+def test_pollution_needs_two_markers(spark):
+    rows = ["recall= tokens=", "recall=", "expected: [ min_hops", "elapsed_ms --questions runs/corpora", "elapsed_ms --questions x", None]
+    texts = spark.createDataFrame([(x,) for x in rows], "t string")
+    assert [r[0] for r in texts.select(R.is_pollution(F.col("t"), "runs/corpora")).collect()] == [True, False, True, True, False, False]
+
+
+def test_relevance_by_name_and_glob(spark):
+    rows = [("a/b/c.md", "the rain"), ("c.md", None), (None, "the")]
+    p = spark.createDataFrame(rows, "s string, t string")
+    none, the = F.array().cast("array<string>"), F.array(F.lit("the"))
+    assert [r[0] for r in p.select(R.relevant_by_name(F.col("s"), F.lit("c.md"))).collect()] == [True, True, False]
+    assert [r[0] for r in p.select(R.relevant_by_glob(F.col("s"), F.col("t"), "c.*", none)).collect()] == [True, True, False]
+    assert [r[0] for r in p.select(R.relevant_by_glob(F.col("s"), F.col("t"), "a/*", the)).collect()] == [True, False, False]
+    assert [r[0] for r in p.select(R.relevant_by_glob(F.col("s"), F.col("t"), None, the)).collect()] == [True, False, True]
+
+
+def test_contained_equals_every_pair(spark):
+    items = [(1, "rain in the plain"), (2, "in the"), (3, "ain in the plai"), (4, "plain rain"), (5, None), (6, ""), (7, "hill\n of  wind "), (7, "a b c")]
+    docs = [(1, "the rain in the plain falls"), (2, None), (3, "the hill\n of  wind blows"), (3, ""), (4, "wind of hill rain")]
+    expected = {q for q, x in items for _, d in docs if x is not None and d is not None and x in d}
+    found = R.contained(spark.createDataFrame(items, "qid long, text string"), spark.createDataFrame(docs, "id long, text string"))
+    assert {r["qid"] for r in found.collect()} == expected
+
+
+def test_cached_statistics(spark, tmp_path):
+    at = str(tmp_path / "stats")
+    assert P.cached_statistics(spark, at) is None
+    spark.createDataFrame([(3, 0.5)], "component_count long, modularity double").write.parquet(at)
+    assert P.cached_statistics(spark, at).first()["component_count"] == 3 and P.cached_statistics(spark, at, "absent") is None
+
+
+def test_knowledge_graph_of_odd_tables(spark):
+    entities = spark.createDataFrame([("1", None, None, '{"a": 1, "_table": "x"}', "then"), ("2", "n", "", "[1", None), ("3", "n", "t", None, None)], "id string, name string, type string, properties string, created_at string")
+    g = P.knowledge_graph(entities, spark.createDataFrame([("1", "2")], "subject string, object string"))
+    assert {r["id"]: (r["entity_type"], r["properties"]) for r in g.entities.collect()} == {
+        "kg:1": ("kg:unknown", {"a": "1", "_table": "kg_entity", "_created_at": "then"}),
+        "kg:2": ("kg:unknown", {"_table": "kg_entity", "_created_at": None}),
+        "kg:3": ("kg:t", {"_table": "kg_entity", "_created_at": None}),
+    }
+    assert [(r["source_id"], r["target_id"], r["edge_type"]) for r in g.edges.collect()] == [("kg:1", "kg:2", "kg_related")]
