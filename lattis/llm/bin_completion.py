@@ -19,6 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lattis.llm.memory import trimmed
 from lattis.llm.tokens import run_memo
 from lattis.session import materialize
 
@@ -253,7 +254,7 @@ class Placement:
 # ------------------------------------------------------------- operators
 
 
-def _slices(batches: Iterator[pa.RecordBatch], rows: int = 2_000, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 2_000, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Batches of at most ``rows`` rows and, but for one long text, ``size`` bytes of text."""
     for batch in batches:
         ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -280,7 +281,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: in
         memo = run_memo(tokenizer)
         end = np.array([end_id], dtype="<u4").tobytes()
         seen = np.zeros(capacity + 1, dtype=np.int64)
-        for some in _slices(batches):
+        for some in _slices(trimmed(batches)):
             texts = [t or "" for t in some.column(1).to_pylist()]
             ids, bounds = memo.encode(texts)
             out: list[tuple] = []

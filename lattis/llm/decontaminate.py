@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattis.llm import files
+from lattis.llm.memory import trimmed
 from lattis.session import deal, materialize, new_shared_path
 
 MATCH = "doc_id long, item_id long, similarity double, hamming int, start_word long, n_words long"
@@ -295,7 +296,7 @@ def _search(names: list[str], least: float, radius: int, words_at_once: int = 1
                     yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*out), kinds)], names=columns)
 
         held, n = [], 0
-        for batch in batches:
+        for batch in trimmed(batches):
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 words = hasher(words_of(text.as_py()))
                 if len(words):

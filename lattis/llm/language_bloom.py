@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from lattis.llm.memory import trimmed
+
 SIZE = 4
 #: Languages at most: 16 MB of slots for every 64.
 MOST = 256
@@ -215,7 +217,7 @@ def identify(text: Column, bloom: BitSlicedBloom) -> Column:
 
     @arrow_udf("lang_pred string, score double, contained double")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
+        for batch in trimmed(batches):
             found = [bloom.decide(t.as_py()) for t in batch]
             yield pa.array([dict(zip(("lang_pred", "score", "contained"), x)) for x in found], type=kind)
 

@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from lattis.llm.memory import trimmed
+
 FEATURES = (
     "log_chars",
     "log_words",
@@ -226,7 +228,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 8_000, id_col: str = "
 def features(text: Column) -> Column:
     @arrow_udf("array<double>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
+        for batch in trimmed(batches):
             yield pa.array([statistics(t.as_py()) for t in batch], type=pa.list_(pa.float64()))
 
     return run(text)
@@ -237,7 +239,7 @@ def score(text: Column, forest: Forest) -> Column:
 
     @arrow_udf("double")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
+        for batch in trimmed(batches):
             x = np.array([statistics(t.as_py()) for t in batch], dtype=np.float64).reshape(len(batch), len(FEATURES))
             yield pa.array(forest.score(x))
 

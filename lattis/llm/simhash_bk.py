@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lattis.llm.memory import trimmed
 from lattis.operators.components import connected_components
 from lattis.session import deal, materialize
 
@@ -55,7 +56,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``(doc_id, fp)`` for every row; ``fp`` holds the fingerprint's 64 bits as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in trimmed(batches):
             found = np.fromiter((simhash(t.as_py(), words_each, seed) for t in batch.column(1)), dtype=np.uint64, count=len(batch))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
 

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lattis.llm import files
+from lattis.llm.memory import trimmed
 from lattis.llm.tokens import byte_bpe
 from lattis.session import deal, materialize, new_shared_path
 
@@ -35,7 +36,7 @@ def write_token_files(docs: DataFrame, folder: str, ranks: str, pattern: str, en
         encoding = byte_bpe(ranks, pattern)
         end = np.array([end_id], dtype=dtype)
         name, out, n = "", None, 0
-        for batch in batches:
+        for batch in trimmed(batches):
             if out is None and len(batch):
                 name = f"{folder}/{files.attempt_name('tokens', '.bin')}"
                 out = files.create(name)

@@ -25,7 +25,7 @@ class RunMemo:
     of one sequence. Texts with an ``ODD`` character, or with the opening of
     a special token, go to the tokenizer as they are. Both ways give the
     tokenizer's own identifiers. A memo that outgrows ``most`` runs keeps
-    only those of the texts at hand.
+    the half that it met first.
     """
 
     def __init__(self, path: str, most: int = 1_000_000):
@@ -47,9 +47,10 @@ class RunMemo:
         first = np.cumsum(self.length) - self.length
         ids, many = _gather(self.ids, first, self.length, place[coded.indices.to_numpy()])
         ends = np.r_[0, np.cumsum(many)][runs.offsets.to_numpy()]
-        if len(self.known) > self.most:
-            self.ids, self.length = _gather(self.ids, first, self.length, place)
-            self.known = coded.dictionary
+        if len(self.known) > self.most:  # common runs are met early
+            self.length = self.length[: self.most // 2].copy()
+            self.ids = self.ids[: int(self.length.sum())].copy()
+            self.known = pa.concat_arrays([self.known.slice(0, self.most // 2), pa.array([], pa.large_string())])
         if plain.all():
             return ids, ends
         parts = [ids[a:b] if p else self._whole(t) for t, p, a, b in zip(texts, plain, ends, ends[1:])]
