@@ -15,44 +15,60 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", r
     end link nothing (a node that has only self-loops is still returned);
     repeated edges count once; no edges give no rows.
 
-    Every round is two aggregations and two equi-joins over the edge list:
-    no neighbour list is ever gathered, so a hub's neighbours spread over
-    tasks (its minimum is combined map-side, its join side can be split by
-    AQE). The rounds are logarithmic in the longest path; each ends in a
-    reliable checkpoint of a task for every ``rows_a_task`` links, so small
-    graphs don't leave hundreds of small files a round.
+    Every round is a few aggregations and equi-joins over the edge list: no
+    neighbour list is ever gathered. A hub's minimum is combined map-side; a
+    node in over a ``HEAVY``-th of the links has its minimum broadcast, of
+    which there are ``HEAVY`` at most, so its links stay where they are. The
+    rounds are logarithmic in the longest path; each ends in a reliable
+    checkpoint of a task for every ``rows_a_task`` links, so small graphs
+    don't leave hundreds of small files a round.
     """
     pairs = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null")
     nodes = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
     links = cut_lineage(_low(pairs))
-    tasks = 1 + links.count() // rows_a_task
+    n = links.count()
+    tasks = 1 + n // rows_a_task
     before = None
     while True:
-        links = cut_lineage(_small_star(_large_star(links)).coalesce(tasks))
+        links = cut_lineage(_small_star(_large_star(links, n), n).coalesce(tasks))
         now = links.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if now == before or now["n"] == 0:
             break
-        before = now
+        before, n = now, now["n"]
     return nodes.join(links.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").select(
         "node", F.coalesce("root", "node").alias("component")
     )
 
 
+#: The share of all links, as one part of this many, from which a node is heavy.
+HEAVY = 1_000
+
+
+def _minima(links: DataFrame, at: str, n: int) -> DataFrame:
+    """``links`` with ``m``, the smallest neighbour of the node in column ``at``, or null if none is smaller."""
+    lowest = links.groupBy("u").agg(F.min("v").alias("m"))
+    heavy = links.groupBy(at).agg(F.count("*").alias("k")).where(F.col("k") > n // HEAVY).select(F.col(at).alias("x"))
+    known = heavy.join(lowest.select(F.col("u").alias("x"), "m"), "x", "left").select("x", "m", F.lit(True).alias("heavy"))
+    marked = links.join(F.broadcast(known), F.col(at) == F.col("x"), "left").drop("x")
+    rest = marked.where("heavy is null").drop("m", "heavy").join(lowest.select(F.col("u").alias("x"), "m"), F.col(at) == F.col("x"), "left")
+    return marked.where("heavy").select("u", "v", "m").union(rest.select("u", "v", "m"))
+
+
 def _low(pairs: DataFrame) -> DataFrame:
     """Distinct edges from the larger end ``u`` to the smaller end ``v``."""
     return pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
-def _large_star(links: DataFrame) -> DataFrame:
-    """Join every larger neighbour of a node to the node's smallest one."""
-    both = links.union(links.select("v", "u").toDF("u", "v"))
-    lowest = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    up = links.select(F.col("v").alias("u"), F.col("u").alias("larger"))
-    return _low(up.join(lowest, "u").select(F.col("larger").alias("u"), F.col("m").alias("v")))
+def _large_star(links: DataFrame, n: int) -> DataFrame:
+    """Join every larger neighbour of a node to the node's smallest one.
+
+    Links lead from the larger end ``u``, so a node's smallest neighbour is
+    the least ``v`` of its own links; a node without any is the smallest.
+    """
+    return _low(_minima(links, "v", n).select("u", F.coalesce("m", "v").alias("v")))
 
 
-def _small_star(links: DataFrame) -> DataFrame:
+def _small_star(links: DataFrame, n: int) -> DataFrame:
     """Join a node and all its smaller neighbours to the smallest of them."""
-    lowest = links.groupBy("u").agg(F.min("v").alias("m"))
-    moved = links.join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return _low(moved.union(lowest))
+    met = _minima(links, "u", n)
+    return _low(met.select(F.col("v").alias("u"), F.col("m").alias("v")).union(met.select("u", F.col("m").alias("v"))))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from lattis.operators.topology import both_ways, components_of, simple, size_bucket
@@ -25,6 +25,9 @@ def candidate_gaps(placed: DataFrame, k: int = 10, least: int = 3, prevalence: f
     and are dropped; a shared type scores 1/(1 + log2 of its components);
     a pair scores the sum times the root of its smaller size. With at most
     two such components every type scores 1 and none is dropped.
+
+    Not all pairs are formed (:func:`_contenders`); none that is among the
+    best is lost.
     """
     sizes = placed.groupBy("component").agg(F.count("*").alias("size")).where(F.col("size") >= least)
     total = sizes.agg(F.count("*").alias("sized"))
@@ -32,11 +35,35 @@ def candidate_gaps(placed: DataFrame, k: int = 10, least: int = 3, prevalence: f
     spread = held.groupBy("entity_type").agg(F.count("*").alias("n"))
     told = spread.crossJoin(total).where((F.col("sized") <= 2) | (F.col("n") <= prevalence * F.col("sized")))
     rarity = F.when(F.col("sized") <= 2, F.lit(1.0)).otherwise(1 / (1 + F.log2("n")))
-    rows = held.join(told.select("entity_type", rarity.alias("rarity")), "entity_type")
+    rows = materialize(held.join(told.select("entity_type", rarity.alias("rarity")), "entity_type"), "types")
+    scored = _pair_scores(_contenders(rows, k)).select("a", "b", "size_a", "size_b", "shared", F.round("score", 6).alias("score"))
+    return scored.orderBy(F.desc("score"), "a", "b").limit(k)
+
+
+def _pair_scores(rows: DataFrame) -> DataFrame:
+    """``(a, b, size_a, size_b, shared, score)`` of all pairs in ``(component, size, entity_type, rarity)`` that share a type."""
     a, b = (rows.select("entity_type", "rarity", F.col("component").alias(f"{x}"), F.col("size").alias(f"size_{x}")) for x in "ab")
     pairs = a.join(b.drop("rarity"), "entity_type").where("a < b").groupBy("a", "b", "size_a", "size_b").agg(F.count("*").alias("shared"), F.sum("rarity").alias("rarity"))
-    scored = pairs.select("a", "b", "size_a", "size_b", "shared", F.round(F.col("rarity") * F.sqrt(F.least("size_a", "size_b")), 6).alias("score"))
-    return scored.orderBy(F.desc("score"), "a", "b").limit(k)
+    return pairs.withColumn("score", F.col("rarity") * F.sqrt(F.least("size_a", "size_b")))
+
+
+def _contenders(rows: DataFrame, k: int) -> DataFrame:
+    """The rows of components that can be in one of the ``k`` best pairs.
+
+    Of components with the same types and size, pairs with those of smaller
+    names come first, so the first ``k`` + 1 are enough. Of each type, the
+    ``k`` + 1 largest form pairs whose scores bound the k-th best from
+    below; a pair scores at most the root of either size times the sum of
+    all rarities there, so a component whose own product is below is out.
+    """
+    per = rows.groupBy("component", "size").agg(F.sum("rarity").alias("weight"), F.count("*").alias("types"), F.sum(F.xxhash64("entity_type").cast("decimal(38,0)")).alias("kind"))
+    alike = Window.partitionBy("size", "types", "kind").orderBy("component")
+    first = per.withColumn("r", F.row_number().over(alike)).where(F.col("r") <= k + 1).select("component", "size", "weight")
+    some = rows.join(first.select("component"), "component", "left_semi")
+    largest = some.withColumn("r", F.row_number().over(Window.partitionBy("entity_type").orderBy(F.desc("size"), "component"))).where(F.col("r") <= k + 1).drop("r")
+    best = _pair_scores(largest).orderBy(F.desc("score")).limit(k).agg(F.when(F.count("*") == k, F.min("score")).otherwise(0.0).alias("bound"))
+    within = first.crossJoin(best).where(F.sqrt("size") * F.col("weight") >= F.col("bound") - 2e-6)  # scores are ranked when rounded
+    return some.join(within.select("component"), "component", "left_semi")
 
 
 def seeded_recall(placed: DataFrame, seeds: DataFrame, reported: DataFrame) -> DataFrame:
@@ -128,7 +155,8 @@ def cycle_basis(nodes: DataFrame, edges: DataFrame, k: int = 10, most_nodes: int
     """The ``k`` shortest fundamental cycles a component, as ``(component, length, cycle)`` (TOP16).
 
     Cycles close the non-tree edges of a breadth-first tree from the
-    smallest node. Components of over ``most_nodes`` nodes are skipped.
+    smallest node. A component of over ``most_nodes`` nodes with a cycle is
+    skipped, and has one row with neither length nor cycle.
     """
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -154,57 +182,92 @@ def cycle_basis(nodes: DataFrame, edges: DataFrame, k: int = 10, most_nodes: int
         return pd.DataFrame({"component": pdf["component"].iloc[0], "length": [n for n, _ in out], "cycle": [c for _, c in out]})
 
     links = _by_component(nodes, edges)
-    small = links.select("component", F.explode(F.array("a", "b")).alias("id")).distinct().groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") <= most_nodes)
+    sizes = links.select("component", F.explode(F.array("a", "b")).alias("id")).distinct().groupBy("component").agg(F.count("*").alias("n"))
     # a skipped component's edges never meet in one task
-    return links.join(small, "component", "left_semi").groupBy("component").applyInPandas(walk, "component string, length int, cycle array<string>")
+    found = links.join(sizes.where(F.col("n") <= most_nodes), "component", "left_semi").groupBy("component").applyInPandas(walk, "component string, length int, cycle array<string>")
+    large = links.groupBy("component").agg(F.count("*").alias("edges")).join(sizes, "component").where((F.col("n") > most_nodes) & (F.col("edges") >= F.col("n")))
+    return found.unionByName(large.select("component", F.lit(None).cast("int").alias("length"), F.lit(None).cast("array<string>").alias("cycle")))
 
 
-def betti(nodes: DataFrame, edges: DataFrame, most_nodes: int = 200, largest_only: bool = True) -> DataFrame:
-    """``(component, nodes, beta0, beta1, max_persistence)`` of the hop metric's Rips filtration (TOP15).
+def betti(nodes: DataFrame, edges: DataFrame, most_nodes: int = 2_000, largest_only: bool = True, subsample: bool = False, seed: int = 42) -> DataFrame:
+    """``(component, nodes, beta0, beta1, max_persistence, skipped)`` of the hop metric's Rips filtration (TOP15).
 
-    Persistent homology over the field of two elements, to dimension 1, by
-    reduction of the boundary matrix of vertices, edges and triangles.
+    Persistent homology over the field of two elements, to dimension 1:
     ``beta1`` counts the finite bars of positive length. Fewer than three
-    nodes give (1, 0); components of over ``most_nodes`` are skipped.
+    nodes give (1, 0). A component of over ``most_nodes`` is skipped: its row
+    has zeros and says so. With ``subsample`` the part that ``most_nodes`` of
+    its nodes induce, drawn by a hash with ``seed``, stands for it instead;
+    ``nodes`` is then their number and ``beta0`` that of the part's pieces.
     """
     placed = components_of(nodes, edges)
     sizes = placed.groupBy("component").agg(F.count("*").alias("n"))
     if largest_only:
         sizes = sizes.orderBy(F.desc("n"), "component").limit(1)
-    chosen = sizes.where(F.col("n") <= most_nodes)
-    own = placed.join(chosen, "component").select("component", F.col("id").alias("a"), F.lit(None).cast("string").alias("b"))
-    links = _by_component(nodes, edges).join(chosen, "component", "left_semi")
+    large = F.col("n") > most_nodes
+    own = placed.join(sizes if subsample else sizes.where(~large), "component").select("component", F.col("id").alias("a"), "n")
+    links = _by_component(nodes, edges)
+    if subsample:
+        drawn = Window.partitionBy("component").orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("a"))), "a")
+        own = materialize(own.withColumn("r", F.row_number().over(drawn)).where(F.col("r") <= most_nodes), "drawn")
+        for end in ("a", "b"):
+            links = links.join(own.select("component", F.col("a").alias(end)), ["component", end], "left_semi")
+    else:
+        links = links.join(own.select("component").distinct(), "component", "left_semi")
 
     def reduce(pdf: pd.DataFrame) -> pd.DataFrame:
         n = int(pdf["b"].isna().sum())
         beta0, beta1, longest = 1, 0, 0.0
         if n >= 3:
-            _, near, _ = _index(pdf[pdf["b"].notna()])
-            beta1, longest = _h1(_hops(near))
-        return pd.DataFrame({"component": [pdf["component"].iloc[0]], "nodes": [n], "beta0": [beta0], "beta1": [beta1], "max_persistence": [longest]})
+            linked = pdf[pdf["b"].notna()]
+            ids, near, _ = _index(linked)
+            d = _hops(near)
+            beta0 = n - len(ids) + len(np.unique(np.argmax(d <= len(ids), axis=1)))
+            beta1, longest = _h1(d)
+        return pd.DataFrame({"component": [pdf["component"].iloc[0]], "nodes": [n], "beta0": [beta0], "beta1": [beta1], "max_persistence": [longest], "skipped": [False]})
 
-    return own.unionByName(links).groupBy("component").applyInPandas(reduce, "component string, nodes int, beta0 int, beta1 int, max_persistence double")
+    rows = own.select("component", "a", F.lit(None).cast("string").alias("b")).unionByName(links.select("component", "a", "b"))
+    found = rows.groupBy("component").applyInPandas(reduce, "component string, nodes int, beta0 int, beta1 int, max_persistence double, skipped boolean")
+    if subsample:
+        return found
+    none = F.lit(0)
+    return found.unionByName(sizes.where(large).select("component", F.col("n").cast("int").alias("nodes"), none.alias("beta0"), none.alias("beta1"), F.lit(0.0).alias("max_persistence"), F.lit(True).alias("skipped")))
 
 
 def _hops(near: list[list[int]]) -> np.ndarray:
+    """Hops between all nodes; the number of nodes plus one where there is no way."""
     n = len(near)
-    d = np.full((n, n), n + 1, dtype=np.int64)
+    d = np.empty((n, n), dtype=np.int32)
     for s in range(n):
-        d[s, s] = 0
+        far = [n + 1] * n
+        far[s] = 0
         queue = [s]
         for x in queue:
+            step = far[x] + 1
             for y in near[x]:
-                if d[s, y] > n:
-                    d[s, y] = d[s, x] + 1
+                if far[y] > n:
+                    far[y] = step
                     queue.append(y)
+        d[s] = far
     return d
 
 
 def _h1(d: np.ndarray) -> tuple[int, float]:
-    """Number and longest length of the one-dimensional bars of positive length."""
+    """Number and longest length of the one-dimensional bars of positive length, of a graph's hop metric.
+
+    At scale r, an edge of the complex is homologous to a shortest path
+    between its ends, so cycles are those of the graph; and a cycle bounds
+    there if and only if it is a sum of cycles of at most 3 r edges, as such
+    a one has three points at most r apart along it, and a triangle at scale
+    r goes around at most 3 r edges. So every bar is born at 1, and the rank
+    that cycles of at most 3 r edges span tells how many have died by r. A
+    cycle of L edges through v is the sum, over its edges (x, y), of the
+    closed walks v to x to y to v along shortest paths, none of which is
+    longer than L; so these walks, in the order of their lengths, are enough.
+    Cycles are bit sets over the edges outside one spanning forest.
+    """
     n = len(d)
-    edges = sorted((int(d[i, j]), i, j) for i in range(n) for j in range(i + 1, n))
-    place = {(i, j): k for k, (_, i, j) in enumerate(edges)}
+    ex, ey = np.nonzero(np.triu(d == 1))
+    ends = list(zip(ex.tolist(), ey.tolist()))
     root = list(range(n))
 
     def find(x: int) -> int:
@@ -213,29 +276,69 @@ def _h1(d: np.ndarray) -> tuple[int, float]:
             x = root[x]
         return x
 
-    open_ = set()
-    for k, (_, i, j) in enumerate(edges):
-        a, b = find(i), find(j)
+    bit: dict[tuple[int, int], int] = {}
+    rank = 0
+    for x, y in ends:
+        a, b = find(x), find(y)
         if a == b:
-            open_.add(k)
+            bit[x, y] = bit[y, x] = 1 << rank
+            rank += 1
         else:
             root[a] = b
-    triangles = sorted((int(max(d[i, j], d[i, k], d[j, k])), i, j, k) for i in range(n) for j in range(i + 1, n) for k in range(j + 1, n))
-    pivots: dict[int, set[int]] = {}
-    bars = []
-    for death, i, j, k in triangles:
-        if not open_:
-            break
-        column = {place[i, j], place[i, k], place[j, k]}
-        while column and (top := max(column)) in pivots:
-            column ^= pivots[top]
-        if column:
-            top = max(column)
-            pivots[top] = column
-            open_.discard(top)
-            if death > edges[top][0]:
-                bars.append(death - edges[top][0])
-    return len(bars), float(max(bars, default=0))
+            bit[x, y] = bit[y, x] = 0
+    basis: dict[int, int] = {}
+
+    def add(cycle: int) -> None:
+        while cycle and (top := cycle.bit_length()) in basis:
+            cycle ^= basis[top]
+        if cycle:
+            basis[top] = cycle
+
+    adjacent = d == 1
+    for x, y in ends:
+        if len(basis) == rank:
+            return 0, 0.0
+        for z in np.flatnonzero(adjacent[x] & adjacent[y]).tolist():
+            if z > y:
+                add(bit[x, y] ^ bit[x, z] ^ bit[y, z])
+    holes = rank - len(basis)
+    if not holes:
+        return 0, 0.0
+
+    def parents(v: int) -> np.ndarray:
+        up = np.full(n, n, dtype=np.int64)
+        for x, y in ((ex, ey), (ey, ex)):
+            down = d[v, x] + 1 == d[v, y]
+            np.minimum.at(up, y[down], x[down])
+        return up
+
+    def walks(v: int) -> np.ndarray:
+        """Lengths of the closed walks over each edge; 0 for edges of the tree and out of reach."""
+        up = parents(v)
+        outside = (d[v, ex] <= n) & (up[ex] != ey) & (up[ey] != ex)
+        return np.where(outside, d[v, ex] + d[v, ey] + 1, 0)
+
+    through: dict[int, list[int]] = {}
+    for v in range(n):
+        for length in np.unique(walks(v)).tolist():
+            if length > 3:
+                through.setdefault(length, []).append(v)
+    for length in sorted(through):
+        seen: set[int] = set()
+        for v in through[length]:
+            up, way = parents(v).tolist(), {v: 0}
+            for x in np.argsort(d[v], kind="stable").tolist():
+                if 0 < d[v, x] <= n:
+                    way[x] = way[up[x]] ^ bit[up[x], x]
+            for i in np.flatnonzero(walks(v) == length).tolist():
+                x, y = ends[i]
+                cycle = way[x] ^ way[y] ^ bit[x, y]
+                if cycle not in seen:
+                    seen.add(cycle)
+                    add(cycle)
+            if len(basis) == rank:
+                return holes, float(-(-length // 3) - 1)
+    raise AssertionError("shortest closed walks span all cycles")
 
 
 def label_communities(edges: DataFrame, rounds: int = 6, levels: int = 3, resolution: float = 1.0) -> DataFrame:

@@ -117,7 +117,7 @@ def audit(nodes: DataFrame, edges: DataFrame, confidence: Mapping[str, float], g
 def retype(edges: DataFrame, mapping: DataFrame) -> DataFrame:
     """Edges under mapped types: the mapping of most confidence, ties to the first term (ONT9)."""
     best = mapping.groupBy("edge_type").agg(F.min_by("to", F.struct(-F.col("confidence"), "to")).alias("to"))
-    return edges.join(F.broadcast(best), "edge_type", "left").withColumn("edge_type", F.coalesce("to", "edge_type")).select(edges.columns)
+    return edges.join(best, "edge_type", "left").withColumn("edge_type", F.coalesce("to", "edge_type")).select(edges.columns)
 
 
 def counterfactual(edges: DataFrame, mapping: DataFrame) -> DataFrame:

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattis.session import cut_lineage
 
 
-def global_index(df: DataFrame, order: Sequence[str], name: str = "i") -> DataFrame:
+def global_index(df: DataFrame, order: Sequence[str | Column], name: str = "i") -> DataFrame:
     """``df`` with each row's place, from 1, in ``order``.
 
     Rows are dealt by range and sorted within their task; only the tasks'
@@ -24,3 +24,20 @@ def global_index(df: DataFrame, order: Sequence[str], name: str = "i") -> DataFr
     first = counts.select("_task", before.alias("_before"))
     local = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
     return placed.withColumn("_task", task).join(F.broadcast(first), "_task").withColumn(name, F.col("_before") + local + 1).drop("_task", "_before", "_at")
+
+
+def running(df: DataFrame, order: Sequence[str | Column], value: str | Column, over: Callable[[Column], Column], name: str) -> DataFrame:
+    """``df`` with ``over`` (F.sum, F.min or F.max) of ``value`` over all rows up to each, itself included, in ``order``.
+
+    Rows are dealt by range; a window runs within each range, and only one
+    row a range meets in another one. ``order`` must tell all rows apart.
+    """
+    placed = cut_lineage(df.withColumn("_value", F.col(value) if isinstance(value, str) else value).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    ranged = placed.withColumn("_task", F.shiftright("_at", 33))
+    both = {"sum": lambda a, b: a + b, "min": F.least, "max": F.greatest}[over.__name__]
+    totals = ranged.groupBy("_task").agg(over(F.col("_value")).alias("_total"))
+    before = totals.select("_task", over(F.col("_total")).over(Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+    own = ranged.withColumn("_own", over(F.col("_value")).over(Window.partitionBy("_task").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)))
+    met = both(F.col("_own"), F.col("_before"))
+    joined = own.join(F.broadcast(before), "_task")  # a row a range
+    return joined.withColumn(name, F.coalesce(met, "_own", "_before")).drop("_task", "_before", "_own", "_at", "_value")

@@ -9,8 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattis.operators.ordering import global_index
+from lattis.operators.ordering import global_index, running
 from lattis.operators.ranks import share
+from lattis.session import cut_lineage
 
 
 def paired(a: DataFrame, b: DataFrame, key: str = "qid", x: str = "score") -> DataFrame:
@@ -56,12 +57,18 @@ def paired_bootstrap(diffs: DataFrame, by: Sequence[str], resamples: int = 10_00
     return diffs.groupBy(*by).applyInPandas(run, f"{kinds}, n long, mean double, low double, high double, p double")
 
 
+def _bits(text: Column) -> Column:
+    """The first 28 bits of a text's md5."""
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 7), 16, 10).cast("long")
+
+
 def poisson_bootstrap(diffs: DataFrame, by: Sequence[str], key: str, resamples: int = 200, confidence: float = 0.95) -> DataFrame:
     """``(by..., n, mean, low, high)`` for any number of pairs: each is weighed by a hashed Poisson(1) draw a resample.
 
+    The draw comes from the first 28 bits of the md5 of ``key|resample``.
     Sums are combined map-side, so a group moves ``resamples`` rows a task.
     """
-    u = (F.pmod(F.xxhash64(key, "r"), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+    u = (_bits(F.concat_ws("|", F.col(key).cast("string"), F.col("r").cast("string"))) + 0.5) / float(1 << 28)
     weight, p, total = F.lit(0), np.exp(-1), 0.0
     for k in range(8):
         total += p
@@ -82,11 +89,10 @@ def benjamini_hochberg(tests: DataFrame, alpha: float = 0.05, key: str = "id", p
     if not 0 < alpha <= 1:
         raise ValueError("alpha must be in (0, 1]")
     checked = F.when(F.col(p).isNull() | F.isnan(p) | (F.col(p) < 0) | (F.col(p) > 1), F.raise_error(F.lit("p must be in [0, 1]")).cast("double")).otherwise(F.col(p))
-    w = Window.orderBy("_p", key)
-    ranked = tests.select(key, checked.alias("_p")).withColumn("rank", F.row_number().over(w)).crossJoin(tests.agg(F.count("*").alias("m")))
+    ranked = global_index(tests.select(key, checked.alias("_p")), ["_p", key], "rank").crossJoin(tests.agg(F.count("*").alias("m")))
     raw = F.col("_p") * F.col("m") / F.col("rank")
-    adjusted = F.least(F.lit(1.0), F.min(raw).over(Window.orderBy(F.desc("rank")).rowsBetween(Window.unboundedPreceding, 0)))
-    return ranked.withColumn("p_adjusted", adjusted).select(key, F.col("_p").alias(p), F.round("p_adjusted", 9).alias("p_adjusted"), (F.col("p_adjusted") <= alpha).alias("rejected"))
+    least = running(ranked, [F.desc("rank")], raw, F.min, "least")
+    return least.withColumn("p_adjusted", F.least(F.lit(1.0), "least")).select(key, F.col("_p").alias(p), F.round("p_adjusted", 9).alias("p_adjusted"), (F.col("p_adjusted") <= alpha).alias("rejected"))
 
 
 def binomial_two_sided(k: Column, n: Column) -> Column:
@@ -121,13 +127,12 @@ def spearman(rows: DataFrame, x: str, y: str) -> DataFrame:
     """One row ``(n, rho)`` with average ranks; null for n < 3 or no variance (STA8).
 
     Ranks come from counts of distinct values, so ties and hot values are
-    summed before the window.
+    summed before they are put in order, by ranges.
     """
 
     def ranks(c: str) -> DataFrame:
         counts = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(c).agg(F.count("*").alias("k"))
-        last = F.sum("k").over(Window.orderBy(c))
-        return counts.select(c, (last - (F.col("k") - 1) / 2).alias(f"rank_{c}"))
+        return running(counts, [c], "k", F.sum, "last").select(c, (F.col("last") - (F.col("k") - 1) / 2).alias(f"rank_{c}"))
 
     joined = rows.join(ranks(x), x).join(ranks(y), y)
     a, b = f"rank_{x}", f"rank_{y}"
@@ -135,27 +140,47 @@ def spearman(rows: DataFrame, x: str, y: str) -> DataFrame:
     return agg.select("n", F.round(F.when(F.col("n") >= 3, F.try_divide("c", "s")), 6).alias("rho"))
 
 
+def _pooled(m: Sequence[float], n: Sequence[float]) -> list[list[float]]:
+    """Pool adjacent violators: ``[mean, weight, members]`` of each block."""
+    blocks: list[list[float]] = []
+    for mean, weight in zip(m, n):
+        blocks.append([mean, weight, 1])
+        while len(blocks) > 1 and blocks[-2][0] >= blocks[-1][0]:
+            m2, n2, k2 = blocks.pop()
+            m1, n1, k1 = blocks[-1]
+            blocks[-1] = [(m1 * n1 + m2 * n2) / (n1 + n2), n1 + n2, k1 + k2]
+    return blocks
+
+
 def isotonic(rows: DataFrame, x: str = "score", y: str = "y") -> DataFrame:
     """``(x, n, fitted)``: the non-decreasing least-squares fit over distinct ``x`` (STA9).
 
-    Equal scores are pooled first, by a distributed aggregation; the pool of
-    adjacent violators then runs over the distinct scores in order.
+    Equal scores are pooled first, by a distributed aggregation, then
+    adjacent violators within ranges of scores. What is pooled there stays
+    together in the whole fit, so only the ranges' blocks meet in one task;
+    scores come back to their block by its number.
     """
     pooled = rows.groupBy(F.col(x).cast("double").alias("x")).agg(F.avg(y).alias("m"), F.count("*").alias("n"))
+    dealt = cut_lineage(pooled.repartitionByRange("x").withColumn("range", F.shiftright(F.monotonically_increasing_id(), 33)))
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+    def within(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("x")
-        blocks: list[list[float]] = []
-        for m, n in zip(pdf["m"], pdf["n"]):
-            blocks.append([m, n, 1])
-            while len(blocks) > 1 and blocks[-2][0] >= blocks[-1][0]:
-                m2, n2, k2 = blocks.pop()
-                m1, n1, k1 = blocks[-1]
-                blocks[-1] = [(m1 * n1 + m2 * n2) / (n1 + n2), n1 + n2, k1 + k2]
-        fitted = np.concatenate([np.full(int(k), m) for m, _, k in blocks]) if blocks else np.empty(0)
-        return pd.DataFrame({"x": pdf["x"], "n": pdf["n"], "fitted": np.round(fitted, 9)})
+        blocks = _pooled(pdf["m"], pdf["n"])
+        each = np.array([k for _, _, k in blocks], dtype=np.int64)
+        mean, weight = (np.repeat(np.array([b[i] for b in blocks], dtype=float), each) for i in (0, 1))
+        return pd.DataFrame({"range": pdf["range"], "block": np.repeat(np.arange(len(each)), each), "x": pdf["x"], "n": pdf["n"], "mean": mean, "weight": weight})
+
+    local = cut_lineage(dealt.groupBy("range").applyInPandas(within, "range long, block long, x double, n long, mean double, weight double"))
+
+    def across(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["range", "block"])
+        blocks = _pooled(pdf["mean"], pdf["weight"])
+        fitted = np.concatenate([np.full(int(k), m) for m, _, k in blocks])
+        return pd.DataFrame({"range": pdf["range"], "block": pdf["block"], "fitted": np.round(fitted, 9)})
 
-    return pooled.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(fit, "x double, n long, fitted double")
+    blocks = local.select("range", "block", "mean", "weight").distinct().withColumn("all", F.lit(0))
+    fit = blocks.groupBy("all").applyInPandas(across, "range long, block long, fitted double")
+    return local.select("range", "block", "x", "n").join(fit, ["range", "block"]).select("x", "n", "fitted")
 
 
 def calibration_error(rows: DataFrame, p: str = "p", y: str = "y", bins: int = 10) -> DataFrame:
@@ -218,7 +243,7 @@ def disagreements(rows: DataFrame) -> DataFrame:
 
 def token_cost(rows: DataFrame, prices: DataFrame) -> DataFrame:
     """``(model, queries, correct, cost, per_query, per_correct)`` (STA19, JN13)."""
-    joined = rows.join(F.broadcast(prices), "model")
+    joined = rows.join(prices, "model")
     cost = F.sum(F.col("input_tokens") * F.col("input_per_1m") / 1e6 + F.col("output_tokens") * F.col("output_per_1m") / 1e6)
     agg = joined.groupBy("model").agg(F.count("*").alias("queries"), F.count_if("correct").alias("correct"), cost.alias("cost"))
     return agg.select("model", "queries", "correct", F.round("cost", 6).alias("cost"), F.round(F.try_divide("cost", "queries"), 6).alias("per_query"), F.round(F.try_divide("cost", "correct"), 6).alias("per_correct"))
@@ -265,27 +290,26 @@ def mrr_delta_interval(pairs: DataFrame, by: str, resamples: int = 2_000, seed:
 def interpolate(fit: DataFrame, rows: DataFrame, x: str = "score") -> DataFrame:
     """Rows with ``p``: the fit at ``x``, linear between its points and flat beyond them (STA9).
 
-    The fit's points are the pieces of a step function between neighbours; a
-    row meets its piece by an ordered union, so nothing is joined by range.
+    A row meets the points around it in an ordered union of both, dealt by
+    range, so nothing is joined by range: the last point up to it, as a
+    running maximum, and the next one, as a running minimum from the end.
     """
-    w = Window.partitionBy(F.lit(0)).orderBy("x")
-    pieces = fit.select("x", "fitted", F.lead("x").over(w).alias("x2"), F.lead("fitted").over(w).alias("f2"))
-    marks = pieces.select(F.col("x"), F.struct("x", "fitted", "x2", "f2").alias("piece"), F.lit(None).cast("long").alias("row"))
-    asked = rows.withColumn("row", F.monotonically_increasing_id()).select(F.col(x).cast("double").alias("x"), F.lit(None).cast(marks.schema["piece"].dataType).alias("piece"), "row")
-    order = Window.orderBy("x", F.col("row").isNotNull())
-    met = marks.unionByName(asked).withColumn("at", F.last("piece", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))).where("row is not null")
-    lowest = fit.agg(F.min_by("fitted", "x").alias("lowest"))
-    t = (F.col("x") - F.col("at.x")) / (F.col("at.x2") - F.col("at.x"))
-    p = F.when(F.col("at").isNull(), F.col("lowest")).when(F.col("at.x2").isNull(), F.col("at.fitted")).otherwise(F.col("at.fitted") + t * (F.col("at.f2") - F.col("at.fitted")))
-    return met.crossJoin(lowest).select(F.col("x").alias(x), p.alias("p"))
+    point = F.struct(F.col("x").alias("x"), F.col("fitted").alias("f"))
+    marks = fit.select("x", point.alias("piece"), F.lit(-1).cast("long").alias("row"))
+    asked = rows.select(F.col(x).cast("double").alias("x"), F.lit(None).cast(marks.schema["piece"].dataType).alias("piece"), F.monotonically_increasing_id().alias("row"))
+    below = running(marks.unionByName(asked), ["x", "row"], "piece", F.max, "low")
+    both = running(below, [F.desc("x"), F.desc("row")], "piece", F.min, "high").where("row >= 0")
+    t = (F.col("x") - F.col("low.x")) / (F.col("high.x") - F.col("low.x"))
+    p = F.when(F.col("low").isNull(), F.col("high.f")).when(F.col("high").isNull(), F.col("low.f")).otherwise(F.col("low.f") + t * (F.col("high.f") - F.col("low.f")))
+    return both.select(F.col("x").alias(x), p.alias("p"))
 
 
 def cross_validated_calibration(rows: DataFrame, key: str, folds: int = 5, score: str = "score", y: str = "y") -> DataFrame:
     """One row ``(n, brier, ece)`` of calibrated scores, each fitted without its own fold (STA11).
 
-    Folds are dealt by a hash of the key.
+    Folds are dealt by the md5 of the key.
     """
-    dealt = rows.withColumn("fold", F.pmod(F.xxhash64(key), F.lit(folds)))
+    dealt = rows.withColumn("fold", _bits(F.col(key).cast("string")) % folds)
     out = None
     for k in range(folds):
         held = dealt.where(F.col("fold") == k)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lattis.operators import ranks as R
 from lattis.operators import stats as T
+from lattis.operators.retrieval import hashed_topk
 from lattis.plans.registry import query
 from lattis.sources import graphs as S
 
@@ -235,9 +236,7 @@ def recall_at_k(spark, sf_dir):
 def random_floor(spark, sf_dir):
     """Three documents an item by hash order (RET31); the stated items against all documents."""
     q, d = S.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid")), S.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))
-    pair = d.join(F.broadcast(q))
-    digest = F.md5(F.concat_ws("|", F.col("qid").cast("string"), F.col("id").cast("string")))
-    return pair.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy(digest, "id"))).where("r <= 3").select("qid", "id")
+    return hashed_topk(q, d, 3)
 
 
 @query("oracle_ceiling", f"WITH {_firsts_sql} SELECT qid, max(strategy) AS any_strategy, CAST(1 AS DOUBLE) AS recall FROM firsts WHERE rank IS NOT NULL GROUP BY 1")

@@ -298,7 +298,7 @@ def claim_match(spark, sf_dir):
 def grep_floor(spark, sf_dir):
     """Pages whose address holds the question's first word (an extension)."""
     first = _queries(spark, sf_dir).select("qid", F.lower(F.get(F.split("text", " "), F.lit(0))).alias("w"))
-    return S.read(spark, sf_dir, "pages").join(F.broadcast(first), F.contains("url", "w")).groupBy("qid").agg(F.count("*").alias("pages"))
+    return R.address_hits(first, S.read(spark, sf_dir, "pages"))
 
 
 @query("relevance_predicate_ci", "SELECT page_id FROM pages WHERE contains(lower(html), 'license') AND regexp_extract(url, '[^/]*$') GLOB '*1*'")

@@ -302,7 +302,7 @@ def cycle_basis(spark, sf_dir):
 def betti(spark, sf_dir):
     """A conversation is a fan of triangles: no hole outlives its birth."""
     g = S.conversations(spark, sf_dir)
-    return G.betti(g.entities, g.edges, largest_only=False)
+    return G.betti(g.entities, g.edges, largest_only=False).drop("skipped")
 
 
 @query(
