@@ -16,9 +16,10 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", r
     repeated edges count once; no edges give no rows.
 
     Every round is a few aggregations and equi-joins over the edge list: no
-    neighbour list is ever gathered. A hub's minimum is combined map-side; a
-    node in over a ``HEAVY``-th of the links has its minimum broadcast, of
-    which there are ``HEAVY`` at most, so its links stay where they are. The
+    neighbour list is ever gathered. A hub's minimum is combined map-side;
+    where the links are more than a task's, a node in over a ``HEAVY``-th of
+    them has its minimum broadcast, of which there are ``HEAVY`` at most, so
+    its links stay where they are. The
     rounds are logarithmic in the longest path; each ends in a reliable
     checkpoint of a task for every ``rows_a_task`` links, so small graphs
     don't leave hundreds of small files a round.
@@ -30,7 +31,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", r
     tasks = 1 + n // rows_a_task
     before = None
     while True:
-        links = cut_lineage(_small_star(_large_star(links, n), n).coalesce(tasks))
+        large = 0 if n <= rows_a_task else n
+        links = cut_lineage(_small_star(_large_star(links, large), large).coalesce(tasks))
         now = links.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if now == before or now["n"] == 0:
             break
@@ -45,8 +47,13 @@ HEAVY = 1_000
 
 
 def _minima(links: DataFrame, at: str, n: int) -> DataFrame:
-    """``links`` with ``m``, the smallest neighbour of the node in column ``at``, or null if none is smaller."""
+    """``links`` with ``m``, the smallest neighbour of the node in column ``at``, or null if none is smaller.
+
+    ``n`` is the number of links if they are many, so that heavy nodes are told from others; else 0.
+    """
     lowest = links.groupBy("u").agg(F.min("v").alias("m"))
+    if not n:
+        return links.join(lowest.select(F.col("u").alias("x"), "m"), F.col(at) == F.col("x"), "left").select("u", "v", "m")
     heavy = links.groupBy(at).agg(F.count("*").alias("k")).where(F.col("k") > n // HEAVY).select(F.col(at).alias("x"))
     known = heavy.join(lowest.select(F.col("u").alias("x"), "m"), "x", "left").select("x", "m", F.lit(True).alias("heavy"))
     marked = links.join(F.broadcast(known), F.col(at) == F.col("x"), "left").drop("x")

@@ -127,7 +127,7 @@ def test_interpolation_around_many_points(spark):
 
 def test_components_of_hubs(spark):
     edges = [(5_000, i) for i in range(1, 3_000)] + [(0, 9_000 + i) for i in range(2_500)] + [(7_000 + i, 7_001 + i) for i in range(300)] + [(5_000, 0)]
-    found = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    found = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "src long, dst long"), rows_a_task=1_000).collect()}
     assert set(found.values()) == {0, 7_000} and sum(c == 7_000 for c in found.values()) == 301
 
 
