@@ -6,3 +6,4 @@ from lattis.plans import evaluation  # noqa: F401
 from lattis.plans import ontology  # noqa: F401
 from lattis.plans import sources  # noqa: F401
 from lattis.plans import streaming  # noqa: F401
+from lattis.plans import readers  # noqa: F401
