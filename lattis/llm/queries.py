@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lattis.llm import bin_completion, chat_format, decontaminate, embedding_hnsw, language_bloom, license_scan, quality_gbt, simhash_bk, token_counts, warc
+from lattis.llm import bin_completion, chat_format, decontaminate, embedding_hnsw, exact_dedup, language_bloom, license_scan, quality_gbt, simhash_bk, token_counts, warc
 
 
 def _tokenizer(name: str) -> str:
@@ -64,6 +64,10 @@ def op10_simhash_bk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_bk.near_duplicate_documents(_read(spark, sf_dir, "documents"))
 
 
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(_read(spark, sf_dir, "documents"), keep="largest")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_separator_scan": op1_separator_scan,
     "op2_warc_normaliser": op2_warc_normaliser,
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embedding_hnsw": op8_embedding_hnsw,
     "op9_bin_completion": op9_bin_completion,
     "op10_simhash_bk": op10_simhash_bk,
+    "op12_exact_dedup": op12_exact_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -122,4 +127,9 @@ ORACLE_SQL: dict[str, str] = {
         SELECT e.vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, component_id, e.vec_id = component_id AS kept
         FROM e JOIN c USING (vec_id) LEFT JOIN n USING (vec_id)
     """,
+    "op12_exact_dedup": """
+        SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+               doc_id IS NOT DISTINCT FROM max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
+        FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
+    """,
 }
