@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lattis.llm import bin_completion, chat_format, decontaminate, embedding_hnsw, exact_dedup, language_bloom, license_scan, quality_gbt, simhash_bk, token_counts, warc
+from lattis.llm import bin_completion, chat_format, decontaminate, embedding_hnsw, exact_dedup, language_bloom, license_scan, quality_gbt, simhash_bk, token_counts, warc, weighted_lloyd
 
 
 def _tokenizer(name: str) -> str:
@@ -68,6 +68,34 @@ def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_read(spark, sf_dir, "documents"), keep="largest")
 
 
+def op13_weighted_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weighted_lloyd.cluster_vectors(_read(spark, sf_dir, "embeddings"))
+
+
+def _lloyd_sql(k: int = 8, rounds: int = 10) -> str:
+    """Rounds of Lloyd's algorithm, one after the other; ``//`` is brought from truncation to floor."""
+    assign = "SELECT vec_id, q, arg_min(c, (d, c)) AS c, min(d) AS d FROM (SELECT v.vec_id, v.q, m.c, list_sum(list_transform(range(1, 65), lambda i: (v.q[i] - m.q[i]) * (v.q[i] - m.q[i]))) AS d FROM kept v, m{r} m) GROUP BY vec_id, q"
+    parts = []
+    for r in range(rounds + 1):
+        parts.append(f"a{r} AS MATERIALIZED ({assign.format(r=r)})")
+        if r < rounds:
+            floors = f"SELECT c, list(((s - ((s % n) + n) % n) // n) ORDER BY j) AS q FROM (SELECT c, j, sum(q[j])::BIGINT AS s, count(*) AS n FROM a{r}, range(1, 65) t(j) GROUP BY c, j) GROUP BY c"
+            parts.append(f"m{r + 1} AS MATERIALIZED (SELECT m.c, coalesce(f.q, m.q) AS q FROM m{r} m LEFT JOIN ({floors}) f USING (c))")
+    return f"""
+        WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+        kept AS MATERIALIZED (
+            SELECT vec_id, list_transform(v, lambda x: CAST(floor(1024 * x) AS BIGINT)) AS q FROM e
+            WHERE len(v) = 64 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ),
+        m0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS c, q FROM kept ORDER BY c LIMIT {k}),
+        {", ".join(parts)}
+        SELECT vec_id, CAST(c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance,
+               CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+               sha256(array_to_string(m.q, ',')) AS centroid_sha256
+        FROM a{rounds} JOIN m{rounds} m USING (c)
+    """
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_separator_scan": op1_separator_scan,
     "op2_warc_normaliser": op2_warc_normaliser,
@@ -80,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bin_completion": op9_bin_completion,
     "op10_simhash_bk": op10_simhash_bk,
     "op12_exact_dedup": op12_exact_dedup,
+    "op13_weighted_lloyd": op13_weighted_lloyd,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -132,4 +161,5 @@ ORACLE_SQL: dict[str, str] = {
                doc_id IS NOT DISTINCT FROM max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
     """,
+    "op13_weighted_lloyd": _lloyd_sql(),
 }
