@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lattis.llm import bin_completion, chat_format, decontaminate, embedding_hnsw, exact_dedup, language_bloom, license_scan, quality_gbt, simhash_bk, token_counts, warc, weighted_lloyd
+from lattis.llm import bin_completion, chat_format, decontaminate, embedding_hnsw, exact_dedup, language_bloom, license_scan, quality_gbt, simhash_bk, spelling, token_counts, warc, weighted_lloyd
 
 
 def _tokenizer(name: str) -> str:
@@ -64,6 +64,44 @@ def op10_simhash_bk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_bk.near_duplicate_documents(_read(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(_read(spark, sf_dir, "documents"))
+
+
+def _spelling_sql() -> str:
+    """crc32 from its table, all pairs of words by edit distance (each letter as one byte), forms by recursion."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    accented = "".join(map(chr, range(0xC0, 0x100)))
+    spare = "".join(c for c in map(chr, range(33, 127)) if not c.islower() and c not in "'\\")[: len(accented)]
+    return f"""
+        WITH RECURSIVE crc AS (
+            SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)
+        ),
+        found AS (
+            SELECT doc_id, translate(run, '{upper}', '{upper.lower()}') AS run, count(*) AS k
+            FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run FROM documents) GROUP BY ALL
+        ),
+        hexed AS (SELECT run, k, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS x FROM found),
+        hashed AS (
+            SELECT run, k, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(x), 2), lambda i: CAST('0x' || substr(x, i, 2) AS BIGINT))),
+                lambda c, b: xor(c >> 8, crc.t[(xor(c, b) & 255) + 1])), 4294967295) AS h
+            FROM hexed, crc
+        ),
+        results AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, k FROM hashed),
+        words AS MATERIALIZED (
+            SELECT word, CAST(sum(k) AS BIGINT) AS n, translate(word, '{accented}', '{spare}') AS coded, length(word) AS len
+            FROM results WHERE length(word) >= 6 GROUP BY word HAVING sum(k) >= 5
+        ),
+        near AS (SELECT a.word, a.n, b.word AS other, b.n AS m FROM words a JOIN words b ON b.len IN (a.len - 1, a.len, a.len + 1) AND levenshtein(a.coded, b.coded) = 1),
+        best AS (SELECT word, any_value(n) AS n, count(*) AS n_near, arg_min(other, (-m, encode(other))) AS form, max(m) AS form_n FROM near GROUP BY word),
+        forms AS MATERIALIZED (SELECT word, form, form_n FROM best WHERE form_n >= 5 * n),
+        path AS (SELECT word, word AS root FROM words UNION ALL SELECT p.word, f.form FROM path p JOIN forms f ON f.word = p.root),
+        roots AS (SELECT word, root FROM path WHERE root NOT IN (SELECT word FROM forms))
+        SELECT w.word, f.form, r.root, w.n, coalesce(b.n_near, 0) AS n_near, f.form_n
+        FROM words w JOIN roots r USING (word) LEFT JOIN forms f USING (word) LEFT JOIN best b USING (word)
+    """
+
+
 def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_read(spark, sf_dir, "documents"), keep="largest")
 
@@ -107,6 +145,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embedding_hnsw": op8_embedding_hnsw,
     "op9_bin_completion": op9_bin_completion,
     "op10_simhash_bk": op10_simhash_bk,
+    "op11_spelling_variants": op11_spelling_variants,
     "op12_exact_dedup": op12_exact_dedup,
     "op13_weighted_lloyd": op13_weighted_lloyd,
 }
@@ -156,6 +195,7 @@ ORACLE_SQL: dict[str, str] = {
         SELECT e.vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, component_id, e.vec_id = component_id AS kept
         FROM e JOIN c USING (vec_id) LEFT JOIN n USING (vec_id)
     """,
+    "op11_spelling_variants": _spelling_sql(),
     "op12_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id IS NOT DISTINCT FROM max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
