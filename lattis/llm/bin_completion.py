@@ -140,6 +140,52 @@ def least_bins(counts: np.ndarray, capacity: int) -> int:
     return int(max((alone + single + np.maximum(0, -(-(small - room) // capacity))).max(), some.max()))
 
 
+def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """Best-fit decreasing over the histogram, as patterns like :func:`solve`'s.
+
+    Pieces come longest first, each into the fullest sequence that has room.
+    Sequences of equal content are one entry with their number, so the work
+    follows the distinct lengths, not the pieces.
+    """
+    open_: dict[int, list[tuple[tuple, int]]] = {}  # by room left: (filling as nested pairs, number)
+    for s in np.flatnonzero(counts)[::-1].tolist():
+        if s == 0:
+            continue
+        left = int(counts[s])
+        for room in sorted(r for r in open_ if r >= s):
+            fits, stay, moved = room // s, [], []
+            for filling, n in open_.pop(room):
+                full = min(n, left // fits)
+                left -= full * fits
+                if full:
+                    moved.append((room - fits * s, ((filling, s, fits), full)))
+                n -= full
+                if n and left:  # fewer pieces than one sequence takes
+                    moved.append((room - left * s, ((filling, s, left), 1)))
+                    n, left = n - 1, 0
+                if n:
+                    stay.append((filling, n))
+            if stay:
+                open_[room] = stay
+            for r, entry in moved:
+                open_.setdefault(r, []).append(entry)
+            if not left:
+                break
+        fits = capacity // s
+        for times, k in ((left // fits, fits), (1, left % fits)):
+            if times and k:
+                open_.setdefault(capacity - k * s, []).append((((), s, k), times))
+
+    def flat(filling: tuple) -> tuple[int, ...]:
+        parts = []
+        while filling:
+            filling, s, k = filling
+            parts.append((s,) * k)
+        return tuple(x for part in reversed(parts) for x in part)
+
+    return [(flat(filling), n) for entries in open_.values() for filling, n in entries]
+
+
 @dataclass
 class Packing:
     """Patterns ``(lengths of one sequence, number of such sequences)``, how many sequences they are, and a lower bound."""
@@ -154,21 +200,23 @@ def solve(counts: np.ndarray, capacity: int, budget: int = 2_000) -> list[tuple[
 
     Branch and bound: each node takes the largest length that is left and
     completes its bin in every undominated way, each as often as the counts
-    allow. A branch ends when its sequences so far plus the waste bound
-    (tokens left / capacity, rounded up) reach the incumbent. The first dive,
-    best fit at every step, is the first incumbent; the search stops at the
-    lower bound or after ``budget`` nodes beyond it.
+    allow, or else half as often. Best-fit decreasing is the first incumbent,
+    and completes the first ``dives`` nodes for further ones, so the result
+    never takes more sequences than best fit. A branch ends when its
+    sequences so far plus the waste bound reach the incumbent; the search
+    stops at the lower bound or after ``budget`` nodes.
     """
     return pack_counts(counts, capacity, budget).patterns
 
 
-def pack_counts(counts: np.ndarray, capacity: int, budget: int = 2_000) -> Packing:
+def pack_counts(counts: np.ndarray, capacity: int, budget: int = 2_000, dives: int = 100) -> Packing:
     """:func:`solve`, with the number of sequences and the lower bound; equal, they prove that there can't be fewer."""
     counts = counts.astype(np.int64).copy()
-    lengths = np.arange(len(counts))
     floor = least_bins(counts, capacity)
-    best: list[tuple[tuple[int, ...], int]] | None = None
-    best_n = 1 << 62
+    if not counts.any():
+        return Packing([], 0, 0)
+    best = best_fit(counts, capacity)
+    best_n = sum(n for _, n in best)
     path: list[tuple[tuple[int, ...], int]] = []
     used, spent = 0, 0
 
@@ -182,16 +230,15 @@ def pack_counts(counts: np.ndarray, capacity: int, budget: int = 2_000) -> Packi
             filling = (top, *way)
             need = {s: filling.count(s) for s in set(filling)}
             out.append((filling, min(int(counts[s]) // k for s, k in need.items())))
-        return out
+        return out + [(filling, n // 2) for filling, n in out if n > 1]
 
     def apply(step: tuple[tuple[int, ...], int], sign: int) -> None:
         for s in step[0]:
             counts[s] -= sign * step[1]
 
     stack: list[Iterator[tuple[tuple[int, ...], int]]] = []
-    stack.append(iter(options(4)) if counts.any() else iter(()))
-    if not counts.any():
-        return Packing([], 0, 0)
+    if best_n > floor:
+        stack.append(iter(options(4)))
     while stack:
         step = next(stack[-1], None)
         if step is None:
@@ -201,23 +248,26 @@ def pack_counts(counts: np.ndarray, capacity: int, budget: int = 2_000) -> Packi
                 apply(last, -1)
                 used -= last[1]
             continue
-        spent += best is not None
-        if best is not None and (spent > budget or best_n <= floor):
+        spent += 1
+        if spent > budget or best_n <= floor:
             break
         apply(step, 1)
-        if best is not None and used + step[1] + least_bins(counts, capacity) >= best_n:
+        if used + step[1] + least_bins(counts, capacity) >= best_n:
             apply(step, -1)
             continue
         path.append(step)
         used += step[1]
+        rest = best_fit(counts, capacity) if dives > 0 and counts.any() else []
+        dives -= 1
+        if (rest or not counts.any()) and used + (n := sum(k for _, k in rest)) < best_n:
+            best, best_n = [*path, *rest], used + n
         if not counts.any():
-            best, best_n = list(path), used
             path.pop()
             apply(step, -1)
             used -= step[1]
         else:
             stack.append(iter(options(4)))
-    return Packing(best or [], best_n if best else 0, floor)
+    return Packing(best, best_n, floor)
 
 
 class Placement:

@@ -1,3 +1,4 @@
+import bisect
 import itertools
 import zlib
 
@@ -139,3 +140,39 @@ def test_empty_texts_beside_a_long_one(spark, empty):
     rows = B.pack_documents(docs, PATH).collect()
     check(rows, docs.collect(), 2048)
     assert {(r["n_sequences"], r["least_sequences"]) for r in rows} == {(len({r["sequence_id"] for r in rows}),) * 2}
+
+
+def best_fit_decreasing(lengths, capacity):
+    """Sequences of plain best fit, a piece at a time."""
+    rooms, n = [], 0
+    for s in sorted(lengths, reverse=True):
+        i = bisect.bisect_left(rooms, s)
+        n += i == len(rooms)
+        bisect.insort(rooms, (rooms.pop(i) if i < len(rooms) else capacity) - s)
+    return n
+
+
+def never_above_best_fit(lengths, capacity):
+    counts = np.bincount(lengths, minlength=capacity + 1)
+    plain = best_fit_decreasing(lengths.tolist(), capacity)
+    assert sum(n for _, n in B.best_fit(counts, capacity)) == plain
+    packing = B.pack_counts(counts, capacity)
+    assert (sum(n * np.bincount(f, minlength=capacity + 1) for f, n in packing.patterns) == counts).all()
+    assert all(sum(f) <= capacity for f, _ in packing.patterns)
+    assert packing.least <= packing.sequences == sum(n for _, n in packing.patterns) <= plain
+    return plain - packing.sequences
+
+
+@pytest.mark.parametrize("seed", range(50))
+def test_never_above_best_fit_on_small_mixes(seed):
+    rng = np.random.default_rng(1_000 + seed)
+    low = int(rng.integers(1, 40))
+    never_above_best_fit(rng.integers(low, int(rng.integers(low + 1, 101)), int(rng.integers(1, 400))), 100)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_never_above_best_fit_on_narrow_mixes(seed):
+    rng = np.random.default_rng(seed)
+    never_above_best_fit(np.clip(rng.normal(690, 60, 4_000).astype(int), 1, 2048), 2048)
+    never_above_best_fit(np.clip(rng.normal(690, 30, 20_000).astype(int), 1, 2048), 2048)
+    assert never_above_best_fit(rng.integers(450, 950, 5_000), 2048) > 0  # here the search finds more
