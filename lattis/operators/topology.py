@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattis.operators.components import connected_components
+from lattis.operators.paths import Search
 from lattis.session import cut_lineage, materialize
 
 
@@ -128,19 +129,12 @@ def induced_edges(edges: DataFrame, ids: DataFrame) -> DataFrame:
     return valid_edges(edges, ids)
 
 
-def shortest_paths(edges: DataFrame, pairs: DataFrame, longest: int = 20) -> DataFrame:
-    """``(a, b, hops)`` for each asked pair; null hops if apart or further than ``longest`` (TOP20)."""
-    steps = both_ways(simple(edges))
-    asked = materialize(pairs.select("a", "b").distinct())
-    seen = asked.select("a", F.col("a").alias("id")).distinct()
-    edge, found = seen, asked.where("a = b").withColumn("hops", F.lit(0))
-    for k in range(1, longest + 1):
-        edge = materialize(edge.join(steps, F.col("id") == F.col("u")).select("a", F.col("v").alias("id")).distinct().join(seen, ["a", "id"], "left_anti"))
-        if edge.isEmpty():
-            break
-        seen = materialize(seen.union(edge))
-        found = found.unionByName(asked.join(edge.withColumnRenamed("id", "b"), ["a", "b"]).withColumn("hops", F.lit(k)))
-    return asked.join(found, ["a", "b"], "left")
+def shortest_paths(edges: DataFrame, pairs: DataFrame, longest: int | None = None) -> DataFrame:
+    """``(a, b, hops)`` for each asked pair; null hops if apart or further than ``longest`` (TOP20).
+
+    :mod:`lattis.operators.paths` tells the two apart, and gives the nodes between.
+    """
+    return Search(edges, pairs, longest).hops().select("a", "b", "hops")
 
 
 def modularity(edges: DataFrame, partition: DataFrame, resolution: float = 1.0) -> DataFrame:

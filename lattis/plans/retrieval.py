@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lattis.operators import modes as M
 from lattis.operators import retrieval as R
 from lattis.operators.topology import khop
 from lattis.plans.registry import query
@@ -170,6 +171,60 @@ def hybrid_mode(spark, sf_dir):
     return R.one_hop(seeds, S.conversations(spark, sf_dir).edges)
 
 
+#: Questions on every hundredth customer: with its nation, which an edge joins to it; with its region, which none does; and on its segment, which no name holds.
+_store_sql = f"""{S.TRADE_SQL},
+nodes AS (SELECT *, entity_type AS description FROM trade_nodes),
+q AS (
+    SELECT c_custkey AS qid, CASE c_custkey % 300 WHEN 0 THEN c_name || ' ' || n_name WHEN 100 THEN c_name || ' ' || r_name ELSE 'about ' || c_mktsegment END AS text
+    FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey WHERE c_custkey % 100 = 0),
+w AS (SELECT qid, unnest(string_split(text, ' ')) AS term, generate_subscripts(string_split(text, ' '), 1) AS k FROM q),
+h AS (SELECT qid, k, id, entity_type FROM w JOIN nodes ON contains(lower(name), lower(term))),
+named AS (SELECT qid, id, entity_type FROM (SELECT DISTINCT qid, id, entity_type FROM h) QUALIFY row_number() OVER (PARTITION BY qid, entity_type ORDER BY id) <= 5)"""
+
+
+def _store(spark, sf_dir):
+    g = S.trade(spark, sf_dir)
+    c, n, r = (S.read(spark, sf_dir, t) for t in ("customer", "nation", "region"))
+    asked = c.where("c_custkey % 100 = 0").join(n, F.col("n_nationkey") == F.col("c_nationkey")).join(r, F.col("r_regionkey") == F.col("n_regionkey"))
+    kind = F.col("c_custkey") % 300
+    text = F.when(kind == 0, F.concat_ws(" ", "c_name", "n_name")).when(kind == 100, F.concat_ws(" ", "c_name", "r_name")).otherwise(F.concat(F.lit("about "), "c_mktsegment"))
+    return asked.select(F.col("c_custkey").alias("qid"), text.alias("text")), g.entities.withColumn("description", F.col("entity_type")), g.edges
+
+
+@query(
+    "graph_mode",
+    f"""WITH RECURSIVE {_store_sql},
+    walk AS (SELECT qid, id, 0 AS d FROM named UNION SELECT qid, target_id, d + 1 FROM walk JOIN trade_edges ON source_id = id WHERE d < 3),
+    best AS (SELECT qid, id, min(d) AS d FROM walk GROUP BY ALL)
+    SELECT qid, 'graph' AS mode, CAST(row_number() OVER (PARTITION BY qid ORDER BY d, id) AS INT) AS rank, id, CAST(d AS VARCHAR) AS detail FROM best QUALIFY rank <= 5""",
+)
+def graph_mode(spark, sf_dir):
+    return M.graph(*_store(spark, sf_dir))
+
+
+@query(
+    "path_mode",
+    f"""WITH {_store_sql},
+    five AS (SELECT qid, k, id, entity_type FROM h WHERE k <= 2 QUALIFY row_number() OVER (PARTITION BY qid, k, entity_type ORDER BY id) <= 5),
+    ends AS (SELECT qid, k, id, row_number() OVER (PARTITION BY qid, k ORDER BY entity_type, id) AS ord FROM five),
+    direct AS (
+        SELECT a.qid, a.id, a.ord, a.id || ' --' || edge_type || '--> ' || b.id AS way FROM ends a JOIN ends b ON a.qid = b.qid AND a.k = 1 AND a.ord <= 3 AND b.k = 2 AND b.ord = 1
+        JOIN trade_edges ON source_id = a.id AND target_id = b.id QUALIFY row_number() OVER (PARTITION BY a.qid, a.id, edge_type ORDER BY b.id) <= 3),
+    p AS (SELECT qid, 'path' AS mode, row_number() OVER (PARTITION BY qid ORDER BY ord, way) AS rank, id, way AS detail FROM direct),
+    taken AS (SELECT n.qid, source_id, target_id, edge_type FROM named n JOIN trade_edges ON source_id = n.id QUALIFY row_number() OVER (PARTITION BY n.qid, edge_type ORDER BY source_id, target_id) <= 5),
+    near AS (SELECT qid, target_id AS id, min(struct_pack(a := edge_type, b := source_id)) AS o FROM taken WHERE (qid, target_id) NOT IN (SELECT (qid, id) FROM named) GROUP BY ALL),
+    all_near AS (SELECT qid, id, 0 AS part, o.a AS a, o.b AS b FROM near UNION ALL SELECT qid, id, 1, NULL, NULL FROM named),
+    y AS (SELECT qid, 'hybrid' AS mode, row_number() OVER (PARTITION BY qid ORDER BY part, a, b, id) AS rank, id, a AS detail FROM all_near WHERE qid NOT IN (SELECT qid FROM p)),
+    met AS (SELECT DISTINCT qid, n.* FROM w JOIN nodes n ON contains(lower(name), lower(term)) OR contains(lower(description), lower(term)) WHERE qid NOT IN (SELECT qid FROM named)),
+    scored AS (SELECT qid, id, (SELECT count(*) FROM w WHERE w.qid = met.qid AND contains(lower('[' || entity_type || '/' || id || '] ' || name || chr(10) || name), lower(term))) AS score FROM met),
+    z AS (SELECT qid, 'semantic' AS mode, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank, id, CAST(score AS VARCHAR) AS detail FROM scored)
+    SELECT qid, mode, CAST(rank AS INT) AS rank, id, detail FROM (FROM p UNION ALL FROM y UNION ALL FROM z) WHERE rank <= 5""",
+)
+def path_mode(spark, sf_dir):
+    """A store asked in path mode: paths, or what hybrid and then semantic mode find (RET8)."""
+    return M.path(*_store(spark, sf_dir))
+
+
 @query(
     "khop_context",
     f"""WITH RECURSIVE {S.CONV_SQL}, steps AS (SELECT source_id AS u, target_id AS v FROM conv_edges UNION SELECT target_id, source_id FROM conv_edges),

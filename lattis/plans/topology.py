@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lattis.operators import gaps as G
+from lattis.operators import paths as P
 from lattis.operators import topology as T
 from lattis.plans.registry import query
 from lattis.sources import graphs as S
@@ -141,6 +143,66 @@ def shortest_paths(spark, sf_dir):
     return T.shortest_paths(S.conversations(spark, sf_dir).edges, ends.union(apart), longest=6)
 
 
+def _paths_sql(steps: str, longest: int) -> str:
+    """CTEs ``dist`` (by levels from each ``b`` of ``asked``) and ``found`` (walks from ``a`` to the least node that is nearer), over ``steps`` (u, v)."""
+    parts = ["l0 AS MATERIALIZED (SELECT DISTINCT b AS root, b AS id FROM asked)"]
+    for k in range(1, longest + 1):
+        seen = " ".join(f"EXCEPT SELECT root, id FROM l{j}" for j in (k - 1, k - 2) if j >= 0)
+        parts.append(f"l{k} AS MATERIALIZED (SELECT DISTINCT root, v AS id FROM l{k - 1} JOIN {steps} s ON s.u = id {seen})")
+    parts.append("dist AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT root, id, {k} AS d FROM l{k}" for k in range(longest + 1)) + ")")
+    parts.append("w0 AS MATERIALIZED (SELECT a, b, d AS hops, a AS id, a AS path FROM asked JOIN dist ON root = b AND dist.id = a)")
+    for k in range(1, longest + 1):
+        parts.append(f"w{k} AS MATERIALIZED (SELECT w.a, w.b, w.hops, min(v) AS id, w.path || '>' || min(v) AS path FROM w{k - 1} w JOIN {steps} s ON s.u = w.id JOIN dist ON root = w.b AND dist.id = v AND d = w.hops - {k} WHERE w.hops >= {k} GROUP BY w.a, w.b, w.hops, w.path)")
+    parts.append("found AS (" + " UNION ALL ".join(f"SELECT a, b, hops, path FROM w{k} WHERE hops = {k}" for k in range(longest + 1)) + ")")
+    return ", ".join(parts)
+
+
+@query(
+    "paths",
+    f"""WITH RECURSIVE o AS (SELECT o_orderkey AS k, o_custkey AS c, date_trunc('day', o_orderdate) AS day FROM orders),
+    e AS (SELECT k AS x, lag(k) OVER (PARTITION BY c ORDER BY k) AS y FROM o UNION ALL SELECT k, lag(k) OVER (PARTITION BY day ORDER BY k) FROM o),
+    chain AS MATERIALIZED (SELECT 'order:' || x AS u, 'order:' || y AS v FROM e WHERE y IS NOT NULL UNION SELECT 'order:' || y, 'order:' || x FROM e WHERE y IS NOT NULL),
+    asked AS MATERIALIZED (SELECT 'order:' || k AS a, 'order:' || (k + 1) AS b FROM o WHERE k % 100 = 0),
+    cc(id, comp) USING KEY (id) AS (
+        SELECT DISTINCT u, u FROM chain
+        UNION SELECT s.v, min(c.comp) FROM cc c JOIN chain s ON s.u = c.id JOIN recurring.cc r ON r.id = s.v GROUP BY s.v, r.comp HAVING min(c.comp) < r.comp),
+    {_paths_sql("chain", 10)}
+    SELECT q.a, q.b, CAST(hops AS INT) AS hops, CASE WHEN path IS NOT NULL THEN 'found' WHEN x.comp = y.comp THEN 'further' ELSE 'apart' END AS status, path
+    FROM asked q LEFT JOIN found USING (a, b) LEFT JOIN cc x ON x.id = q.a LEFT JOIN cc y ON y.id = q.b""",
+)
+def paths(spark, sf_dir):
+    """From every hundredth order to the one after it, along customers' and days' chains of orders, up to 10 hops."""
+    orders = S.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"), F.date_trunc("day", "o_orderdate").alias("day"))
+    key = lambda c: F.concat(F.lit("order:"), F.col(c).cast("string"))
+    chain = lambda by: orders.withColumn("y", F.lag("k").over(Window.partitionBy(by).orderBy("k"))).where("y is not null").select(key("k").alias("source_id"), key("y").alias("target_id"))
+    asked = orders.where("k % 100 = 0").select(key("k").alias("a"), F.concat(F.lit("order:"), (F.col("k") + 1).cast("string")).alias("b"))
+    return P.shortest_paths(chain("c").unionByName(chain("day")), asked, longest=10).withColumn("path", F.array_join("path", ">"))
+
+
+@query(
+    "reasoning_paths",
+    f"""WITH {S.CONV_SQL}, step AS MATERIALIZED (SELECT source_id AS u, target_id AS v FROM conv_edges UNION SELECT target_id, source_id FROM conv_edges),
+    points AS MATERIALIZED (
+        SELECT conv_id AS qid, turn AS pos, 'turn:' || conv_id || ':' || turn AS id FROM conversations WHERE role = 'user'
+        UNION ALL SELECT conv_id, max(turn) + 1, 'turn:' || (conv_id + 1) || ':0' FROM conversations GROUP BY conv_id),
+    seg AS MATERIALIZED (SELECT qid, id AS a, lead(id) OVER (PARTITION BY qid ORDER BY pos, id) AS b FROM points),
+    asked AS MATERIALIZED (SELECT DISTINCT a, b FROM seg WHERE a IN (SELECT u FROM step) AND b IN (SELECT u FROM step)),
+    {_paths_sql("step", 4)},
+    told AS (SELECT qid, a, b, path FROM seg JOIN asked USING (a, b) LEFT JOIN found USING (a, b)),
+    node AS (SELECT DISTINCT qid, unnest(string_split(path, '>')) AS id FROM told)
+    SELECT qid, (SELECT count(*) FROM told t WHERE t.qid = p.qid) AS segments, (SELECT count(*) FILTER (path IS NULL) FROM told t WHERE t.qid = p.qid) AS disconnected, CAST(0 AS BIGINT) AS further,
+           coalesce((SELECT string_agg(id, ',' ORDER BY id) FROM node n WHERE n.qid = p.qid AND (n.qid, n.id) NOT IN (SELECT (qid, id) FROM points)), '') AS interior
+    FROM (SELECT DISTINCT qid FROM points) p""",
+)
+def reasoning_paths(spark, sf_dir):
+    """The nodes between a conversation's user turns, and then the next conversation's first turn, which nothing joins to it."""
+    turns = S.read(spark, sf_dir, "conversations")
+    key = lambda c, t: F.concat(F.lit("turn:"), c.cast("string"), F.lit(":"), t.cast("string"))
+    asked = turns.where("role = 'user'").select(F.col("conv_id").alias("qid"), F.col("turn").alias("pos"), key(F.col("conv_id"), F.col("turn")).alias("id"))
+    then = turns.groupBy(F.col("conv_id").alias("qid")).agg((F.max("turn") + 1).alias("pos")).withColumn("id", key(F.col("qid") + 1, F.lit(0)))
+    return P.between_waypoints(S.conversations(spark, sf_dir).edges, asked.unionByName(then)).withColumn("interior", F.array_join("interior", ","))
+
+
 _nation = """part AS (SELECT id, CASE WHEN id LIKE 'nation:%' THEN id WHEN id LIKE 'region:%' THEN 'r' ELSE (SELECT max(target_id) FROM trade_edges WHERE source_id = trade_nodes.id) END AS community FROM trade_nodes)"""
 
 
