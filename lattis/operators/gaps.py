@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from lattis.operators import forests
 from lattis.operators.topology import both_ways, components_of, simple, size_bucket
 from lattis.session import cut_lineage, materialize
 
@@ -100,55 +101,12 @@ def _index(pdf: pd.DataFrame) -> tuple[list[str], list[list[int]], list[tuple[in
     return ids, near, pairs
 
 
-def bridges(nodes: DataFrame, edges: DataFrame, most_edges: int = 5_000_000, rounds: int = 6) -> DataFrame:
-    """``(a, b)`` simple edges whose removal parts their component (TOP14).
+def bridges(nodes: DataFrame | None, edges: DataFrame, rows_a_task: int = 250_000) -> DataFrame:
+    """``(a, b)`` simple edges whose removal parts their component (TOP14); see :func:`lattis.operators.forests.bridges`.
 
-    Leaves are stripped first, in a few rounds of joins: an edge to a node of
-    degree 1 is a bridge. What is left goes to one low-link walk a component;
-    a remaining core of over ``most_edges`` edges is an error, not a guess.
+    ``nodes`` play no part: one without an edge has no bridge.
     """
-    left = cut_lineage(simple(edges))
-    found = None
-    for _ in range(rounds):
-        leaf = both_ways(left).groupBy("u").agg(F.count("*").alias("d")).where("d = 1").select("u")
-        ends = cut_lineage(left.join(leaf.withColumnRenamed("u", "a"), "a", "left_semi").unionByName(left.join(leaf.withColumnRenamed("u", "b"), "b", "left_semi")).distinct())
-        if ends.isEmpty():
-            break
-        found = ends if found is None else found.unionByName(ends)
-        left = cut_lineage(left.join(ends, ["a", "b"], "left_anti"))
-    core = _by_component(left.select(F.col("a").alias("id")).union(left.select("b")), left.select(F.col("a").alias("source_id"), F.col("b").alias("target_id")))
-    largest = core.groupBy("component").count().agg(F.max("count")).first()[0] or 0
-    if largest > most_edges:
-        raise ValueError(f"a component's core has {largest} edges; the walk takes at most {most_edges}")
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, near, _ = _index(pdf)
-        order, low, out, clock = {}, {}, [], 0
-        for start in range(len(ids)):
-            if start in order:
-                continue
-            order[start] = low[start] = clock
-            clock += 1
-            stack = [(start, -1, iter(near[start]))]
-            while stack:
-                node, parent, rest = stack[-1]
-                step = next(rest, None)
-                if step is None:
-                    stack.pop()
-                    if parent >= 0:
-                        low[parent] = min(low[parent], low[node])
-                        if low[node] > order[parent]:
-                            out.append(tuple(sorted((ids[parent], ids[node]))))
-                elif step not in order:
-                    order[step] = low[step] = clock
-                    clock += 1
-                    stack.append((step, node, iter(near[step])))
-                elif step != parent:
-                    low[node] = min(low[node], order[step])
-        return pd.DataFrame(out, columns=["a", "b"], dtype=object)
-
-    rest = core.groupBy("component").applyInPandas(walk, "a string, b string")
-    return rest if found is None else found.unionByName(rest)
+    return forests.bridges(edges, rows_a_task=rows_a_task)
 
 
 def cycle_basis(nodes: DataFrame, edges: DataFrame, k: int = 10, most_nodes: int = 500) -> DataFrame:

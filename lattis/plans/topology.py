@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from lattis.operators import forests
 from lattis.operators import gaps as G
 from lattis.operators import paths as P
 from lattis.operators import topology as T
@@ -339,6 +340,49 @@ def bridges(spark, sf_dir):
     return G.bridges(g.entities, g.edges)
 
 
+@query(
+    "order_bridges",
+    """WITH o AS (SELECT o_orderkey AS k, o_custkey AS c, lag(o_orderkey) OVER w AS y, row_number() OVER w AS i, o_orderpriority AS p FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)),
+    s AS (SELECT c, count(*) AS n, arg_min(k, i) AS first, arg_min(p, i) = arg_max(p, i) AS closed FROM o GROUP BY c),
+    e AS (
+        SELECT 'order:' || k AS x, 'order:' || y AS y FROM o JOIN s USING (c) WHERE y IS NOT NULL AND NOT (closed AND n > 2)
+        UNION ALL SELECT 'order:' || first, 'customer:' || c FROM s
+        UNION ALL SELECT 'customer:' || c_custkey, 'nation:' || c_nationkey FROM customer)
+    SELECT least(x, y) AS a, greatest(x, y) AS b FROM e""",
+)
+def order_bridges(spark, sf_dir):
+    """Customers on nations, and each customer's orders in a chain, which is a ring where the first and the last have one priority."""
+    orders, customer = S.read(spark, sf_dir, "orders"), S.read(spark, sf_dir, "customer")
+    w = Window.partitionBy("c").orderBy("k")
+    key = lambda kind, c: F.concat(F.lit(f"{kind}:"), F.col(c).cast("string"))
+    o = orders.select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"), F.col("o_orderpriority").alias("p"))
+    chain = o.withColumn("y", F.lag("k").over(w)).where("y is not null").select(key("order", "k").alias("source_id"), key("order", "y").alias("target_id"))
+    ends = o.groupBy("c").agg(F.min("k").alias("first"), F.max("k").alias("last"), F.min_by("p", "k").alias("p"), F.max_by("p", "k").alias("q"))
+    ring = ends.where("p = q").select(key("order", "first"), key("order", "last"))
+    hung = ends.select(key("order", "first"), key("customer", "c")).union(customer.select(key("customer", "c_custkey"), key("nation", "c_nationkey")))
+    return G.bridges(None, chain.union(ring).union(hung))
+
+
+def _bars_sql(squarings: int) -> str:
+    """Deaths from the least greatest time on a way between two users, by squaring; a user ends when it meets a smaller one."""
+    parts = ["d0 AS MATERIALIZED (SELECT x, y, min(w) AS w FROM (SELECT x, y, w FROM link UNION ALL SELECT y, x, w FROM link) GROUP BY x, y)"]
+    for k in range(squarings):
+        parts.append(f"d{k + 1} AS MATERIALIZED (SELECT x, y, min(w) AS w FROM (FROM d{k} UNION ALL SELECT p.x, q.y, greatest(p.w, q.w) FROM d{k} p JOIN d{k} q ON p.y = q.x WHERE p.x <> q.y) GROUP BY x, y)")
+    return f"""WITH link AS MATERIALIZED (
+        SELECT 'user:' || user_id AS x, 'slot:' || event_type || ':' || strftime(ts, '%Y-%m-%d') AS y, ts AS w FROM events WHERE user_id IS NOT NULL AND event_type IS NOT NULL AND ts IS NOT NULL),
+    {", ".join(parts)},
+    node AS (SELECT x FROM link UNION SELECT y FROM link),
+    died AS (SELECT x, min(w) AS death FROM d{squarings} WHERE y < x GROUP BY x)
+    SELECT death, count(*) AS bars FROM node LEFT JOIN died USING (x) GROUP BY death"""
+
+
+@query("component_bars", _bars_sql(8))
+def component_bars(spark, sf_dir):
+    """When groups of users end by joining: an event links its user to its type's day."""
+    slot = F.concat(F.lit("slot:"), "event_type", F.lit(":"), F.date_format("ts", "yyyy-MM-dd"))
+    return forests.component_bars(S.read(spark, sf_dir, "events").select(F.concat(F.lit("user:"), F.col("user_id").cast("string")).alias("a"), slot.alias("b"), F.col("ts").alias("w")))
+
+
 @query(
     "cyclomatic_number",
     f"""WITH {S.CONV_SQL}, e AS (SELECT DISTINCT least(source_id, target_id) AS a, greatest(source_id, target_id) AS b FROM conv_edges)
