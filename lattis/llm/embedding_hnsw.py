@@ -2,13 +2,12 @@
 
 Vectors of one label are dealt into shards of bounded size. Each shard gets a
 hierarchical navigable small-world graph; every vector of the label queries
-every shard of it. Before a group of queries counts, some of them are audited
-against brute force over the shard, and the beam is widened until the audit's
-recall is reached. Where no beam reaches it, where the audit has no link to
-judge by, where some node of the graph can't be reached from every other, or
-where the graph falls into far groups, the shard is searched by brute force
-in blocks. Candidates are verified by
-cosine in double precision.
+every shard of it. Before a group of queries counts, some of them, and probes
+made to lie just within reach of some, are audited against brute force over
+the shard, and the beam is widened until the audit's recall is reached. Where
+no beam reaches it, where some node of the graph can't be reached from every
+other, or where the graph falls into far groups, the shard is searched by
+brute force in blocks. Candidates are verified by cosine in double precision.
 """
 
 from __future__ import annotations
@@ -328,7 +327,7 @@ def read_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
 
 
 def near_duplicate_vectors(
-    vectors: DataFrame, least: float = 0.98, shard_size: int = 8_192, chunk: int = 32_768, beam: int = 48, recall: float = 0.99, audit: int = 48, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label"
+    vectors: DataFrame, least: float = 0.98, shard_size: int = 8_192, chunk: int = 32_768, beam: int = 24, recall: float = 0.99, audit: int = 48, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label"
 ) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)`` for every row of ``vectors``.
 
@@ -450,22 +449,40 @@ def _ask(least: float, beam: int, recall: float, audit: int, step: int = 512):
 
 
 def _audited(graph: SmallWorld, unit: np.ndarray, asked: np.ndarray, own: np.ndarray, reps: np.ndarray, least: float, beam: int, recall: float, audit: int) -> int:
-    """The narrowest of the doubled beams whose links reach ``recall`` of brute force's; 0 where none does.
-
-    A vector's link to itself doesn't count. The audit takes more queries
-    while it finds no link, 512 at most.
+    """The narrowest of the doubled beams that reaches ``recall`` of what brute force finds, or 0 for brute force.
+
+    Two things are audited, each by itself: the links of a sample of the
+    queries, where there are any (a vector's link to itself doesn't count),
+    and probes. A probe is made from a vector of the sample, in a random
+    direction away from it, at a cosine of just ``least``: as far off as a
+    link can be. So there is something to judge by however rare links are.
+    0 means that no beam narrower than the shard passes, or that the graph
+    isn't whole.
     """
-    while graph.whole:
-        chosen = np.arange(0, len(unit), max(1, len(unit) // audit))[:audit]
-        sample = unit[chosen]
-        truth = (sample @ own.T >= least) & (asked[chosen, None] != reps)
-        wanted = int(truth.sum())
-        if wanted or audit >= min(512, len(unit)):
-            break
-        audit = min(512, 4 * audit)
-    while graph.whole and wanted and beam < len(own):
-        q, node = graph.search(sample, beam, least - 1e-4)
-        if int(truth[q, node].sum()) >= recall * wanted:
+    if not graph.whole:
+        return 0
+    sample = np.arange(0, len(unit), max(1, len(unit) // audit))[:audit]
+    links = (unit[sample] @ own.T >= least) & (asked[sample, None] != reps)
+    probes = _probes(unit[sample], least)
+    near = probes @ own.T >= least
+    while beam < len(own):
+        passed = True
+        for queries, truth in ((unit[sample], links), (probes, near)):
+            wanted = int(truth.sum())
+            if wanted:
+                q, node = graph.search(queries, beam, least - 1e-4)
+                passed &= int(truth[q, node].sum()) >= recall * wanted
+        if passed:
             return beam
         beam *= 2
     return 0
+
+
+def _probes(unit: np.ndarray, least: float) -> np.ndarray:
+    """For each row a unit vector whose cosine with it is just above ``least``."""
+    away = np.random.default_rng(len(unit)).normal(size=unit.shape)
+    away -= (away * unit).sum(axis=1, keepdims=True) * unit
+    length = np.sqrt((away * away).sum(axis=1, keepdims=True))
+    away = np.divide(away, length, out=np.zeros_like(away), where=length > 1e-12)  # of one component there is no other direction
+    cosine = min(1.0, least + 1e-9)
+    return _unit(cosine * unit + math.sqrt(max(0.0, 1 - cosine * cosine)) * away)

@@ -127,3 +127,46 @@ def test_the_graph_is_searched_while_it_grows():
     q, node = graph.search(unit, 48, 0.98)
     truth = unit @ unit.T >= 0.98
     assert len(q) >= 0.99 * truth.sum() and truth[q, node].mean() > 0.999
+
+
+def test_unrelated_vectors_take_the_graph_and_little_work():
+    unit = H._unit(np.random.default_rng(11).normal(size=(8_192, 64)))
+    graph, reps = H.SmallWorld(unit), np.arange(8_192)
+    assert not (unit[::64] @ unit.T >= 0.98).sum() > 128  # nothing but themselves
+    beam = H._audited(graph, unit, reps, unit, reps, 0.98, 24, 0.99, 48)
+    assert 0 < beam <= 48
+    queries = np.ascontiguousarray(unit[::16], dtype=np.float32)
+    at, best = np.zeros(len(queries), dtype=np.int64), queries @ graph.unit[0]
+    for k in reversed(range(1, len(graph.links))):
+        at, best = graph._walk(k, queries, at, best)
+    seen = graph._beam(0, queries, at, best, beam, 0.98)[2]
+    assert seen.mean() < 0.2
+
+
+def test_planted_links_from_098_on_are_found():
+    rng = np.random.default_rng(12)
+    unit = H._unit(rng.normal(size=(4_000, 64)))
+    unit[:200] = H._probes(unit[200:400], 0.98)
+    unit[400:600] = H._probes(unit[600:800], 0.999)
+    graph, reps = H.SmallWorld(unit), np.arange(4_000)
+    beam = H._audited(graph, unit, reps, unit, reps, 0.98, 24, 0.99, 48)
+    assert 0 < beam <= 48
+    truth = unit @ unit.T >= 0.98
+    q, node = graph.search(unit, beam, 0.98 - 1e-4)
+    assert truth.sum() == 4_000 + 800 and truth[q, node].sum() >= 0.99 * truth.sum() and truth[:800][q[q < 800], node[q < 800]].sum() >= 800 + 0.99 * 800
+
+
+def test_probes_lie_just_within_reach():
+    unit = H._unit(np.random.default_rng(13).normal(size=(50, 8)))
+    cosine = (H._probes(unit, 0.98) * unit).sum(axis=1)
+    assert (cosine >= 0.98).all() and (cosine < 0.98 + 1e-6).all()
+    assert (H._probes(np.ones((3, 1)), 0.98) == 1).all()
+
+
+def test_links_of_a_table_with_planted_ones(spark):
+    rng = np.random.default_rng(14)
+    unit = H._unit(rng.normal(size=(600, 32)))
+    unit[:40] = H._probes(unit[40:80], 0.99)
+    rows = [(i, [float(np.float32(x)) for x in v], i % 2 * 0, 0) for i, v in enumerate(unit)]
+    found = fast(spark, rows)
+    assert found == slow(rows) and sum(n for _, n, _ in found) == 80
