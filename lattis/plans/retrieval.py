@@ -72,16 +72,47 @@ def idf_token_retrieval(spark, sf_dir):
     return R.idf_tokens(_queries(spark, sf_dir), _docs(spark, sf_dir))
 
 
+def _entities_sql(text: str) -> str:
+    """The seven kinds of entities, written for DuckDB's regular expressions.
+
+    These take accented letters for no part of a word, so such a letter is
+    first made one that the pattern doesn't hold but that is part of a word.
+    """
+    month = "(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*"
+    names = """list_filter(regexp_extract_all({0}, '\\b[A-Z][a-z]+(?:\\s+[A-Z][a-z]+){{0,3}}\\b'), lambda x: length(x) >= 3 AND NOT list_contains(string_split(
+        'The This That These Those There Their They What When Where Why How Who Which Hello Hi Hey Thanks Thank Please Sure Okay Yes No Maybe Some Any All Each Every User Assistant Bot AI Human '
+        || 'Could Would Should Will Shall May Might Have Has Had Was Were Been Being Get Got Make Made Take Took Give Gave Know Knew Think Thought See Saw Say Said I You He She It We Me Him Her Us Them '
+        || 'Mr Ms Mrs Dr Like Want Need Use Used Try Tried', ' '), x))"""
+    dates = f"regexp_extract_all({{0}}, '(?i)\\b(?:\\d{{{{4}}}}-\\d{{{{1,2}}}}-\\d{{{{1,2}}}}|\\d{{{{4}}}}|{month}\\s+\\d{{{{1,2}}}}|\\d{{{{1,2}}}}\\s+{month}|\\d+\\s+(?:year|month|week|day|hour|minute)s?\\s+ago)\\b')"
+    numbers = "list_transform(regexp_extract_all({0}, '(?i)\\b\\d+(?:\\.\\d+)?\\s*(?:km|mi|kg|lb|cm|mm|ft|in|m|g|mg|hour|min|sec|year|month|day|week|%|usd|eur|gbp|tl|jpy|inr|cny)\\b'), lambda x: replace(x, ' ', ''))"
+    money = "regexp_extract_all({0}, '\\$\\d+(?:,\\d{{3}})*(?:\\.\\d+)?')"
+    address = "regexp_extract_all({0}, 'https?://\\S+|\\b\\w+@\\w+\\.\\w+')"
+    words = "list_filter(regexp_extract_all({0}, '\\b(?:[A-Z][a-z]+(?:[A-Z][a-z]+)+|[a-z]+_[a-z]+(?:_[a-z]+)*|[a-z]+-[a-z]+(?:-[a-z]+)*)\\b'), lambda x: length(x) >= 4)"
+    quotes = """list_filter(list_transform(regexp_extract_all({0}, '"[^"]{{3,80}}"|\\x27[^\\x27]{{3,80}}\\x27'), lambda x: regexp_replace(x[2:-2], '^\\s+|\\s+$', '', 'g')), lambda x: length(x) BETWEEN 8 AND 80)"""
+    plain = lambda sql, by: sql.format(f"regexp_replace({text}, '[À-ÖØ-öø-ɏ]', '{by}', 'g')")
+    kinds = (plain(names, "_"), plain(dates, "_"), plain(numbers, "_"), money.format(text), address.format(text), plain(words, "0"), quotes.format(text))
+    return f"list_distinct(list_transform(flatten([{', '.join(kinds)}]), lambda x: lower(x)))"
+
+
+#: What is said of a benchmark item and of every document besides: each kind of entity, varied by the id.
+_spoken = {
+    "documents": "coalesce(text, '') || ' Ada Lovelace' || ' met Dr Rosa on 2024-03-' || doc_id % 28 || ', 12 March, ' || doc_id % 7 || ' days ago; 3.5 km, $1,20' || doc_id % 9 || ' at https://h' || doc_id % 50 || '.org/a b' || doc_id % 30 || '@c.org, a GraphStore, snake_case, kebab-case-' || 'x \"a quoted text ' || doc_id % 20 || '\"'",
+    "benchmark": "text || ' Rosa Luxem and Ada Lovelace on 2024-03-' || item_id % 28 || ', ' || item_id % 7 || ' days ago; 3.5 km, $1,20' || item_id % 9 || ' at https://h' || item_id || '.org/a b' || item_id % 30 || '@c.org, GraphStore, kebab-case-x \"a quoted text ' || item_id % 20 || '\"'",
+}
+
+
 @query(
     "idf_entity_retrieval",
-    f"""WITH i AS (SELECT DISTINCT doc_id AS id, unnest(regexp_extract_all(text, '{R.ENTITY_PATTERN}', 1)) AS e FROM documents), a AS (SELECT DISTINCT item_id AS qid, unnest(regexp_extract_all(text, '{R.ENTITY_PATTERN}', 1)) AS e FROM benchmark),
+    f"""WITH i AS (SELECT doc_id AS id, unnest({_entities_sql("t")}) AS e FROM (SELECT doc_id, {_spoken["documents"]} AS t FROM documents)),
+    a AS (SELECT item_id AS qid, unnest({_entities_sql("t")}) AS e FROM (SELECT item_id, {_spoken["benchmark"]} AS t FROM benchmark)),
     df AS (SELECT e, count(*) AS df FROM i GROUP BY 1),
     s AS (SELECT qid, id, count(*) AS shared, round(sum(ln(((SELECT count(*) FROM documents) + 1) / df)), 6) AS score FROM a JOIN df USING (e) JOIN i USING (e) GROUP BY 1, 2),
     r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, shared DESC, id) AS rank FROM s)
     SELECT qid, CAST(rank AS INT) AS rank, id, shared, score FROM r WHERE rank <= 10""",
 )
 def idf_entity_retrieval(spark, sf_dir):
-    return R.idf_entities(_queries(spark, sf_dir), _docs(spark, sf_dir))
+    asked = S.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.expr(_spoken["benchmark"]).alias("text"))
+    return R.idf_entities(asked, S.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.expr(_spoken["documents"]).alias("text")))
 
 
 @query(
@@ -277,9 +308,9 @@ def covered_only(spark, sf_dir):
 
 @query(
     "chunk_paragraphs",
-    """WITH p AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(replace(coalesce(text, ''), chr(10), chr(10) || chr(10)), '\\n\\s*\\n'), lambda x: trim(x)), lambda x: x <> '') AS parts FROM documents),
+    """WITH p AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(replace(coalesce(text, ''), chr(10), chr(10) || chr(10)), '\\n\\s*\\n'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS parts FROM documents),
     l AS (SELECT doc_id, parts, list_transform(parts, lambda x: [x]) AS nested FROM p)
-    SELECT doc_id, CAST(CASE WHEN len(parts) = 0 THEN 0 ELSE len(list_reduce(nested, lambda acc, x: CASE WHEN length(acc[-1]) < 120 THEN acc[:-2] || [acc[-1] || chr(10) || chr(10) || x[1]] ELSE acc || x END)) END AS INT) AS chunks FROM l""",
+    SELECT doc_id, CAST(CASE WHEN len(parts) = 0 THEN 0 ELSE len(list_reduce(nested, lambda acc, x: CASE WHEN length(x[1]) < 120 THEN acc[:-2] || [acc[-1] || chr(10) || chr(10) || x[1]] ELSE acc || x END)) END AS INT) AS chunks FROM l""",
 )
 def chunk_paragraphs(spark, sf_dir):
     """Every document, its lines set apart as paragraphs."""
@@ -287,6 +318,21 @@ def chunk_paragraphs(spark, sf_dir):
     return S.read(spark, sf_dir, "documents").select("doc_id", F.size(R.chunk_paragraphs(spaced)).alias("chunks"))
 
 
+@query(
+    "chunk_fixed",
+    """WITH RECURSIVE d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') AS t FROM documents),
+    w AS (
+        SELECT doc_id, CAST(0 AS BIGINT) AS pos, CAST(0 AS BIGINT) AS till FROM d WHERE t <> ''
+        UNION ALL
+        SELECT doc_id, till, CASE WHEN till + 380 < length(t) AND blank > 0 THEN till + blank ELSE least(till + 380, length(t)) END
+        FROM (SELECT w.doc_id, w.till, t, length(regexp_extract(substr(t, w.till + 1, 380), '(?s)^(.*) ', 1)) AS blank FROM w JOIN d USING (doc_id) WHERE w.till < length(t)))
+    SELECT doc_id AS id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS INT) AS i, pos AS start, md5(chunk) AS chunk_md5
+    FROM (SELECT w.doc_id, pos, regexp_replace(substr(t, pos + 1, till - pos), '^\\s+|\\s+$', '', 'g') AS chunk FROM w JOIN d USING (doc_id) WHERE till > pos) WHERE chunk <> ''""",
+)
+def chunk_fixed(spark, sf_dir):
+    return R.chunk_fixed(_docs(spark, sf_dir)).select("id", "i", "start", F.md5(F.col("chunk").cast("binary")).alias("chunk_md5"))
+
+
 @query("window_grounding", f"""WITH x AS (SELECT doc_id, text, {_tok.format('text')} AS t, {_tok.format("(SELECT text FROM benchmark WHERE item_id = doc_id % 40)")} AS e FROM documents),
     p AS (SELECT doc_id, ' ' || array_to_string(t, ' ') || ' ' AS pad, e FROM x)
     SELECT doc_id, CASE WHEN len(e) >= 6 THEN len(list_filter(range(1, len(e) - 4), lambda i: contains(pad, ' ' || array_to_string(e[i:i + 5], ' ') || ' '))) > 0 ELSE length(array_to_string(e, ' ')) >= 20 AND contains(pad, ' ' || array_to_string(e, ' ') || ' ') END AS grounded FROM p""")
@@ -296,10 +342,24 @@ def window_grounding(spark, sf_dir):
     return docs.select("doc_id", R.grounded(F.col("evidence"), F.col("text")).alias("grounded"))
 
 
-_hosts = "' http://box-' || doc_id % 9 || '.lan:80' || doc_id % 10 || '/a?b disk.local:22 00:1a:2B:3c:4D:5e 10.0.' || doc_id % 256 || '.7 a.b' || doc_id || '@mail.example.org password: x' || doc_id || ' vault-' || doc_id % 3"
-_redacted = f"coalesce(text, '') || {_hosts}"
-for _pattern, _by in R.redactions(private_hosts=("vault-1",)):
-    _redacted = f"regexp_replace({_redacted}, '{_pattern}', '{_by.replace('$1$2', chr(92) + '1' + chr(92) + '2')}', 'g')"
+_hosts = (
+    "' http://box-' || doc_id % 9 || '.lan:80' || doc_id % 10 || '/a?b disk.local:22 00:1a:2B:3c:4D:5e 10.0.' || doc_id % 256 || '.7/24 192.168.0.' || doc_id % 256 || ' a.b' || doc_id || '@mail.example.org x%y+z@q.io"
+    " password: x' || doc_id || ' Bearer=t' || doc_id || ' client_secret : \"q\" access-key=K API_KEY=1 tokens=5 vault-' || doc_id % 3 || ' AAAAbbbbCCCCddddEEEEffffGGGGhhhh' || doc_id || '== usr/local/share/some/deep/folder/file-' || doc_id || ' 0123456789abcdef0123456789abcde' || doc_id % 10"
+)
+_redacted = f"""coalesce(text, '') || {_hosts}"""
+for _pattern, _by in (
+    ("(?i)\\b(password|passwd|token|secret|bearer|api[-_]?key|access[-_]?key|client[-_]?secret)\\b(\\s*[=:]\\s*)\\S+", "\\1\\2[SECRET]"),
+    ("\\b[0-9A-Fa-f][0-9A-Fa-f](:[0-9A-Fa-f][0-9A-Fa-f]){5}\\b", "[MAC]"),
+    ("\\b\\d{1,3}(\\.\\d{1,3}){3}(/\\d{1,2})?\\b", "[IP]"),
+    ("(?i)\\bvault-1\\b", "[PRIVATE]"),
+    ("(?i)\\bhttps?://[a-z0-9.-]*\\.(lan|local)(:\\d+)?(/\\S*)?\\b", "[ENDPOINT]"),
+    ("(?i)\\b[a-z0-9-]+\\.(lan|local)(:\\d+)?\\b", "[HOST]"),
+    ("\\b[\\w.%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}\\b", "[EMAIL]"),
+    ("\\b([\\w+/-]{32,}={0,2})\\b", "\ue0f1\\1\ue0f2"),
+    ("\ue0f1[^/\ue0f2]*\ue0f2", "[BLOB]"),
+    ("[\ue0f1\ue0f2]", ""),
+):
+    _redacted = f"regexp_replace({_redacted}, '{_pattern}', '{_by}', 'g')"
 
 
 @query("redact", f"SELECT doc_id, md5({_redacted}) AS redacted_md5 FROM documents")

@@ -97,7 +97,7 @@ def test_redact(spark, text, by):
 
 def test_chunks_and_review(spark):
     d = spark.createDataFrame([("short\n\nalso short\n \n" + "x" * 130 + "\n\nlast",), (None,)], "t string")
-    assert [r[0] for r in d.select(R.chunk_paragraphs(F.col("t"))).collect()] == [["short\n\nalso short\n\n" + "x" * 130, "last"], []]
+    assert [r[0] for r in d.select(R.chunk_paragraphs(F.col("t"))).collect()] == [["short\n\nalso short", "x" * 130 + "\n\nlast"], []]
     notes = spark.createDataFrame([("n", 'It cost 12.5 euros, he said "far too much money".')], "path string, body string")
     assert {(r["kind"], r["i"]) for r in K.review_surface(notes).collect()} == {("number", 0), ("quote", 0)}
 
