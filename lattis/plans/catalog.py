@@ -8,3 +8,4 @@ from lattis.plans import sources  # noqa: F401
 from lattis.plans import streaming  # noqa: F401
 from lattis.plans import readers  # noqa: F401
 from lattis.plans import moments  # noqa: F401
+from lattis.plans import similarity  # noqa: F401
