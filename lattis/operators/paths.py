@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from lattis.operators.components import connected_components
@@ -25,13 +25,20 @@ def undirected(edges: DataFrame) -> DataFrame:
     return ends.union(ends.select("v", "u")).distinct()
 
 
+def _written(df: DataFrame, kind: str) -> tuple[DataFrame, int]:
+    """``df`` written and read again, and how many rows it has."""
+    seen = Observation()
+    out = materialize(df.observe(seen, F.count(F.lit(1)).alias("n")), kind)
+    return out, seen.get["n"]
+
+
 class _Ball:
     """Distances from each root, a level a round."""
 
     def __init__(self, steps: DataFrame, roots: DataFrame):
         self.steps = steps
-        self.levels = [materialize(roots.select("root", F.col("root").alias("id")))]
-        self.size = self.levels[0].count()
+        level, self.size = _written(roots.select("root", F.col("root").alias("id")), "roots")
+        self.levels = [level]
 
     @property
     def radius(self) -> int:
@@ -47,8 +54,8 @@ class _Ball:
         reached = live.join(self.steps, F.col("id") == F.col("u")).select("root", F.col("v").alias("id")).distinct()
         for level in self.levels[-2:]:
             reached = reached.join(level, ["root", "id"], "left_anti")
-        self.levels.append(materialize(reached, "rim"))
-        self.size = self.rim.count()
+        level, self.size = _written(reached, "rim")
+        self.levels.append(level)
 
     def distances(self) -> DataFrame:
         """``(root, id, d)`` within the radius."""
@@ -69,18 +76,19 @@ class Search:
         self.asked = materialize(pairs.select("a", "b").distinct(), "asked")
         placed = materialize(connected_components(self.steps, "u", "v"), "components")
         at = lambda k: placed.select(F.col("node").alias(k), F.col("component").alias(f"c_{k}"))
-        active = materialize(self.asked.join(at("a"), "a").join(at("b"), "b").where("c_a = c_b and a <> b").select("a", "b"), "joined")
+        active, left = _written(self.asked.join(at("a"), "a").join(at("b"), "b").where("c_a = c_b and a <> b").select("a", "b"), "joined")
         self.joined = active
         self.forth, self.back = _Ball(self.steps, self._ends(active, "a")), _Ball(self.steps, self._ends(active, "b"))
         met = [self.asked.where("a = b").select("a", "b", F.col("a").alias("id"), F.lit(0).alias("da"), F.lit(0).alias("db"))]
-        while not active.isEmpty() and (longest is None or self.forth.radius + self.back.radius < longest):
+        while left and (longest is None or self.forth.radius + self.back.radius < longest):
             side, key = (self.forth, "a") if self.forth.size <= self.back.size else (self.back, "b")
             side.grow(self._ends(active, key))
             rims = active.join(self.forth.rim.withColumnRenamed("root", "a"), "a").join(self.back.rim.withColumnRenamed("root", "b"), ["b", "id"])
-            now = materialize(rims.select("a", "b", "id", F.lit(self.forth.radius).alias("da"), F.lit(self.back.radius).alias("db")), "met")
-            met.append(now)
-            active = materialize(active.join(now, ["a", "b"], "left_anti"), "active")
-        self.met = reduce(DataFrame.unionAll, met)
+            now, n = _written(rims.select("a", "b", "id", F.lit(self.forth.radius).alias("da"), F.lit(self.back.radius).alias("db")), "met")
+            if n:
+                met.append(now)
+                active, left = _written(active.join(now, ["a", "b"], "left_anti"), "active")
+        self.met = materialize(reduce(DataFrame.unionAll, met), "met")
 
     @staticmethod
     def _ends(pairs: DataFrame, key: str) -> DataFrame:

@@ -8,9 +8,11 @@ from lattis.functions.models import count_tokens
 from lattis.operators import relations as R
 from lattis.operators import topology as T
 from lattis.plans.registry import query
+from lattis.schema import Graph
 from lattis.session import new_shared_path
 from lattis.sources import corpora as C
 from lattis.sources import graphs as S
+from lattis.sources import paged
 from lattis.sources import sinks as K
 from lattis.sources import stores as P
 
@@ -162,3 +164,16 @@ def inject_phantoms(spark, sf_dir):
 @query("inject_monoculture", f"WITH {S.TRADE_SQL}, c AS (SELECT edge_type, count(*) AS n FROM trade_edges GROUP BY 1) SELECT source_id, target_id, edge_type FROM trade_edges WHERE edge_type = (SELECT last(edge_type ORDER BY n, edge_type) FROM c) ORDER BY md5(source_id || '|' || target_id), source_id, target_id LIMIT 20")
 def inject_monoculture(spark, sf_dir):
     return R.inject_monoculture(S.trade(spark, sf_dir).edges, 20).select("source_id", "target_id", "edge_type")
+
+
+@query(
+    "paged_graph",
+    f"""WITH {S.TRADE_SQL}, listed AS (SELECT * FROM trade_nodes WHERE entity_type = 'nation'),
+    ends AS (SELECT source_id AS id FROM trade_edges UNION SELECT target_id FROM trade_edges)
+    SELECT id, name, entity_type FROM listed UNION ALL SELECT id, regexp_replace(id, '^[^:]*:', ''), 'kg:entity' FROM ends WHERE id NOT IN (SELECT id FROM listed)""",
+)
+def paged_graph(spark, sf_dir):
+    """Nations and all relations as a server lists them, a page a task; ends that aren't listed are made up."""
+    g = S.trade(spark, sf_dir)
+    listed = paged.folder_pages(g.entities, "entities").where("entity_type = 'nation'")
+    return C.listed_graph(listed, paged.folder_pages(g.edges, "relations"), Graph(g.entities, g.edges)).entities

@@ -48,13 +48,13 @@ def check(spark, edges, pairs, longest=None):
     assert {(r["a"], r["b"]): (r["hops"], r["status"], r["path"]) for r in got} == {p: plain(graph, *p, longest) for p in set(pairs)}
 
 
-@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("seed", range(2))
 def test_random_graphs(spark, seed):
     rng = random.Random(seed)
     names = [f"n{i:02}" for i in range(40)]
-    edges = [(rng.choice(names), rng.choice(names)) for _ in range((30, 45, 60, 90)[seed])]
+    edges = [(rng.choice(names), rng.choice(names)) for _ in range((45, 60)[seed])]
     pairs = [(rng.choice(names), rng.choice(names)) for _ in range(60)]
-    check(spark, edges, pairs, (None, 3, None, 2)[seed])
+    check(spark, edges, pairs, (None, 3)[seed])
 
 
 def test_a_grid_has_one_least_path(spark):
