@@ -225,6 +225,19 @@ def dag_shape(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     )
 
 
+def taxonomy_pairs(edges: DataFrame, nodes: DataFrame, k: int = 5) -> DataFrame:
+    """``(rank, child_type, parent_type, n, pairs)``: the ``k`` commonest pairs of types that child-to-parent edges join, of ``pairs`` in all (TOP21).
+
+    A type is null where an end is no node; equal counts go by name.
+    """
+    kind = nodes.groupBy("id").agg(F.min("entity_type").alias("kind"))
+    at = lambda c, name: kind.select(F.col("id").alias(c), F.col("kind").alias(name))
+    counts = edges.join(at("source_id", "child_type"), "source_id", "left").join(at("target_id", "parent_type"), "target_id", "left").groupBy("child_type", "parent_type").agg(F.count("*").alias("n"))
+    first = counts.orderBy(F.desc("n"), "child_type", "parent_type").limit(k)
+    ranked = first.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "child_type", "parent_type")))  # k rows
+    return ranked.crossJoin(counts.agg(F.count("*").alias("pairs"))).select("rank", "child_type", "parent_type", "n", "pairs")
+
+
 def degree_ccdf(edges: DataFrame) -> DataFrame:
     """``(degree, n, ccdf)``: the share of nodes of at least each degree (TOP23)."""
     counts = raw_degree(edges).groupBy("degree").agg(F.count("*").alias("n"))

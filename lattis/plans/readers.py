@@ -177,3 +177,38 @@ def paged_graph(spark, sf_dir):
     g = S.trade(spark, sf_dir)
     listed = paged.folder_pages(g.entities, "entities").where("entity_type = 'nation'")
     return C.listed_graph(listed, paged.folder_pages(g.edges, "relations"), Graph(g.entities, g.edges)).entities
+
+
+@query(
+    "dialogue_sessions",
+    """SELECT CAST(conv_id AS VARCHAR) AS sample_id, CAST(turn // 2 + 1 AS INT) AS session, CASE WHEN conv_id % 2 = 0 THEN 'day ' || (turn // 2 + 1) END AS date, count(*) AS turns,
+           md5(string_agg(role || ':' || text, chr(10) ORDER BY turn)) AS said FROM conversations WHERE role IS NOT NULL AND text IS NOT NULL GROUP BY conv_id, turn // 2""",
+)
+def dialogue_sessions(spark, sf_dir):
+    """Conversations as JSON with a key a session, read back session by session (SRC23); every second one has no dates."""
+    turns = S.read(spark, sf_dir, "conversations").where("role is not null and text is not null").withColumn("k", F.expr("cast(turn div 2 + 1 as string)"))
+    line = F.struct("turn", F.col("role").alias("speaker"), F.concat_ws(":", "conv_id", "turn").alias("dia_id"), "text")
+    held = turns.groupBy("conv_id", "k").agg(F.to_json(F.array_sort(F.collect_list(line))).alias("body"))
+    keys = held.select("conv_id", F.concat(F.lit("session_"), "k").alias("key"), "body").unionByName(
+        held.where("conv_id % 2 = 0").select("conv_id", F.concat(F.lit("session_"), "k", F.lit("_date_time")).alias("key"), F.concat(F.lit("day "), "k").alias("body"))
+    )
+    raw = keys.groupBy(F.col("conv_id").cast("string").alias("sample_id")).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("key", "body")))).alias("conversation"))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["speaker"], F.lit(":"), t["text"])), "\n")
+    return C.dialogue_sessions(raw).select("sample_id", "session", "date", F.size("turns").cast("long").alias("turns"), F.md5(said.cast("binary")).alias("said"))
+
+
+@query(
+    "probing_sessions",
+    """SELECT CAST(conv_id AS VARCHAR) AS conversation_id, 'recall' AS category, CAST(0 AS INT) AS i, md5(max(text)) AS question, array_to_string(list_sort(list(DISTINCT turn // 2 + 1)), ',') AS sessions
+       FROM conversations WHERE text IS NOT NULL AND role = 'user' GROUP BY conv_id""",
+)
+def probing_sessions(spark, sf_dir):
+    """A question on each conversation's user turns, written as a dictionary's text, and the sessions that hold them (SRC25)."""
+    turns = S.read(spark, sf_dir, "conversations").where("text is not null and role = 'user'")
+    ids = F.array_join(F.array_sort(F.collect_set("turn")), ", ")
+    text = F.concat(F.lit("{'recall': [{'question': '"), F.md5(F.max("text").cast("binary")), F.lit("', 'source_chat_ids': {'a': ["), ids, F.lit("]}}], 'none': None}"))
+    raw = turns.groupBy(F.col("conv_id").cast("string").alias("conversation_id")).agg(text.alias("probing_questions"))
+    asked = C.probing_questions(raw)
+    sessions = turns.groupBy(F.col("conv_id").cast("string").alias("conversation_id"), F.expr("turn div 2 + 1").alias("session")).agg(F.collect_set("turn").alias("turn_ids"))
+    found = C.sessions_of_sources(asked, sessions)
+    return asked.join(found, ["conversation_id", "category", "i"]).select("conversation_id", "category", "i", "question", F.array_join("sessions", ",").alias("sessions"))

@@ -422,6 +422,16 @@ def dag_shape(spark, sf_dir):
     return T.dag_shape(g.edges, g.entities)
 
 
+@query(
+    "taxonomy_pairs",
+    f"""WITH {S.TRADE_SQL}, p AS (SELECT c.entity_type AS child_type, p.entity_type AS parent_type, count(*) AS n FROM trade_edges LEFT JOIN trade_nodes c ON c.id = source_id LEFT JOIN trade_nodes p ON p.id = target_id GROUP BY 1, 2)
+    SELECT CAST(row_number() OVER (ORDER BY n DESC, child_type, parent_type) AS INT) AS rank, child_type, parent_type, n, (SELECT count(*) FROM p) AS pairs FROM p QUALIFY rank <= 5""",
+)
+def taxonomy_pairs(spark, sf_dir):
+    g = S.trade(spark, sf_dir)
+    return T.taxonomy_pairs(g.edges, g.entities)
+
+
 @query(
     "degree_ccdf",
     f"""WITH {S.SUPPLY_SQL}, d AS (SELECT id, count(*) AS degree FROM (SELECT source_id AS id FROM supply_edges UNION ALL SELECT target_id FROM supply_edges) GROUP BY id),
