@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from lattis.operators import forests
@@ -299,50 +299,108 @@ def _h1(d: np.ndarray) -> tuple[int, float]:
     raise AssertionError("shortest closed walks span all cycles")
 
 
-def label_communities(edges: DataFrame, rounds: int = 6, levels: int = 3, resolution: float = 1.0) -> DataFrame:
+#: The least rise of modularity that counts, and how many rounds without one end a search.
+LEAST_RISE, PATIENCE = 1e-6, 5
+
+
+def label_communities(edges: DataFrame, rounds: int | None = None, levels: int | None = None, resolution: float = 1.0) -> DataFrame:
     """``(id, community)`` by local moving and contraction on the weighted graph (TOP8).
 
     In each round the nodes of one half (by the md5 of id and round) move to
     the neighbouring community of the largest modularity gain; ties go to
-    the smallest name. Communities are then contracted to nodes, and so on
-    until none merge. Joins and aggregations only; a round ends in a written
-    table, whose size is that of its files. (A checkpoint keeps its plan's
-    estimate, which multiplies in a join of a table with tables made from
-    it, so the estimate's digits would double every round.)
+    the smallest name. Communities are then contracted to nodes, and so on.
+
+    A level ends when no node wants to move, or when ``PATIENCE`` rounds in a
+    row haven't raised the modularity by ``LEAST_RISE``. Nodes that move at
+    once can spoil each other's gain: such a round is taken back and half as
+    many nodes move, down to a single one, so the modularity never falls. The search
+    ends when a level raises it by less. As modularity is at most 1, both end
+    by themselves; ``rounds`` and ``levels`` stop them earlier, and then no
+    round is taken back. Edges with a null end don't count; no
+    edges give no rows.
+
+    Joins and aggregations only; a hub's links are on the side of a join that
+    AQE can split, and its gains combine before the shuffle. A round ends in
+    a written table, whose size is that of its files. (A checkpoint keeps its
+    plan's estimate, which multiplies in a join of a table with tables made
+    from it, so the estimate's digits would double every round.)
     """
-    weight = edges.groupBy(F.least("source_id", "target_id").alias("a"), F.greatest("source_id", "target_id").alias("b")).agg(F.count("*").alias("w"))
+    weight = edges.where("source_id is not null and target_id is not null").groupBy(F.least("source_id", "target_id").alias("a"), F.greatest("source_id", "target_id").alias("b")).agg(F.count("*").alias("w"))
     loops = weight.where("a = b").select(F.col("a").alias("u"), F.col("a").alias("v"), (2 * F.col("w")).alias("w"))
     pair = weight.where("a <> b")
     links = materialize(pair.select(F.col("a").alias("u"), F.col("b").alias("v"), "w").union(pair.select("b", "a", "w")).union(loops))
-    two_m = links.agg(F.sum("w")).first()[0]
-    placed = None
-    for _ in range(levels):
-        moved = _local_moving(links, two_m, rounds, resolution)
+    two_m = float(links.agg(F.sum("w")).first()[0] or 1)
+    placed, before, level = None, None, 0
+    while levels is None or level < levels:
+        moved, quality = _local_moving(links, two_m, rounds, resolution)
         placed = moved if placed is None else materialize(placed.join(moved.select(F.col("id").alias("community"), F.col("community").alias("to")), "community").select("id", F.col("to").alias("community")))
-        if moved.where("id <> community").isEmpty():
+        if moved.where("id <> community").isEmpty() or (levels is None and before is not None and quality <= before + LEAST_RISE):
             break
         at = lambda c, name: moved.select(F.col("id").alias(c), F.col("community").alias(name))
         links = materialize(links.join(at("u", "cu"), "u").join(at("v", "cv"), "v").groupBy(F.col("cu").alias("u"), F.col("cv").alias("v")).agg(F.sum("w").alias("w")))
-    return placed
-
-
-def _local_moving(links: DataFrame, two_m: int | None, rounds: int, resolution: float) -> DataFrame:
-    now = links.groupBy(F.col("u").alias("id")).agg(F.sum("w").alias("k")).withColumn("community", F.col("id"))
-    apart = links.where("u <> v")
-    for i in range(rounds):
-        total = now.groupBy("community").agg(F.sum("k").alias("kc"))
-        near = apart.join(now.select(F.col("id").alias("v"), "community"), "v").groupBy(F.col("u").alias("id"), "community").agg(F.sum("w").alias("kin")).join(total, "community")
-        option = now.select("id", "k", F.col("community").alias("own")).join(near, "id", "left")
-        alone = F.col("kc") - F.when(F.col("community") == F.col("own"), F.col("k")).otherwise(0)
-        gain = F.col("kin") - resolution * F.col("k") * alone / F.lit(float(two_m))
-        best = option.withColumn("gain", gain).groupBy("id", "k", "own").agg(
-            F.min_by("community", F.struct(-F.col("gain"), "community")).alias("to"), F.max("gain").alias("top"), F.max(F.when(F.col("community") == F.col("own"), F.col("gain"))).alias("stay")
-        )
-        restless = F.col("top") > F.coalesce("stay", F.lit(0.0)) + 1e-12
-        turn = F.md5(F.concat(F.col("id"), F.lit(f":{i}"))) < "8"
-        seen = Observation()
-        moved = best.select("id", "k", F.when(restless & turn, F.col("to")).otherwise(F.col("own")).alias("community"), F.coalesce(restless, F.lit(False)).alias("restless"))
-        now = materialize(moved.observe(seen, F.count_if("restless").alias("n")).drop("restless"))
-        if not seen.get["n"]:
-            break
-    return now
+        before, level = quality, level + 1
+    return placed.select("id", "community")
+
+
+def _local_moving(links: DataFrame, two_m: float, rounds: int | None, resolution: float) -> tuple[DataFrame, float]:
+    """A level's ``(id, k, loop, community)`` and its modularity; with ``rounds``, the last modularity seen.
+
+    A round writes what each node wishes; the moves that are made, all or
+    fewer of them, are a projection of that table.
+    """
+    now = materialize(links.groupBy(F.col("u").alias("id")).agg(F.sum("w").alias("k"), F.coalesce(F.sum(F.when(F.col("u") == F.col("v"), F.col("w"))), F.lit(0)).alias("loop")).withColumn("community", F.col("id")))
+    apart = materialize(links.where("u <> v").join(now.select(F.col("id").alias("u"), "k"), "u"))
+    best, top, stale, halved, i = now, float("-inf"), 0, 1, 0
+    while rounds is None or i < rounds:
+        wish, restless, first, quality = _wishes(now, apart, two_m, resolution, i)
+        i += 1
+        if rounds is not None:
+            now, top = _moved(wish, F.col("turn") < "8"), quality
+            if not restless:
+                break
+        elif quality < top - 1e-12:
+            halved += 1
+        else:
+            rose = quality > top + LEAST_RISE
+            best, top, wishes, n, lowest = now, quality, wish, restless, first
+            stale, halved = (0, max(1, halved - 1)) if rose else (stale + 1, halved)
+            if not n or stale >= PATIENCE:
+                break
+        if rounds is None:
+            now = _moved(wishes, F.col("turn") < f"{0x10000 >> halved:04x}" if n >> halved else F.col("turn") == lowest)
+    return (best if rounds is None else now), top
+
+
+def _wishes(now: DataFrame, apart: DataFrame, two_m: float, resolution: float, i: int) -> tuple[DataFrame, int, str | None, float]:
+    """What each node of ``now`` wishes, how many wish to move, the first of their turns, and the modularity of ``now``.
+
+    A join of the links to the communities of their far ends, a sum by node
+    and community (to which a node's own one is added with no weight), a join
+    to the communities' totals, and a choice by node.
+    """
+    total = now.groupBy("community").agg(F.sum("k").alias("kc"))
+    beside = apart.join(now.select(F.col("id").alias("v"), "community"), "v").select(F.col("u").alias("id"), "community", "k", F.lit(0).cast("long").alias("loop"), "w", F.lit(False).alias("own"))
+    home = now.select("id", "community", "k", "loop", F.lit(0).cast("long").alias("w"), F.lit(True).alias("own"))
+    option = beside.union(home).groupBy("id", "community").agg(F.max("k").alias("k"), F.max("loop").alias("loop"), F.sum("w").alias("kin"), F.max("own").alias("own")).join(total, "community")
+    alone = F.col("kc") - F.when(F.col("own"), F.col("k")).otherwise(0)
+    # null where the node has no link into the community
+    gain = F.when(F.col("kin") > 0, F.col("kin") - resolution * F.col("k") * alone / F.lit(two_m))
+    at_home = lambda c: F.max(F.when(F.col("own"), F.col(c)))
+    best = option.withColumn("gain", gain).groupBy("id").agg(
+        F.min_by("community", F.when(F.col("gain").isNotNull(), F.struct(-F.col("gain"), "community"))).alias("to"),
+        F.max("gain").alias("top"),
+        *(at_home(c).alias(name) for c, name in (("gain", "stay"), ("kin", "kin"), ("kc", "kc"), ("k", "k"), ("loop", "loop"), ("community", "own"))),
+    )
+    restless = F.coalesce(F.col("top") > F.coalesce("stay", F.lit(0.0)) + 1e-12, F.lit(False))
+    turn = F.md5(F.concat(F.col("id"), F.lit(f":{i}")))
+    wish = best.select("id", "k", "loop", "own", "to", restless.alias("restless"), turn.alias("turn"), (F.col("kin") + F.col("loop")).alias("inside"), (F.col("k").cast("double") * F.col("kc")).alias("square"))
+    seen = Observation()
+    counted = wish.observe(seen, F.count_if("restless").alias("n"), F.min(F.when(F.col("restless"), F.col("turn"))).alias("first"), F.sum("inside").alias("inside"), F.sum("square").alias("square"))
+    written = materialize(counted.drop("inside", "square"))
+    found = seen.get
+    return written, found["n"] or 0, found["first"], (found["inside"] or 0) / two_m - resolution * (found["square"] or 0.0) / two_m**2
+
+
+def _moved(wish: DataFrame, some: Column) -> DataFrame:
+    """The partition after those moves for which ``some`` holds."""
+    return wish.select("id", "k", "loop", F.when(F.col("restless") & some, F.col("to")).otherwise(F.col("own")).alias("community"))
