@@ -56,11 +56,17 @@ def role_of(label: str) -> str:
     return unescape(label[1:]) if label.startswith(OTHER) else next(r for r, x in LABELS.items() if x == label)
 
 
+#: Bytes from which a text is copied whole.
+LONG = 1 << 16
+
+
 def assemble(heads: pa.Array, contents: pa.Array, tail: bytes) -> tuple[pa.Buffer, np.ndarray, np.ndarray]:
     """One buffer of head, content, tail for each row; row offsets; content offsets.
 
     Segment lengths give cumulative offsets; each source buffer, which is
-    contiguous, is scattered to its places in the preallocated output.
+    contiguous, is scattered to its places in the preallocated output. A row
+    of over ``LONG`` bytes is copied as a slice: indices take many times the
+    bytes they place.
     """
     n = len(contents)
     parts = [_bytes_of(heads), _bytes_of(contents), (np.tile(np.frombuffer(tail, np.uint8), n), np.full(n, len(tail), np.int64))]
@@ -72,7 +78,13 @@ def assemble(heads: pa.Array, contents: pa.Array, tail: bytes) -> tuple[pa.Buffe
     out = np.frombuffer(buffer, dtype=np.uint8)
     for k, (source, length) in enumerate(parts):
         own = np.cumsum(length) - length
-        out[np.repeat(begins[:, k] - own, length) + np.arange(len(source))] = source
+        long = np.flatnonzero(length > LONG)
+        for i in long:
+            out[begins[i, k] : begins[i, k] + length[i]] = source[own[i] : own[i] + length[i]]
+        for a, b in zip(np.r_[0, long + 1], np.r_[long, n]):  # the rows between long ones
+            if a < b:
+                some = np.arange(own[a], own[b - 1] + length[b - 1])
+                out[np.repeat(begins[a:b, k] - own[a:b], length[a:b]) + some] = source[some[0] : some[-1] + 1] if len(some) else source[:0]
     rows = np.r_[begins[:, 0], total]
     return buffer, rows, begins[:, 1:]
 

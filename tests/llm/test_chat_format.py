@@ -1,4 +1,5 @@
 import hashlib
+import tracemalloc
 
 from hypothesis import given
 from hypothesis import strategies as st
@@ -62,3 +63,29 @@ def test_assembly_copies_every_segment():
     heads, contents = pa.array(["a", "", "ccc"]), pa.array(["", "éé", "x"])
     buffer, rows, _ = C.assemble(heads, contents, b"|")
     assert buffer.to_pybytes().decode() == "a|éé|cccx|" and rows.tolist() == [0, 2, 7, 12]
+
+
+@given(st.lists(st.integers(0, 9), max_size=12))
+def test_long_rows_between_short_ones(sizes):
+    texts = [str(i) * n for i, n in enumerate(sizes)]
+    whole = C.assemble(pa.array(["é"] * len(texts), pa.string()), pa.array(texts, pa.string()), b"|")
+    usual = C.LONG
+    C.LONG = 4
+    try:
+        cut = C.assemble(pa.array(["é"] * len(texts), pa.string()), pa.array(texts, pa.string()), b"|")
+    finally:
+        C.LONG = usual
+    assert whole[0].to_pybytes() == cut[0].to_pybytes() == "".join(f"é{t}|" for t in texts).encode()
+    assert whole[1].tolist() == cut[1].tolist()
+
+
+def test_a_very_long_turn_takes_no_indices(spark):
+    text = "\\### é </turn> " * 1_000_000
+    heads, contents = pa.array(["a", "b", "c"]), pa.array(["x", text, "y"])
+    tracemalloc.start()
+    buffer, rows, _ = C.assemble(heads, contents, b"|")
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1 << 20 and buffer.size == rows[-1] == len(text.encode()) + 8
+    found = run(spark, [(1, 0, "user", "?", 0), (1, 1, "assistant", text, 0), (1, 2, "assistant", "", 0)])[1]
+    assert (found["n_turns"], found["turns_sha256"], found["loss_chars"], found["loss_sha256"]) == expected([("user", "?"), ("assistant", text), ("assistant", "")])
