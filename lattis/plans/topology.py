@@ -10,7 +10,6 @@ from lattis.operators import gaps as G
 from lattis.operators import paths as P
 from lattis.operators import topology as T
 from lattis.plans.registry import query
-from lattis.session import materialize
 from lattis.sources import graphs as S
 
 #: Components of the web graph, by reachability over distinct pairs.
@@ -297,16 +296,6 @@ def communities(spark, sf_dir):
     return G.label_communities(_triangles(spark, sf_dir))
 
 
-@query("order_communities")
-def order_communities(spark, sf_dir):
-    """``(communities, modularity)`` of customers and the suppliers that their orders' lines came from, searched to the end."""
-    lines, orders = S.read(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey"), S.read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    key = lambda kind, c: F.concat(F.lit(f"{kind}:"), F.col(c).cast("string"))
-    edges = materialize(joined.select(key("customer", "o_custkey").alias("source_id"), key("supplier", "l_suppkey").alias("target_id")))
-    return T.modularity(edges, G.label_communities(edges))
-
-
 #: The supply graph of customers' nations and suppliers of their orders: small, with triangles.
 _tri = """
 tri AS (
