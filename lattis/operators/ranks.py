@@ -124,13 +124,15 @@ def weight_sweep(candidates: DataFrame, weights: Sequence[float], k: int = 5) ->
     return first.groupBy("w").agg(F.round(F.avg((F.coalesce("rank", F.lit(1 << 30)) <= k).cast("double")), 6).alias("recall"), F.round(F.avg(F.coalesce(1 / F.col("rank"), F.lit(0.0))), 6).alias("mrr"))
 
 
-def trust_gate(candidates: DataFrame, margin: float) -> DataFrame:
+def trust_gate(candidates: DataFrame, margin: float, ties: str = "id") -> DataFrame:
     """One row: queries, overridden, helped, hurt when a rerank score replaces the first pick (RET20).
 
     The best rerank replaces the base's first only if it is another
-    candidate and leads it by ``margin``.
+    candidate and leads it by ``margin``. Of equal scores the smallest
+    ``ties`` is first, a column or a struct of several.
     """
-    base = candidates.groupBy("qid").agg(F.min_by(F.struct("id", "relevant", F.col("b").alias("s")), F.struct(-F.col("a"), F.col("id"))).alias("x"), F.min_by(F.struct("id", "relevant", F.col("b").alias("s")), F.struct(-F.col("b"), F.col("id"))).alias("y"))
+    pick = F.struct("id", "relevant", F.col("b").alias("s"))
+    base = candidates.groupBy("qid").agg(*(F.min_by(pick, F.struct(-F.col(c), F.col(ties))).alias(n) for c, n in (("a", "x"), ("b", "y"))))
     over = (F.col("x.id") != F.col("y.id")) & (F.col("y.s") - F.col("x.s") >= margin)
     return base.agg(F.count("*").alias("n"), F.count_if(over).alias("overridden"), F.count_if(over & F.col("y.relevant") & ~F.col("x.relevant")).alias("helped"), F.count_if(over & ~F.col("y.relevant") & F.col("x.relevant")).alias("hurt"))
 

@@ -116,6 +116,11 @@ def _line_id():
     return (F.col("l_linenumber") * F.lit(10_000_000_000) + F.col("l_partkey") * 100_000 + F.col("l_suppkey")) * 100 + F.col("l_quantity").cast("long")
 
 
+def _line_order():
+    """A line's place among those of equal score: :func:`_line_id` is in this order only while a part's number has five digits."""
+    return F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity").alias("line")
+
+
 def _candidates(spark, sf_dir):
     li = S.read(spark, sf_dir, "lineitem")
     return li.select(F.col("l_orderkey").alias("qid"), _line_id().alias("id"), F.col("l_discount").alias("a"), F.when(F.col("l_linenumber") % 5 != 0, F.col("l_tax")).alias("b"), (F.col("l_quantity") > 40).alias("relevant"))
@@ -152,8 +157,8 @@ def weight_sweep(spark, sf_dir):
     SELECT count(*) AS n, count(*) FILTER (ov) AS overridden, count(*) FILTER (ov AND y.rel AND NOT x.rel) AS helped, count(*) FILTER (ov AND NOT y.rel AND x.rel) AS hurt FROM o""",
 )
 def trust_gate(spark, sf_dir):
-    li = S.read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("qid"), _line_id().alias("id"), F.col("l_discount").alias("a"), F.col("l_tax").alias("b"), (F.col("l_quantity") > 40).alias("relevant"))
-    return R.trust_gate(li, 0.035)
+    li = S.read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("qid"), _line_id().alias("id"), _line_order(), F.col("l_discount").alias("a"), F.col("l_tax").alias("b"), (F.col("l_quantity") > 40).alias("relevant"))
+    return R.trust_gate(li, 0.035, "line")
 
 
 @query("ab_ranking", f"WITH {_firsts_sql} SELECT strategy, count(*) AS n, count(rank) AS found, round(avg(coalesce(1 / rank, 0)), 6) AS mrr, round(quantile_cont(rank, 0.5), 6) AS median_rank FROM firsts GROUP BY 1")
