@@ -115,11 +115,11 @@ def reorder(candidates: DataFrame, scores: Sequence[str], keep_hopeless: bool =
     return out if keep_hopeless else out.where("rank is not null")
 
 
-def weight_sweep(candidates: DataFrame, weights: Sequence[float], k: int = 5) -> DataFrame:
-    """``(w, recall, mrr)`` of ``w * a + (1 - w) * b`` over a grid (RET22)."""
+def weight_sweep(candidates: DataFrame, weights: Sequence[float], k: int = 5, ties: str = "id") -> DataFrame:
+    """``(w, recall, mrr)`` of ``w * a + (1 - w) * b`` over a grid (RET22); of equal scores the smallest ``ties`` is first."""
     grid = candidates.withColumn("w", F.explode(F.array(*(F.lit(float(x)) for x in weights))))
     score = F.round(F.col("w") * F.col("a") + (1 - F.col("w")) * F.col("b"), 9)
-    ranked = grid.withColumn("r", F.row_number().over(Window.partitionBy("w", "qid").orderBy(F.desc(score), "id")))
+    ranked = grid.withColumn("r", F.row_number().over(Window.partitionBy("w", "qid").orderBy(F.desc(score), ties)))
     first = ranked.groupBy("w", "qid").agg(F.min(F.when(F.col("relevant"), F.col("r"))).alias("rank"))
     return first.groupBy("w").agg(F.round(F.avg((F.coalesce("rank", F.lit(1 << 30)) <= k).cast("double")), 6).alias("recall"), F.round(F.avg(F.coalesce(1 / F.col("rank"), F.lit(0.0))), 6).alias("mrr"))
 

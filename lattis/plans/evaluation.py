@@ -146,8 +146,8 @@ def pooled_ab(spark, sf_dir):
     SELECT w, round(avg((coalesce(rank, 99) <= 2)::INT), 6) AS recall, round(avg(coalesce(1 / rank, 0)), 6) AS mrr FROM f GROUP BY 1""",
 )
 def weight_sweep(spark, sf_dir):
-    li = S.read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("qid"), _line_id().alias("id"), F.col("l_discount").alias("a"), F.col("l_tax").alias("b"), (F.col("l_quantity") > 40).alias("relevant"))
-    return R.weight_sweep(li, (0.0, 0.5, 1.0), k=2)
+    li = S.read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("qid"), _line_order(), F.col("l_discount").alias("a"), F.col("l_tax").alias("b"), (F.col("l_quantity") > 40).alias("relevant"))
+    return R.weight_sweep(li, (0.0, 0.5, 1.0), k=2, ties="line")
 
 
 @query(
