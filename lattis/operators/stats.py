@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -33,28 +34,70 @@ def bootstrap_means(diffs: np.ndarray, resamples: int, seed: int, chunk: int = 1
     return np.concatenate(out)
 
 
-def paired_bootstrap(diffs: DataFrame, by: Sequence[str], resamples: int = 10_000, confidence: float = 0.95, seed: int = 42, most: int = 200_000) -> DataFrame:
+def bootstrap_sums(diffs: np.ndarray, n: int, first: int, resamples: int, seed: int, draws: int = 4_000_000) -> np.ndarray:
+    """What ``diffs``, which are those of ``n`` from place ``first`` on, add to each resample's sum; about ``draws`` places are drawn at a time from one legacy stream."""
+    rng, out = np.random.RandomState(seed), np.zeros(resamples)
+    held = np.append(diffs, 0.0)  # the last stands for places of other tasks
+    rows, at = max(1, draws // n), 0
+    while at < resamples:
+        k = min(rows, resamples - at)
+        for left in range(0, n, n if rows > 1 else draws):
+            place = rng.randint(0, n, size=(k, n if rows > 1 else min(draws, n - left)))
+            if len(diffs) < n:
+                place = np.minimum((place - first).view(np.uint64), len(diffs)).view(np.int64)
+            out[at : at + k] += held[place].sum(axis=1)
+        at += k
+    return out
+
+
+def _resampled(diffs: DataFrame, by: Sequence[str], resamples: int, seed: int, most: int) -> DataFrame:
+    """``(by..., n, total, block, sums)``: parts of ``most`` pairs of a group, in the order of ``ord``, and what each adds to the resamples' sums.
+
+    Every task draws its group's whole stream, but holds its own pairs only.
+    """
+    placed = global_index(diffs.select(*by, "ord", "diff"), [*by, "ord"], "_i")
+    groups = placed.groupBy(*(F.col(c).alias(f"_{c}") for c in by)).agg(F.min("_i").alias("_first"), F.count("*").alias("_n"))
+    same = reduce(lambda a, c: a & F.col(c).eqNullSafe(F.col(f"_{c}")), by, F.lit(True))
+    at = F.col("_i") - F.col("_first")
+    dealt = placed.join(groups, same).select(*by, "diff", "_n", at.alias("_at"), F.expr(f"(_i - _first) div {most}").alias("_block"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_at")
+        d = pdf["diff"].to_numpy(dtype=float)
+        sums = bootstrap_sums(d, int(pdf["_n"].iloc[0]), int(pdf["_at"].iloc[0]), resamples, seed)
+        row = {c: [pdf[c].iloc[0]] for c in by}
+        return pd.DataFrame(row | {"n": [pdf["_n"].iloc[0]], "total": [d.sum()], "block": [pdf["_block"].iloc[0]], "sums": [sums]})
+
+    kinds = ", ".join(f"`{c}` {t}" for c, t in diffs.dtypes if c in by)
+    return dealt.groupBy(*by, "_block").applyInPandas(run, f"{kinds}, n long, total double, block long, sums array<double>")
+
+
+def _means(pdf: pd.DataFrame) -> tuple[int, float, np.ndarray]:
+    """A group's pairs, their mean and the resamples' means, from the parts of :func:`_resampled`."""
+    pdf = pdf.sort_values("block")
+    n = int(pdf["n"].iloc[0])
+    return n, float(pdf["total"].sum()) / n, np.sum(np.stack(pdf["sums"].to_list()), axis=0) / n
+
+
+def paired_bootstrap(diffs: DataFrame, by: Sequence[str], resamples: int = 10_000, confidence: float = 0.95, seed: int = 42, most: int = 2_000_000) -> DataFrame:
     """``(by..., n, mean, low, high, p)`` of paired differences (STA1).
 
     Percentile interval, linear; p is twice the share of resampled means on
-    the other side of 0, at most 1. Groups of over ``most`` pairs would need
-    most x resamples draws in a task and are an error; see
-    :func:`poisson_bootstrap`.
+    the other side of 0, at most 1. A task holds ``most`` pairs of a group,
+    of which there may be any number; the stream of draws is the same however
+    a group is dealt. See :func:`poisson_bootstrap` for fewer draws.
     """
     tail = (1 - confidence) / 2 * 100
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        d = pdf.sort_values("ord")["diff"].to_numpy(dtype=float)
-        if len(d) > most:
-            raise ValueError(f"{len(d)} pairs; use poisson_bootstrap")
-        means = bootstrap_means(d, resamples, seed, max(1, min(1000, 10_000_000 // len(d))))
+        n, mean, means = _means(pdf)
         low, high = np.percentile(means, [tail, 100 - tail])
-        other = (means <= 0).mean() if d.mean() > 0 else (means >= 0).mean()
+        other = (means <= 0).mean() if mean > 0 else (means >= 0).mean()
         row = {c: [pdf[c].iloc[0]] for c in by}
-        return pd.DataFrame(row | {"n": [len(d)], "mean": [d.mean()], "low": [low], "high": [high], "p": [min(1.0, 2 * other)]})
+        return pd.DataFrame(row | {"n": [n], "mean": [mean], "low": [low], "high": [high], "p": [min(1.0, 2 * other)]})
 
     kinds = ", ".join(f"`{c}` {t}" for c, t in diffs.dtypes if c in by)
-    return diffs.groupBy(*by).applyInPandas(run, f"{kinds}, n long, mean double, low double, high double, p double")
+    return _resampled(diffs, by, resamples, seed, most).groupBy(*by).applyInPandas(run, f"{kinds}, n long, mean double, low double, high double, p double")
 
 
 def _bits(text: Column) -> Column:
@@ -280,11 +323,11 @@ def mrr_delta_interval(pairs: DataFrame, by: str, resamples: int = 2_000, seed:
     """``(by, n, delta, low, high)`` of the MRR's change, with percentiles by index, not interpolated (STA6)."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        d = pdf.sort_values("ord")["diff"].to_numpy(dtype=float)
-        means = np.sort(bootstrap_means(d, resamples, seed, max(1, min(1000, 10_000_000 // len(d)))))
-        return pd.DataFrame({by: [pdf[by].iloc[0]], "n": [len(d)], "delta": [d.mean()], "low": [means[int(0.025 * resamples)]], "high": [means[min(resamples - 1, int(0.975 * resamples))]]})
+        n, mean, means = _means(pdf)
+        means = np.sort(means)
+        return pd.DataFrame({by: [pdf[by].iloc[0]], "n": [n], "delta": [mean], "low": [means[int(0.025 * resamples)]], "high": [means[min(resamples - 1, int(0.975 * resamples))]]})
 
-    return pairs.groupBy(by).applyInPandas(run, f"`{by}` {dict(pairs.dtypes)[by]}, n long, delta double, low double, high double")
+    return _resampled(pairs, [by], resamples, seed, 2_000_000).groupBy(by).applyInPandas(run, f"`{by}` {dict(pairs.dtypes)[by]}, n long, delta double, low double, high double")
 
 
 def interpolate(fit: DataFrame, rows: DataFrame, x: str = "score") -> DataFrame:
