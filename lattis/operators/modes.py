@@ -51,13 +51,16 @@ def semantic(questions: DataFrame, nodes: DataFrame, n: int = 5) -> DataFrame:
     The context is ``[type/id] name`` and the first 300 characters of the
     text, or the name again where there is none.
     """
-    nodes, asked = _full(nodes), _asked(questions, 5, 3)
+    nodes, every = _full(nodes), materialize(_asked(questions, 5, 3), "asked")
+    asked = every.groupBy("terms").agg(F.min("qid").alias("qid"))  # questions of equal terms are asked once
     words = asked.select("qid", F.explode(F.array_distinct("terms")).alias("term"))
     bodies = nodes.select("id", F.col("name").alias("body")).unionAll(nodes.select("id", "description"))
     met = words.join(containing(words.select("term"), bodies), "term").select("qid", "id").distinct()
     context = F.lower(F.concat(F.lit("["), F.coalesce("entity_type", F.lit("")), F.lit("/"), F.col("id").cast("string"), F.lit("] "), "name", F.lit("\n"), F.substring(F.coalesce("text", "name"), 1, 300)))
     scored = met.join(nodes, "id").withColumn("_c", context).join(asked, "qid").withColumn("score", F.size(F.filter("terms", lambda t: F.contains(F.col("_c"), F.lower(t)))))
-    return _ranked(scored, "semantic", [F.desc("score"), F.col("id")], n, F.col("score").cast("string"))
+    found = _ranked(scored, "semantic", [F.desc("score"), F.col("id")], n, F.col("score").cast("string"))
+    back = every.join(asked.withColumnRenamed("qid", "_one"), "terms").select("qid", "_one")
+    return found.withColumnRenamed("qid", "_one").join(back, "_one").select("qid", "mode", "rank", "id", "detail")
 
 
 def _ranked(rows: DataFrame, mode: str, order: list[Column], n: int, detail: Column) -> DataFrame:

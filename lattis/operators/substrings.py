@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 GRAM = 3
+#: Terms of as many characters or more meet bodies by parts of so many: of long numbers, three digits are in most.
+LONG = 8
 
 
 def grams(text: Column, size: int) -> Column:
@@ -21,18 +23,20 @@ def containing(terms: DataFrame, bodies: DataFrame, fold: bool = True) -> DataFr
     With ``fold``, case doesn't matter. Repeats count once. Null and empty
     terms and null bodies match nothing.
 
-    A term and a body meet by the one of the term's three-character parts
-    that the fewest bodies hold (a shorter term is a part of its own); then
+    A term and a body meet by the one of the term's parts of ``GRAM``
+    characters, or ``LONG`` if it has as many, that the fewest bodies hold
+    (a shorter term is a part of its own); then
     the body is searched for the whole term. So what meets is as many rows
     as hold the rarest part, never all pairs.
     """
     low = F.lower if fold else lambda c: F.col(c)
     wanted = terms.where("term <> ''").select("term").distinct().withColumn("_t", low("term"))
     texts = bodies.where("body is not null").select("id", low("body").alias("_b"))
-    sizes = [r["n"] for r in wanted.select(F.least(F.length("_t"), F.lit(GRAM)).alias("n")).distinct().collect()]  # 1, 2 or 3
+    size = F.when(F.length("_t") >= LONG, LONG).otherwise(F.least(F.length("_t"), F.lit(GRAM)))
+    sizes = [r["n"] for r in wanted.select(size.alias("n")).distinct().collect()]  # 1, 2, GRAM or LONG
     if not sizes:
         return wanted.select("term").join(bodies.select("id"), F.lit(False))
-    parts = wanted.select("term", F.explode(reduce(lambda a, n: F.when(F.length("_t") == n, F.array("_t")).otherwise(a), (1, 2), grams(F.col("_t"), GRAM))).alias("_gram"))
+    parts = wanted.select("term", F.explode(reduce(lambda a, n: F.when(size == n, grams(F.col("_t"), n)).otherwise(a), sorted(sizes)[1:], grams(F.col("_t"), min(sizes)))).alias("_gram"))
     held = reduce(DataFrame.unionAll, (texts.select("id", F.explode(grams(F.col("_b"), n)).alias("_gram")) for n in sorted(sizes)))
     asked = held.join(parts.select("_gram").distinct(), "_gram", "left_semi")
     counts = asked.groupBy("_gram").agg(F.count("*").alias("_n"))
