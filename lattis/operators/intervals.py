@@ -36,7 +36,7 @@ def valid_at(points: DataFrame, facts: DataFrame, key: str, at: str = "t", start
     binned = cut.withColumn("_level", level).withColumn("_bin", F.explode(F.array_distinct(F.array(F.expr("shiftright(_a, _level)"), F.expr("shiftright(_b, _level)")))))
     levels = sorted(r["_level"] for r in binned.select("_level").distinct().collect())
     looking = points.where(F.col(key).isNotNull() & F.col(at).isNotNull()).withColumn("_level", F.explode(F.array(*(F.lit(n) for n in levels)).cast("array<int>"))).withColumn("_bin", F.expr(f"shiftright(`{at}`, _level)"))
-    met = looking.join(binned, [key, "_level", "_bin"])
+    met = looking.join(binned.hint("merge"), [key, "_level", "_bin"])  # neither side goes through the driver
     return met.where((F.col(at) >= F.col("_a")) & (F.col(at) <= F.col("_b"))).drop("_level", "_bin", "_a", "_b")
 
 
