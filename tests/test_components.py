@@ -40,3 +40,17 @@ def test_path_hub_loops_nulls_and_repeats(spark):
 
 def test_no_edges(spark):
     assert run(spark, []) == {}
+
+
+def test_more_links_than_a_task_has_shrink_round_by_round(spark, monkeypatch):
+    from lattis.operators import components
+
+    rounds = []
+    stars = components._stars
+    monkeypatch.setattr(components, "_stars", lambda *a: rounds.append(a) or stars(*a))
+    rng = random.Random(6)
+    edges = [(i, i + 1) for i in range(3_000)] + [(rng.randrange(4_000, 9_000), rng.randrange(4_000, 9_000)) for _ in range(4_000)] + [(10_000, x) for x in range(10_001, 12_000)] + [(7, 7), (20_000, 20_000), (None, 3), (1, 0)]
+    df = spark.createDataFrame([(None if a is None else f"n{a}", f"n{b}") for a, b in edges], "src string, dst string")
+    found = {r["node"]: r["component"] for r in connected_components(df, rows_a_task=100).collect()}
+    assert found == plain([(None if a is None else f"n{a}", f"n{b}") for a, b in edges])
+    assert not rounds  # the star rounds keep as many links as there are nodes
