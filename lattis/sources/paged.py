@@ -1,4 +1,4 @@
-"""A server's listing of entities and relations, a page a task (SRC6, SRC12).
+"""A server's listing of entities and relations, a page a task, or a run of pages if there are over ``MOST_TASKS`` (SRC6, SRC12).
 
 ``spark.read.format("paged")`` with the options ``client`` (the import path
 ``module:name`` of a class, made with the options), ``kind`` (``entities`` or
@@ -26,10 +26,12 @@ from lattis.session import new_shared_path
 KINDS = {"entities": ("id string, name string, entity_type string", "entity_type"), "relations": ("source_id string, target_id string, edge_type string", "edge_type")}
 #: The most rows that a page may have.
 LARGEST_PAGE = 100
+#: The most tasks that a listing is read by; each asks for a run of pages, one after the other.
+MOST_TASKS = 100
 
 
 @dataclass
-class Page(InputPartition):
+class Pages(InputPartition):
     offset: int
     limit: int
 
@@ -51,7 +53,7 @@ class PagedSource(DataSource):
 
 
 class PagedReader(DataSourceReader):
-    """Plans a partition a page; a task asks for its page alone, and again if the server fails."""
+    """Plans a partition a page, or a run of pages; a task asks for its pages alone, and for one again if the server fails."""
 
     def __init__(self, options: Mapping[str, str]):
         self.options, self.kind = options, options["kind"]
@@ -66,13 +68,21 @@ class PagedReader(DataSourceReader):
         module, _, name = self.options["client"].partition(":")
         return getattr(importlib.import_module(module), name)(self.options)
 
-    def partitions(self) -> list[Page]:
+    def partitions(self) -> list[Pages]:
         n = self._again(lambda: self.client().count(self.kind, self.where))
-        return [Page(at, min(self.size, n - at)) for at in range(0, n, self.size)] or [Page(0, 0)]
+        run = self.size * max(1, -(-n // (self.size * MOST_TASKS)))
+        return [Pages(at, min(run, n - at)) for at in range(0, n, run)] or [Pages(0, 0)]
 
-    def read(self, partition: Page) -> Iterator[tuple]:
-        if partition.limit:
-            yield from self._again(lambda: list(self.client().page(self.kind, partition.offset, partition.limit, self.where)))
+    def read(self, partition: Pages) -> Iterator[tuple]:
+        end, client = partition.offset + partition.limit, None
+
+        def ask(at: int) -> list[tuple]:
+            nonlocal client
+            client = client or self.client()
+            return list(client.page(self.kind, at, min(self.size, end - at), self.where))
+
+        for at in range(partition.offset, end, self.size):
+            yield from self._again(lambda at=at: ask(at))
 
     def _again(self, ask):
         for attempt in range(self.retries + 1):
@@ -96,21 +106,33 @@ class NarrowingReader(PagedReader):
 
 
 class FolderClient:
-    """Pages of a listing that :func:`write_listing` wrote, wherever the shared folder is."""
+    """Pages of a listing that :func:`write_listing` wrote, wherever the shared folder is.
+
+    Rows of the pages after the one asked for, ``ahead`` in all, are read
+    with it, so that a run of pages doesn't look through the listing each time.
+    """
+
+    ahead = 6_400
 
     def __init__(self, options: Mapping[str, str]):
         from pyarrow import fs
 
         self.fs, self.folder = fs.FileSystem.from_uri(options["folder"])
+        self.opened: dict = {}
+        self.spans: dict[str, list[dict]] = {}
+        self.held: tuple[str, int, list[tuple]] = "", 0, []
 
     def _table(self, kind: str, columns: list[str] | None, rows) -> list[dict]:
         import pyarrow.dataset as ds
 
-        return ds.dataset(f"{self.folder}/{kind}", filesystem=self.fs, format="parquet").to_table(columns=columns, filter=rows).to_pylist()
+        if kind not in self.opened:
+            self.opened[kind] = ds.dataset(f"{self.folder}/{kind}", filesystem=self.fs, format="parquet")
+        return self.opened[kind].to_table(columns=columns, filter=rows).to_pylist()
 
     def _span(self, kind: str, where: Mapping[str, str]) -> tuple[int, int]:
-        spans = self._table(f"{kind}-spans", None, None)
-        kept = [s for s in spans if all(s["by"] == v for v in where.values())]
+        if kind not in self.spans:
+            self.spans[kind] = self._table(f"{kind}-spans", None, None)
+        kept = [s for s in self.spans[kind] if all(s["by"] == v for v in where.values())]
         return min((s["first"] for s in kept), default=1), sum(s["n"] for s in kept)
 
     def count(self, kind: str, where: Mapping[str, str]) -> int:
@@ -120,9 +142,14 @@ class FolderClient:
         import pyarrow.compute as pc
 
         names = [c.split()[0] for c in KINDS[kind][0].split(", ")]
-        first = self._span(kind, where)[0] + offset
-        rows = self._table(kind, [*names, "_i"], (pc.field("_i") >= first) & (pc.field("_i") < first + limit))
-        return [tuple(r[c] for c in names) for r in sorted(rows, key=lambda r: r["_i"])]
+        first, total = self._span(kind, where)
+        first, limit = first + offset, max(0, min(limit, total - offset))
+        held_kind, start, rows = self.held
+        if held_kind != kind or first < start or first + limit > start + len(rows):
+            found = self._table(kind, [*names, "_i"], (pc.field("_i") >= first) & (pc.field("_i") < first + max(limit, self.ahead)))
+            start, rows = first, [tuple(r[c] for c in names) for r in sorted(found, key=lambda r: r["_i"])]
+            self.held = kind, start, rows
+        return rows[first - start : first - start + limit]
 
 
 def write_listing(rows: DataFrame, kind: str, folder: str) -> None:
@@ -131,7 +158,7 @@ def write_listing(rows: DataFrame, kind: str, folder: str) -> None:
     names = [c.split()[0] for c in schema.split(", ")]
     order = [by, *(c for c in names if c != by)]
     indexed = global_index(rows.select(*names), order, "_i")
-    indexed.write.parquet(f"{folder}/{kind}")
+    indexed.write.option("parquet.block.size", str(1 << 20)).parquet(f"{folder}/{kind}")  # a page is looked for by the row groups' ends
     spans = rows.sparkSession.read.parquet(f"{folder}/{kind}").groupBy(F.col(by).alias("by")).agg(F.min("_i").alias("first"), F.count("*").alias("n"))
     spans.coalesce(1).write.parquet(f"{folder}/{kind}-spans")
 

@@ -81,3 +81,18 @@ def test_a_listing_in_a_folder(pushed):
     assert df.where("entity_type = 'none such'").count() == 0
     empty = P.folder_pages(rows.where("id = 'x'"), "entities")
     assert empty.collect() == []
+
+
+def test_a_long_listing_is_read_in_runs_of_pages(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(P, "MOST_TASKS", 4)
+    monkeypatch.setattr(P.FolderClient, "ahead", 50)
+    scans = []
+    look = P.FolderClient._table
+    monkeypatch.setattr(P.FolderClient, "_table", lambda self, *a: scans.append(a) or look(self, *a))
+    P.write_listing(spark.range(250).selectExpr("concat('e', lpad(id, 3, '0')) as id", "'n' as name", "'t' as entity_type"), "entities", f"file://{tmp_path}/listing")
+    reader = P.PagedReader({"kind": "entities", "client": "lattis.sources.paged:FolderClient", "folder": f"file://{tmp_path}/listing", "page_size": "10"})
+    runs = reader.partitions()
+    assert [(r.offset, r.limit) for r in runs] == [(0, 70), (70, 70), (140, 70), (210, 40)]
+    scans.clear()
+    assert [x[0] for r in runs for x in reader.read(r)] == [f"e{i:03}" for i in range(250)]
+    assert len(scans) == 4 + 7  # each task's spans, and 50 rows at a time
