@@ -10,19 +10,21 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattis.operators.paths import undirected
+from lattis.session import deal
 
 FIT = "n long, cutoff long, n_tail long, alpha double, distance double, rate double, ratio double, p double"
 
 
-def degree_histogram(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """``(by..., degree, n)`` of the simple graph without direction; nodes without an edge don't count."""
-    if not by:
-        per = undirected(edges).groupBy("u").agg(F.count("*").alias("degree"))
-        return per.groupBy("degree").agg(F.count("*").alias("n"))
+def degree_histogram(edges: DataFrame, by: Sequence[str] = (), rows_a_task: int = 1 << 20) -> DataFrame:
+    """``(by..., degree, n)`` of the simple graph without direction; nodes without an edge don't count.
+
+    Edges are dealt to tasks of about ``rows_a_task`` before repeats go, so
+    that what a task holds doesn't grow with the graph.
+    """
     ends = edges.where("source_id <> target_id")
-    both = ends.select(*by, F.col("source_id").alias("u"), F.col("target_id").alias("v")).unionAll(ends.select(*by, "target_id", "source_id")).distinct()
-    return both.groupBy(*by, "u").agg(F.count("*").alias("degree")).groupBy(*by, "degree").agg(F.count("*").alias("n"))
+    both = ends.select(*by, F.col("source_id").alias("u"), F.col("target_id").alias("v")).unionAll(ends.select(*by, "target_id", "source_id"))
+    once = deal(both, *by, "u", "v", least=1 + 2 * ends.count() // rows_a_task).distinct()
+    return once.groupBy(*by, "u").agg(F.count("*").alias("degree")).groupBy(*by, "degree").agg(F.count("*").alias("n"))
 
 
 def zeta(s: np.ndarray, q: np.ndarray, terms: int = 12) -> np.ndarray:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattis.schema import Graph
+from lattis.session import deal
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -55,11 +56,11 @@ trade_edges AS (
 )"""
 
 
-def supply(spark: SparkSession, sf_dir: str) -> Graph:
-    """Parts and suppliers, an edge for each pair that a line item names."""
+def supply(spark: SparkSession, sf_dir: str, rows_a_task: int = 1 << 20) -> Graph:
+    """Parts and suppliers, an edge for each pair that a line item names; about ``rows_a_task`` line items meet in a task."""
     part, supplier, line = (read(spark, sf_dir, t) for t in ("part", "supplier", "lineitem"))
     entities = _node(part, "part:", "p_partkey", "p_name", F.concat(F.lit("part:"), "p_type")).unionByName(_node(supplier, "supplier:", "s_suppkey", "s_name", F.lit("supplier")))
-    pairs = line.select("l_partkey", "l_suppkey").distinct()
+    pairs = deal(line.select("l_partkey", "l_suppkey"), "l_partkey", "l_suppkey", least=1 + line.count() // rows_a_task).distinct()
     return Graph(entities, _edge(pairs, "part:", "l_partkey", "supplier:", "l_suppkey", "supplied_by"))
 
 

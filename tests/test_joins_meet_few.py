@@ -5,6 +5,8 @@ import re
 from lattis.operators import intervals as I
 from lattis.operators import retrieval as R
 from lattis.operators.similarity import SetJoin
+from lattis.operators.tails import degree_histogram
+from lattis.sources.graphs import supply
 
 
 def test_long_sets_meet_on_all_they_must_share(spark):
@@ -58,3 +60,14 @@ def test_ranked_rows_go_to_the_texts(spark):
         assert "SortMergeJoin" not in _plan(found) and found.first()["context"] == "[1] 4\ntext 4\n\n[2] 2\ntext 2"
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_tasks_that_drop_repeats_grow_in_number_not_in_size(spark, sf_dir):
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_partkey", "l_suppkey")
+    edges = supply(spark, sf_dir, rows_a_task=100).edges
+    assert re.search(rf"hashpartitioning\(l_partkey#\d+L, l_suppkey#\d+L, {1 + lines.count() // 100}\)", _plan(edges))
+    assert edges.count() == lines.distinct().count()
+    ring = spark.range(300).selectExpr("cast(id % 150 as string) as source_id", "cast((id + 1) % 150 as string) as target_id")
+    found = degree_histogram(ring, rows_a_task=10)
+    assert "v#" in (text := _plan(found)) and ", 61)" in text
+    assert [tuple(r) for r in found.collect()] == [(2, 150)]
