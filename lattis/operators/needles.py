@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lattis.operators.intervals import last_before
 from lattis.operators.ordering import running
+from lattis.operators.retrieval import NEAR
 from lattis.session import materialize
 
 
@@ -56,7 +57,8 @@ def insert(docs: DataFrame, needles: DataFrame, seed: int = 42, sequential: bool
         return F.struct(F.concat(acc["done"], piece, F.lit(" "), x["needle"], F.lit(" ")).alias("done"), x["_off"].alias("at"))
 
     spliced = F.aggregate("_n", start, put, lambda acc: F.concat(acc["done"], F.substr(F.col("text"), (acc["at"] + 1).cast("int"))))
-    return docs.join(held, "id", "left").select("id", F.when(F.col("_n").isNull(), F.col("text")).otherwise(spliced).alias("text")), found.drop("_off")
+    near = F.broadcast if found.count() <= NEAR else lambda df: df  # few needles go to the texts, which stay where they are
+    return docs.join(near(held), "id", "left").select("id", F.when(F.col("_n").isNull(), F.col("text")).otherwise(spliced).alias("text")), found.drop("_off")
 
 
 def found_by(ranked: DataFrame, haystack: DataFrame, needles: DataFrame) -> DataFrame:
@@ -66,7 +68,9 @@ def found_by(ranked: DataFrame, haystack: DataFrame, needles: DataFrame) -> Data
     question. The context is all texts of a question, the answer the first;
     ``rank`` is that of the first text that holds the needle.
     """
-    texts = ranked.select("qid", "rank", "id").join(haystack, "id").join(needles.select(F.col("ord").alias("qid"), "needle"), "qid").where(F.contains("text", "needle"))
+    ranked = materialize(ranked.select("qid", "rank", "id"), "ranked")
+    near = F.broadcast if ranked.count() <= NEAR else lambda df: df
+    texts = haystack.join(near(ranked), "id").join(needles.select(F.col("ord").alias("qid"), "needle"), "qid").where(F.contains("text", "needle"))
     first = texts.groupBy("qid").agg(F.min("rank").alias("rank"))
     joined = needles.select("ord", "depth").join(first, F.col("ord") == F.col("qid"), "left")
     held = F.col("rank").isNotNull()

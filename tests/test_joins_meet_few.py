@@ -3,6 +3,7 @@
 import re
 
 from lattis.operators import intervals as I
+from lattis.operators import needles as N
 from lattis.operators import retrieval as R
 from lattis.operators.similarity import SetJoin
 from lattis.operators.tails import degree_histogram
@@ -71,3 +72,14 @@ def test_tasks_that_drop_repeats_grow_in_number_not_in_size(spark, sf_dir):
     found = degree_histogram(ring, rows_a_task=10)
     assert "v#" in (text := _plan(found)) and ", 61)" in text
     assert [tuple(r) for r in found.collect()] == [(2, 150)]
+
+
+def test_needles_go_to_the_texts(spark):
+    docs = spark.createDataFrame([(i, "some words of hay") for i in range(9)], "id long, text string")
+    needles = spark.createDataFrame([(1, "pin", "where")], "ord long, needle string, question string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        hay, told = N.insert(docs, needles)
+        assert "SortMergeJoin" not in _plan(hay) and hay.where("text like '% pin %'").count() == 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
