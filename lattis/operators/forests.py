@@ -10,8 +10,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattis.session import materialize
@@ -178,42 +179,209 @@ def _peel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame([(None, None, e, *v) for e, v in zip(edges, value)], columns=columns)
 
 
-def bridges(edges: DataFrame, strip: int = 3, rows_a_task: int = 250_000) -> DataFrame:
+def _number(name, seed: int):
+    """A number for a node's name; other seeds give other numbers."""
+    return F.xxhash64(name, F.lit(seed))
+
+
+def _numbered(edges: DataFrame) -> DataFrame:
+    """``(a, b, x, y, at)``: the names of both ends, their numbers with ``x < y``, and the place of the row.
+
+    Numbers are hashes. Names are counted, so that no two have one number;
+    if two have, others are drawn. An edge may come twice.
+    """
+    low, high = F.least("source_id", "target_id"), F.greatest("source_id", "target_id")
+    once = edges.where("source_id <> target_id").select(low.cast("string").alias("a"), high.cast("string").alias("b"))
+    seed = 0
+    while True:
+        m, n = _number(F.col("a"), seed), _number(F.col("b"), seed)
+        named = materialize(once.select("a", "b", F.least(m, n).alias("x"), F.greatest(m, n).alias("y"), F.monotonically_increasing_id().alias("at")), "named")
+        names = named.select(F.col("a").alias("v")).unionAll(named.select("b")).distinct()
+        if names.groupBy(_number(F.col("v"), seed).alias("h")).count().where("count > 1").isEmpty():
+            return named
+        seed += 1
+
+
+_SETTLED = "kind int, bin long, x long, y long, twice boolean, ex long, ey long"
+_LEFT, _BRIDGE, _FOLLOWS = 0, 1, 2
+
+
+def _contract(pdf: pd.DataFrame) -> pd.DataFrame:
+    """What the edges of one bin tell: bridges, edges that follow another, and the few that stand for the rest.
+
+    Rows with ``x = y`` name the nodes that have edges elsewhere too; ``twice``
+    edges count double. Edges on a cycle are no bridges; the shared nodes of
+    such a part stay tied to each other by double edges. What is left is a
+    tree of parts: an edge with no shared node on one of its sides is a
+    bridge, and edges in a row with nothing shared between them are bridges
+    together or not at all, so all follow one.
+    """
+    here = int(pdf["bin"].iat[0])
+    mark = pdf["x"].to_numpy() == pdf["y"].to_numpy()
+    rows = pdf[~mark].drop_duplicates(["x", "y", "ex", "ey"])
+    rows = rows.assign(twice=rows["twice"] | rows.duplicated(["x", "y"], keep=False)).drop_duplicates(["x", "y"])
+    twice, keys = rows["twice"].tolist(), rows[["ex", "ey"]].to_numpy()
+    names, ends = np.unique(rows[["x", "y"]].to_numpy(), return_inverse=True)
+    ends = ends.reshape(-1, 2)
+    shared = np.isin(names, pdf["x"].to_numpy()[mark]).tolist()
+    near: list[list] = [[] for _ in names]
+    for k, (u, v) in enumerate(ends.tolist()):
+        near[u].append((v, k))
+        near[v].append((u, k))
+    # parts that hold together without any one edge; of each its parent and the edge to it, parents first
+    n = len(names)
+    found, low, by, above, order = [-1] * n, [0] * n, [-1] * n, [-1] * n, []
+    for start in range(n):
+        if found[start] >= 0:
+            continue
+        stack = [(start, iter(near[start]))]
+        found[start] = low[start] = len(order)
+        order.append(start)
+        while stack:
+            v, rest = stack[-1]
+            for o, k in rest:
+                if found[o] < 0:
+                    found[o] = low[o] = len(order)
+                    order.append(o)
+                    by[o], above[o] = k, v
+                    stack.append((o, iter(near[o])))
+                    break
+                if k != by[v] and found[o] < low[v]:
+                    low[v] = found[o]
+            else:
+                stack.pop()
+                if stack and low[v] < low[stack[-1][0]]:
+                    low[stack[-1][0]] = low[v]
+    part, top, up, tie, member, whole = [-1] * n, [], [], [], [], []
+    for v in order:
+        p = above[v]
+        if p >= 0 and (low[v] <= found[p] or twice[by[v]]):
+            part[v] = part[p]
+        else:
+            part[v] = len(up)
+            up.append(-1 if p < 0 else part[p])
+            tie.append(by[v])
+            member.append([])
+            top.append(v)
+            whole.append(part[v] if p < 0 else whole[part[p]])
+        if shared[v]:
+            member[part[v]].append(v)
+    below = [len(m) for m in member]
+    for c in range(len(up) - 1, -1, -1):
+        if up[c] >= 0:
+            below[up[c]] += below[c]
+    sure, kept, touch = [], [], [[] for _ in up]
+    for c, p in enumerate(up):
+        if p >= 0:
+            if 0 < below[c] < below[whole[c]]:
+                kept.append(c)
+                touch[c].append(c)
+                touch[p].append(c)
+            else:
+                sure.append(tie[c])
+    # edges in a row, each named by its lower part
+    head = {c: c for c in kept}
+
+    def first(c):
+        while head[c] != c:
+            head[c] = head[head[c]]
+            c = head[c]
+        return c
+
+    through = [not m and len(t) == 2 for m, t in zip(member, touch)]
+    for c, t in enumerate(touch):
+        if through[c]:
+            head[first(t[0])] = first(t[1])
+    far: dict = {}
+    follows = []
+    for c in kept:
+        h = first(c)
+        if h != c:
+            follows.append((tie[c], tie[h]))
+        for v in ends[tie[c]].tolist():
+            q = part[v]
+            if not through[q]:
+                far.setdefault(h, []).append(v if shared[v] else (member[q] or [top[q]])[0])
+    out = [(_LEFT, names[min(u, v)], names[max(u, v)], False, *keys[tie[h]]) for h, (u, v) in far.items()]
+    for m in member:
+        out += [(_LEFT, names[min(u, v)], names[max(u, v)], True, names[min(u, v)], names[max(u, v)]) for u, v in zip(m, m[1:])]
+    out += [(_FOLLOWS, *keys[h], False, *keys[k]) for k, h in follows]
+    out += [(_BRIDGE, 0, 0, False, *keys[k]) for k in sure]
+    told = pd.DataFrame(out, columns=["kind", "x", "y", "twice", "ex", "ey"])
+    told.insert(1, "bin", here)
+    return told
+
+
+def _round(left: DataFrame, rows: int) -> DataFrame:
+    """:func:`_contract` of ``(chunk, x, y, twice, ex, ey)``: neighbouring chunks are put together to about ``rows`` edges."""
+    sizes = left.groupBy("chunk").count().withColumn("_sum", F.sum("count").over(Window.orderBy("chunk")))
+    bins = materialize(sizes.select("chunk", F.expr(f"(_sum - 1) div {rows}").alias("bin")), "bins")
+    dealt = left.join(F.broadcast(bins), "chunk").select("bin", "x", "y", "twice", "ex", "ey")
+    held = dealt.select(F.col("x").alias("v"), "bin").unionAll(dealt.select("y", "bin")).distinct()
+    both = held.withColumn("_n", F.count("*").over(Window.partitionBy("v"))).where("_n > 1")
+    zero = F.lit(0).cast("long")
+    marks = both.select("bin", F.col("v").alias("x"), F.col("v").alias("y"), F.lit(False), zero, zero)
+    return materialize(dealt.unionAll(marks).groupBy("bin").applyInPandas(_contract, _SETTLED), "settled")
+
+
+def bridges(edges: DataFrame, strip: int = 8, rows_a_task: int = 250_000) -> DataFrame:
     """``(a, b)``, ``a < b``: the simple edges whose removal parts their component (TOP14).
 
-    Edges to nodes of one neighbour are bridges and go first, ``strip``
-    times. Of what is left two spanning forests in a row hold every bridge
-    and every way around one: all bridges are in the first, and an edge of
-    it is a bridge unless an edge of the second leads around it. Edges of
-    the second give both their ends a 128-bit label; an edge of the first
-    has the exclusive or of the labels on one side of it, which is that of
-    the edges that lead around it (:func:`cut_values`), and zero if there
-    are none.
+    Nodes get numbers, so that names are moved only to be counted and at the
+    end. Edges that come near each other are taken together, ``rows_a_task``
+    in a task, which settles all but what hangs on nodes that other tasks
+    hold too (:func:`_contract`). That is repeated, ``strip`` times at most,
+    while a quarter of the edges or more goes; what is left after it is left
+    to forests (:func:`_uncovered`), unless it fits one task.
+    """
+    named = _numbered(edges)
+    rows, turn = max(1, rows_a_task), 0
+    left = named.select(F.expr(f"at div {rows}").alias("chunk"), "x", "y", F.lit(False).alias("twice"), F.col("x").alias("ex"), F.col("y").alias("ey"))
+    n, told, found = left.count(), [], []
+    while n and (n <= rows or turn < strip):
+        told.append(_round(left, rows))
+        once = told[-1].where(F.col("kind") == _LEFT).groupBy("x", "y").agg(F.min("bin").alias("chunk"), F.bool_or("twice").alias("t"), F.min("ex").alias("ex"), F.min("ey").alias("ey"), F.max("ex").alias("_x"), F.max("ey").alias("_y"))
+        left = materialize(once.select("chunk", "x", "y", (F.col("t") | (F.col("ex") != F.col("_x")) | (F.col("ey") != F.col("_y"))).alias("twice"), "ex", "ey"), "core")
+        before, n, turn = n, left.count(), turn + 1
+        if n > rows and 4 * n > 3 * before:
+            break
+    if n:
+        found.append(_uncovered(left, rows_a_task))
+    for settled in reversed(told):
+        follows = settled.where(F.col("kind") == _FOLLOWS).select("ex", "ey", "x", "y")
+        if found and not follows.isEmpty():
+            found.append(materialize(follows.join(_union(found).select(F.col("ex").alias("x"), F.col("ey").alias("y")), ["x", "y"], "left_semi").select("ex", "ey"), "follows"))
+        found.append(settled.where(F.col("kind") == _BRIDGE).select("ex", "ey"))
+    if not found:
+        return named.select("a", "b")
+    all_of_them = _union(found).select(F.col("ex").alias("x"), F.col("ey").alias("y"))
+    return named.select("a", "b", "x", "y").join(all_of_them, ["x", "y"], "left_semi").groupBy("x", "y", "a", "b").agg(F.count("*")).select("a", "b")
+
+
+def _uncovered(left: DataFrame, rows_a_task: int) -> DataFrame:
+    """``(ex, ey)`` of the bridges among edges ``(x, y, twice, ex, ey)``, none of them ``twice``.
+
+    Two spanning forests in a row hold every bridge and every way around
+    one: all bridges are in the first, and an edge of it is a bridge unless
+    an edge of the second leads around it. Edges of the second give both
+    their ends a 128-bit label; an edge of the first has the exclusive or of
+    the labels on one side of it, which is that of the edges that lead
+    around it (:func:`cut_values`), and zero if there are none.
 
     A value could be zero by chance. So the number found is compared with
     the number of components that their removal adds: it is the same if and
     only if all of them are bridges. If it isn't, other labels are drawn.
     """
-    low, high = F.least("source_id", "target_id"), F.greatest("source_id", "target_id")
-    left = materialize(edges.where("source_id <> target_id").select(low.alias("a"), high.alias("b")).distinct(), "core")
-    found: list[DataFrame] = []
-    for _ in range(strip):
-        ends = left.select(F.col("a").alias("v"), F.struct("a", "b").alias("e")).unionAll(left.select("b", F.struct("a", "b")))
-        leaf = materialize(ends.groupBy("v").agg(F.count("*").alias("d"), F.first("e").alias("e")).where("d = 1").select("e.*").distinct(), "leaves")
-        if leaf.isEmpty():
-            break
-        found.append(leaf)
-        left = materialize(left.join(leaf, ["a", "b"], "left_anti"), "core")
-    if left.isEmpty():
-        return _union(found) if found else left
-    first = minimum_forest(left.withColumn("w", F.xxhash64("a", "b")), rows_a_task).select("a", "b")
-    beside = left.join(first, ["a", "b"], "left_anti").withColumn("w", F.xxhash64("a", "b"))
+    plain = left.select(F.col("x").alias("a"), F.col("y").alias("b"), "twice")
+    first = minimum_forest(plain.select("a", "b", F.xxhash64("a", "b").alias("w")), rows_a_task).select("a", "b")
+    beside = plain.join(first, ["a", "b"], "left_anti").unionAll(plain.where("twice")).select("a", "b", F.xxhash64("a", "b").alias("w"))
     second = minimum_forest(beside, rows_a_task).select("a", "b")
     n, seed = first.count(), 0
     nodes = first.select(F.col("a").alias("v")).unionAll(first.select("b")).distinct()
     zero = nodes.select("v", F.lit(0).cast("long").alias("l"), F.lit(0).cast("long").alias("m"))
-    tree = first.select(F.col("a").alias("x"), F.col("b").alias("y"), F.concat_ws("\x00", "a", "b").alias("e"))
-    keyed = first.select("a", "b", F.concat_ws("\x00", "a", "b").alias("e"))
+    name = F.concat_ws("\x00", F.col("a").cast("string"), F.col("b").cast("string")).alias("e")
+    tree = first.select(F.col("a").alias("x"), F.col("b").alias("y"), name)
+    keyed = first.select("a", "b", name)
     while True:
         drawn = second.select("a", "b", F.xxhash64("a", "b", F.lit(2 * seed)).alias("l"), F.xxhash64("a", "b", F.lit(2 * seed + 1)).alias("m"))
         labels = _xor(zero.unionAll(drawn.select("a", "l", "m")).unionAll(drawn.select("b", "l", "m")))
@@ -221,7 +389,7 @@ def bridges(edges: DataFrame, strip: int = 3, rows_a_task: int = 250_000) -> Dat
         apart = materialize(keyed.join(values.where("l = 0 and m = 0"), "e").select("a", "b"), "bridges")
         rest = first.join(apart, ["a", "b"], "left_anti").unionAll(second).withColumn("w", F.xxhash64("a", "b"))
         if apart.count() == n - minimum_forest(rest, rows_a_task).count():
-            return _union([*found, apart])
+            return materialize(left.join(apart.select(F.col("a").alias("x"), F.col("b").alias("y")), ["x", "y"], "left_semi").select("ex", "ey"), "bridges")
         seed += 1
 
 

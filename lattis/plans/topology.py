@@ -364,12 +364,14 @@ def order_bridges(spark, sf_dir):
     orders, customer = S.read(spark, sf_dir, "orders"), S.read(spark, sf_dir, "customer")
     w = Window.partitionBy("c").orderBy("k")
     key = lambda kind, c: F.concat(F.lit(f"{kind}:"), F.col(c).cast("string"))
+    edge = lambda a, b: F.struct(a.alias("source_id"), b.alias("target_id"))
     o = orders.select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"), F.col("o_orderpriority").alias("p"))
-    chain = o.withColumn("y", F.lag("k").over(w)).where("y is not null").select(key("order", "k").alias("source_id"), key("order", "y").alias("target_id"))
-    ends = o.groupBy("c").agg(F.min("k").alias("first"), F.max("k").alias("last"), F.min_by("p", "k").alias("p"), F.max_by("p", "k").alias("q"))
-    ring = ends.where("p = q").select(key("order", "first"), key("order", "last"))
-    hung = ends.select(key("order", "first"), key("customer", "c")).union(customer.select(key("customer", "c_custkey"), key("nation", "c_nationkey")))
-    return G.bridges(None, chain.union(ring).union(hung))
+    o = o.select("k", "c", "p", F.lag("k").over(w).alias("y"), F.lead("k").over(w).alias("z"), F.first(F.when(F.col("k").isNotNull(), F.struct("k", "p")), ignorenulls=True).over(w).alias("s"))
+    o = o.select("*", F.col("s.k").alias("first"), F.col("s.p").alias("q"))
+    chain = F.when(F.col("y").isNotNull(), edge(key("order", "k"), key("order", "y"))).otherwise(edge(key("order", "k"), key("customer", "c")))
+    ring = F.when(F.col("z").isNull() & (F.col("p") == F.col("q")), edge(key("order", "first"), key("order", "k")))
+    held = o.select(F.explode(F.array_compact(F.array(chain, ring))).alias("e")).select("e.*")
+    return G.bridges(None, held.union(customer.select(key("customer", "c_custkey"), key("nation", "c_nationkey"))))
 
 
 def _bars_sql(squarings: int) -> str:

@@ -95,3 +95,30 @@ def test_bars(spark):
     nodes = {x for a, b, _ in links for x in (a, b)}
     assert got == want | {None: len(nodes) - sum(want.values())}
     assert T.component_bars(spark.createDataFrame([], "a string, b string, w int")).collect() == []
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_bridges_settled_in_bins(spark, seed):
+    """Bins of a few edges, with rows that come twice in one bin and in others, equal removing each edge."""
+    rng = random.Random(seed)
+    ways = [(f"w{i:02}", f"w{i + 1:02}") for i in range(30)] + [("w03", "w09"), ("w12", "w14"), ("w29", "w01" if seed % 2 else "w25"), ("w12", "leaf")]
+    edges = ways + random_edges(seed, 40, 30) + rng.sample(ways, 8)
+    edges = [e if rng.random() < 0.5 else e[::-1] for e in edges]
+    got = T.bridges(spark.createDataFrame(edges, PAIR).coalesce(2), rows_a_task=6).collect()
+    assert len(got) == len(set(got)) and {tuple(r) for r in got} == plain_bridges(edges)
+
+
+def test_names_of_one_number_get_others(spark, monkeypatch):
+    plain = T._number
+    monkeypatch.setattr(T, "_number", lambda name, seed: plain(name, seed) % 5 if seed == 0 else plain(name, seed))
+    edges = random_edges(3, 30, 28)
+    assert {tuple(r) for r in T.bridges(spark.createDataFrame(edges, PAIR)).collect()} == plain_bridges(edges)
+
+
+def test_near_edges_are_settled_where_they_are(spark, monkeypatch):
+    """Chains that hang on one hub need no forests, however many there are."""
+    monkeypatch.setattr(T, "minimum_forest", None)
+    chains = spark.range(4_000).selectExpr("concat('n', id) as source_id", "if(id % 10 = 0, 'hub', concat('n', id - 1)) as target_id")
+    rings = spark.range(200).selectExpr("concat('n', id * 20) as source_id", "concat('n', id * 20 + 9) as target_id")
+    found = T.bridges(chains.union(rings), rows_a_task=500)
+    assert found.count() == 4_000 - 200 * 9
