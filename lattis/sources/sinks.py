@@ -74,12 +74,20 @@ def pinned_context(contexts: DataFrame, path: str) -> None:
     contexts.write.mode("overwrite").parquet(path)
 
 
+#: A character at which no number starts.
+_PLAIN = r"(?:(?!(?=\d)\b).)"
+
+#: Characters that no number starts at nor within 60 after, passed by 60, by 8 and one by one; then
+#: a number with 60 characters around, or the rest of a text without one. So a text is read a few times, not 60.
+NUMBERS = rf"(?s)(?:\D{{60}}(?=\D{{60}}))*+(?:{_PLAIN}{{60}}(?={_PLAIN}{{60}}))*+(?:{_PLAIN}{{8}}(?={_PLAIN}{{60}}))*+(?:{_PLAIN}(?={_PLAIN}{{60}}))*+(?:(.{{0,60}}\b\d[\d.,]*.{{0,60}})|.+)"
+
+
 def review_surface(notes: DataFrame, numbers: int = 30, quotes: int = 20) -> DataFrame:
     """``(path, kind, i, text)``: numbers with 60 characters around, and quotes of over 8 (FLT13)."""
-    around = F.slice(F.regexp_extract_all("body", F.lit(r"(?s)(.{0,60}\b\d[\d.,]*.{0,60})"), F.lit(1)), 1, numbers)
+    around = F.slice(F.filter(F.regexp_extract_all("body", F.lit(NUMBERS), F.lit(1)), lambda x: x != ""), 1, numbers)
     said = F.slice(F.regexp_extract_all("body", F.lit(r'"([^"]{9,})"'), F.lit(1)), 1, quotes)
-    rows = lambda kind, c: notes.select("path", F.lit(kind).alias("kind"), F.posexplode(c).alias("i", "text"))
-    return rows("number", around).unionByName(rows("quote", said))
+    rows = lambda kind, c: F.transform(c, lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("i"), x.alias("text")))
+    return notes.select("path", F.inline(F.concat(rows("number", around), rows("quote", said))))
 
 
 def newest(rows: DataFrame, key: str, order: str) -> DataFrame:

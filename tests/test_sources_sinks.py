@@ -1,5 +1,7 @@
 """Sources, sinks, text functions and streams on small rows."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,6 +104,27 @@ def test_chunks_and_review(spark):
     assert {(r["kind"], r["i"]) for r in K.review_surface(notes).collect()} == {("number", 0), ("quote", 0)}
 
 
+def test_numbers_are_found_as_by_trying_each_place(spark):
+    """Numbers far apart, at every distance about 60, inside words, by signs of any script, at the start and the end."""
+    rng = random.Random(1)
+    odd = ["7", "1,234.5", "a1", "x_9", "\u00e92", "\U0001f600", "\u0663", "\n", "3.", ".4", '"', " "]
+    texts = ["", "x", "5", "b5", "5" * 200, "b" + "5" * 200 + " 6", " " * 500, *(" " * k + "1" + "y" * m for k in (59, 60, 61, 62, 119, 120, 121, 181) for m in (0, 60, 61))]
+    for _ in range(400):
+        texts.append("".join(rng.choice(odd) if rng.random() < p else rng.choice("ab \u00e9") for p in (0.02, 0.2) for _ in range(rng.randrange(300))))
+    notes = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(-1, None)], "path int, body string")
+    plain = notes.select("path", F.posexplode(F.slice(F.regexp_extract_all("body", F.lit(r"(?s)(.{0,60}\b\d[\d.,]*.{0,60})"), F.lit(1)), 1, 30)).alias("i", "text"))
+    want = sorted(map(tuple, plain.collect()))
+    assert sorted((r["path"], r["i"], r["text"]) for r in K.review_surface(notes).where("kind = 'number'").collect()) == want and len(want) > 400
+
+
+def test_long_texts_are_reviewed_in_one_pass(spark):
+    """Ten million characters without a number, which trying each place reads sixty times; a note is read once for both kinds."""
+    notes = spark.createDataFrame([(1, 10_000_000), (2, 10_000_000)], "path int, n int").select("path", F.concat(F.lit("1 "), F.repeat(F.when(F.col("path") == 1, "word ").otherwise("w9rd "), F.col("n") / 5), F.lit(" 2")).alias("body"))
+    found = K.review_surface(notes)
+    assert "Union" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert [len(r["text"]) for r in found.orderBy("path", "i").collect()] == [61, 61, 61, 61]
+
+
 def stream(spark, df, tmp_path):
     df.write.parquet(str(tmp_path / "in"))
     return spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
