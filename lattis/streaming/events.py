@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,28 +36,44 @@ def dedupe(events: DataFrame, key: str = "event_id", late: str = "1 hour") -> Da
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
 
+#: Keys share so many states: calls to the state store, and groups in Python, are as many at any number of keys.
+BUCKETS = 1024
+
+
 class LatestFact(StatefulProcessor):
-    """The newest fact of each key; an older one that arrives late changes nothing (STR5)."""
+    """The newest fact of each key of a bucket; an older one that arrives late changes nothing (STR5).
+
+    A bucket's state is its keys in order, with the time and the value of each, as bytes: 24 a key.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("latest", "ts timestamp, value double")
+        self.state = handle.getValueState("latest", "keys binary, us binary, vals binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        now = self.state.get() if self.state.exists() else None
-        replaced = 0
+        held = self.state.get() if self.state.exists() else (b"", b"", b"")
+        now = pd.DataFrame({c: np.frombuffer(bytes(b), t) for c, b, t in zip(("user", "us", "value"), held, ("<i8", "<i8", "<f8"))})
+        heard: list[pd.DataFrame] = []
         for pdf in rows:
-            for ts, value in zip(pdf["ts"], pdf["value"]):
-                if now is None or ts >= now[0]:
-                    replaced += now is not None
-                    now = (ts, value)
-        if now is not None:
-            self.state.update(now)
-            yield pd.DataFrame({"user_id": [key[0]], "ts": [now[0]], "value": [now[1]], "superseded": [replaced]})
+            both = pd.concat([now, pdf[["user", "us", "value"]].astype(now.dtypes)], ignore_index=True)
+            us = both.groupby("user")["us"]
+            # a fact that is as late as all before it, in the order of arrival, takes the place of one, if there was one
+            stands = both["us"] == us.cummax()
+            replaced = stands & (us.cumcount() > 0)
+            now = both[stands].drop_duplicates("user", keep="last").sort_values("user", ignore_index=True)
+            heard.append(replaced.groupby(both["user"]).sum()[np.unique(pdf["user"])])
+        if heard:
+            self.state.update(tuple(now[c].to_numpy(t).tobytes() for c, t in (("user", "<i8"), ("us", "<i8"), ("value", "<f8"))))
+            counts = pd.concat(heard).groupby(level=0).sum()
+            told = now[now["user"].isin(counts.index)]
+            yield told.assign(bucket=key[0], superseded=counts.to_numpy())[["bucket", "user", "us", "value", "superseded"]]
 
     def close(self) -> None:
         pass
 
 
 def latest_facts(events: DataFrame) -> DataFrame:
-    """A stream of each key's newest fact whenever it is heard of (STR5)."""
-    return events.groupBy("user_id").transformWithStateInPandas(LatestFact(), "user_id long, ts timestamp, value double, superseded long", "Update", "None")
+    """A stream of each key's newest fact whenever it is heard of (STR5); a fact without a time is none."""
+    bucket = F.when(F.col("user_id").isNotNull(), F.pmod(F.xxhash64("user_id"), F.lit(BUCKETS))).otherwise(-1)
+    rows = events.where("ts is not null").select(bucket.alias("bucket"), F.coalesce("user_id", F.lit(0)).cast("long").alias("user"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.col("value").cast("double").alias("value"))
+    told = rows.groupBy("bucket").transformWithStateInPandas(LatestFact(), "bucket long, user long, us long, value double, superseded long", "Update", "None")
+    return told.select(F.when(F.col("bucket") >= 0, F.col("user")).alias("user_id"), F.timestamp_micros("us").alias("ts"), "value", "superseded")

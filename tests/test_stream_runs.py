@@ -1,6 +1,7 @@
 """Streams that stop, fail and start again give what a batch gives."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -27,6 +28,32 @@ def test_latest_facts_keep_the_newest_over_restarts(spark):
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") != runs.STATE_STORE["spark.sql.streaming.stateStore.providerClass"]
 
 
+def test_latest_facts_equal_following_each_key(spark, monkeypatch):
+    """Many keys to a state, ties, a null key, large keys and values that are missing; groups and calls of the store are bounded by the states."""
+    rng = random.Random(3)
+    keys = [None, 0, 5, (1 << 60) + 1, (1 << 60) + 2, *range(100, 130)]
+    parts = [[(rng.choice(keys), rng.randrange(40), rng.choice([None, *map(float, range(9))])) for _ in range(200)] for _ in range(3)]
+    monkeypatch.setattr(E, "BUCKETS", 3)
+    told = runs.replay([facts(spark, p).coalesce(1) for p in parts], E.latest_facts, settings=runs.STATE_STORE)
+    now, want = {}, set()
+    for number, part in enumerate(parts):
+        replaced = {}
+        for user, minute, value in part:
+            replaced.setdefault(user, 0)
+            if user not in now or minute >= now[user][0]:
+                replaced[user] += user in now
+                now[user] = (minute, value)
+        want |= {(number, u, at(now[u][0]), now[u][1], n) for u, n in replaced.items()}
+    got = told.select("batch", "user_id", "ts", "value", "superseded").collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_latest_facts_keep_a_state_for_many_keys(spark, tmp_path):
+    facts(spark, [(1, 5, 1.0)]).write.parquet(str(tmp_path / "in"))
+    rows = spark.readStream.schema("user_id long, ts timestamp, value double").parquet(str(tmp_path / "in"))
+    assert "bucket" in E.latest_facts(rows)._jdf.queryExecution().analyzed().toString()
+
+
 def test_a_batch_that_fails_half_way_counts_once(spark):
     events = spark.range(300).select(F.col("id").alias("event_id"), (F.timestamp_seconds(F.col("id") * 600)).alias("ts"), F.when(F.col("id") % 7 == 0, "error").otherwise("view").alias("event_type"))
     run = runs.Run(spark, events.schema, E.tumbling)
