@@ -41,3 +41,14 @@ def running(df: DataFrame, order: Sequence[str | Column], value: str | Column, o
     met = both(F.col("_own"), F.col("_before"))
     joined = own.join(F.broadcast(before), "_task")  # a row a range
     return joined.withColumn(name, F.coalesce(met, "_own", "_before")).drop("_task", "_before", "_own", "_at", "_value")
+
+
+def summed_in_order(df: DataFrame, by: str, value: str, order: str, name: str) -> DataFrame:
+    """``(by, name)``: each group's sum of ``value``, added up from the first row to the last in ``order``.
+
+    A sum of doubles depends on the order of its terms, and partial sums meet
+    in any; this one is the same in every run. A window adds row by row, so
+    no group is held.
+    """
+    so_far = F.sum(value).over(Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return df.select(by, order, so_far.alias("_sum")).groupBy(by).agg(F.max_by("_sum", order).alias(name))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lattis.operators import ranks as R
 from lattis.operators import stats as T
+from lattis.operators.ordering import summed_in_order
 from lattis.operators.retrieval import hashed_topk
 from lattis.plans.registry import query
 from lattis.sources import graphs as S
@@ -298,8 +299,10 @@ def poisson_bootstrap(spark, sf_dir):
     SELECT id, p, round(least(1, min(p * m / k) OVER (ORDER BY k DESC)), 9) AS p_adjusted, least(1, min(p * m / k) OVER (ORDER BY k DESC)) <= 0.05 AS rejected FROM r""",
 )
 def bh_fdr(spark, sf_dir):
-    t = S.read(spark, sf_dir, "events").groupBy(F.col("user_id").alias("id")).agg(F.round(1 / (1 + F.round(F.sum("value"), 2) % 50), 9).alias("p"))
-    return T.benjamini_hochberg(t)
+    """Values are added up as they stand in the file, since the remainder jumps where the last bit of a sum does."""
+    e = S.read(spark, sf_dir, "events").select(F.col("user_id").alias("id"), "value", F.struct("_metadata.file_path", "_metadata.row_index").alias("at"))
+    sums = summed_in_order(e, "id", "value", "at", "total")
+    return T.benjamini_hochberg(sums.select("id", F.round(1 / (1 + F.col("total") % 50), 9).alias("p")))
 
 
 _binom = "CASE WHEN b + c = 0 THEN 1 ELSE least(1, 2 * list_sum(list_transform(range(0, least(b, c) + 1), lambda i: exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2))))) END"
