@@ -149,7 +149,7 @@ def infer_room(spark, sf_dir):
 )
 def match_target(spark, sf_dir):
     part = S.read(spark, sf_dir, "part")
-    text = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("what of "), F.upper("p_name"), F.lit(" then"))).otherwise(F.concat(F.get(F.split("p_name", " "), F.lit(1)), F.lit(" zzz")))
+    text = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("what of "), F.upper("p_name"), F.lit(" then"))).otherwise(F.concat(F.split_part("p_name", F.lit(" "), F.lit(2)), F.lit(" zzz")))
     return R.match_target(part.select(F.col("p_partkey").alias("qid"), text.alias("text")), part.select(F.col("p_name").alias("label")).distinct())
 
 
