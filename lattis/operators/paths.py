@@ -9,20 +9,20 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from lattis.operators.components import connected_components
+from lattis.operators.ordering import global_index
 from lattis.session import materialize
 
 #: What can be said of a pair.
 FOUND, APART, FURTHER = "found", "apart", "further"
 
 
-def undirected(edges: DataFrame) -> DataFrame:
-    """``(u, v)`` both ways, distinct, without loops or null ends."""
-    ends = edges.where("source_id <> target_id").select(F.col("source_id").alias("u"), F.col("target_id").alias("v"))
-    return ends.union(ends.select("v", "u")).distinct()
+def links(edges: DataFrame) -> DataFrame:
+    """``(u, v)`` once for each two nodes that an edge joins, the smaller first, without loops or null ends."""
+    return edges.where("source_id <> target_id").select(F.least("source_id", "target_id").alias("u"), F.greatest("source_id", "target_id").alias("v")).distinct()
 
 
 def _written(df: DataFrame, kind: str) -> tuple[DataFrame, int]:
@@ -48,18 +48,22 @@ class _Ball:
     def rim(self) -> DataFrame:
         return self.levels[-1]
 
-    def grow(self, roots: DataFrame) -> None:
-        """One step more around ``roots``. What a rim reaches is a level on, on the rim, or a level back."""
-        live = self.rim.join(roots, "root", "left_semi")
-        reached = live.join(self.steps, F.col("id") == F.col("u")).select("root", F.col("v").alias("id")).distinct()
+    def reached(self, roots: DataFrame | None) -> DataFrame:
+        """``(root, id)``, with repeats: a step from the rim, around ``roots`` or all. That is a level on, on the rim, or a level back."""
+        live = self.rim if roots is None else self.rim.join(roots, "root", "left_semi")
+        return live.join(self.steps, F.col("id") == F.col("u")).select("root", F.col("v").alias("id"))
+
+    def grow(self, roots: DataFrame | None) -> None:
+        """One step more: what is reached and not known, by one grouping of both."""
+        rows = self.reached(roots).withColumn("new", F.lit(True))
         for level in self.levels[-2:]:
-            reached = reached.join(level, ["root", "id"], "left_anti")
-        level, self.size = _written(reached, "rim")
+            rows = rows.unionAll(level.withColumn("new", F.lit(False)))
+        level, self.size = _written(rows.groupBy("root", "id").agg(F.min("new").alias("new")).where("new").select("root", "id"), "rim")
         self.levels.append(level)
 
-    def distances(self) -> DataFrame:
-        """``(root, id, d)`` within the radius."""
-        return reduce(DataFrame.unionAll, (x.withColumn("d", F.lit(d)) for d, x in enumerate(self.levels)))
+    def distances(self, roots: DataFrame) -> DataFrame:
+        """``(root, id, d)`` within the radius, around ``roots``."""
+        return reduce(DataFrame.unionAll, (x.withColumn("d", F.lit(d)) for d, x in enumerate(self.levels))).join(roots, "root", "left_semi")
 
 
 class Search:
@@ -68,40 +72,69 @@ class Search:
     ``longest`` bounds the hops, or is None for no bound. Pairs in different
     components, and pairs with a null or an end that no edge touches (unless
     the ends are equal), are apart: that is known before the search begins,
-    so a search without a bound ends. Repeated pairs count once.
+    so a search without a bound ends. Repeated pairs count once. ``placed``
+    is ``(node, component)`` of at least the nodes asked for that an edge
+    touches, where the caller knows a cheaper way to it than the edges.
+
+    The search is over numbers that are in the order of the nodes.
     """
 
-    def __init__(self, edges: DataFrame, pairs: DataFrame, longest: int | None = None):
-        self.steps = materialize(undirected(edges), "steps")
+    def __init__(self, edges: DataFrame, pairs: DataFrame, longest: int | None = None, placed: DataFrame | None = None):
+        named = materialize(links(edges), "links")
+        self.names = materialize(global_index(named.select(F.col("u").alias("node")).union(named.select("v")).distinct(), ["node"], "x"), "names")
+        number = lambda k: self.names.select(F.col("node").alias(k), F.col("x").alias(f"x_{k}"))
+        once = named.join(number("u"), "u").join(number("v"), "v").select(F.col("x_u").alias("u"), F.col("x_v").alias("v"))
+        self.steps = materialize(once.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("x")).select("x.*"), "steps")
         self.asked = materialize(pairs.select("a", "b").distinct(), "asked")
-        placed = materialize(connected_components(self.steps, "u", "v"), "components")
-        at = lambda k: placed.select(F.col("node").alias(k), F.col("component").alias(f"c_{k}"))
-        active, left = _written(self.asked.join(at("a"), "a").join(at("b"), "b").where("c_a = c_b and a <> b").select("a", "b"), "joined")
-        self.joined = active
+        ends = self.asked.where("a <> b").join(number("a"), "a").join(number("b"), "b")
+        if placed is None:
+            within = connected_components(self.steps.where("u < v"), "u", "v")
+            at = lambda k: within.select(F.col("node").alias(f"x_{k}"), F.col("component").alias(f"c_{k}"))
+            ends = ends.join(at("a"), "x_a").join(at("b"), "x_b")
+        else:
+            at = lambda k: placed.select(F.col("node").alias(k), F.col("component").alias(f"c_{k}"))
+            ends = ends.join(at("a"), "a").join(at("b"), "b")
+        #: The pairs that have a path, by name and number.
+        self.joined, left = _written(ends.where("c_a = c_b").select("a", "b", "x_a", "x_b"), "joined")
+        active, dealt = self.joined.select(F.col("x_a").alias("a"), F.col("x_b").alias("b")), left
         self.forth, self.back = _Ball(self.steps, self._ends(active, "a")), _Ball(self.steps, self._ends(active, "b"))
-        met = [self.asked.where("a = b").select("a", "b", F.col("a").alias("id"), F.lit(0).alias("da"), F.lit(0).alias("db"))]
+        met = [active.limit(0).select("a", "b", F.col("a").alias("id"), F.lit(0).alias("da"), F.lit(0).alias("db"))]
         while left and (longest is None or self.forth.radius + self.back.radius < longest):
-            side, key = (self.forth, "a") if self.forth.size <= self.back.size else (self.back, "b")
-            side.grow(self._ends(active, key))
-            rims = active.join(self.forth.rim.withColumnRenamed("root", "a"), "a").join(self.back.rim.withColumnRenamed("root", "b"), ["b", "id"])
-            now, n = _written(rims.select("a", "b", "id", F.lit(self.forth.radius).alias("da"), F.lit(self.back.radius).alias("db")), "met")
+            da, db = self.forth.radius, self.back.radius
+            side, other, key, far = (self.forth, self.back, "a", "b") if self.forth.size <= self.back.size else (self.back, self.forth, "b", "a")
+            da, db = (da + 1, db) if side is self.forth else (da, db + 1)
+            roots = self._ends(active, key) if left < 0.8 * dealt else None  # fewer would hardly spare work
+            if da + db == longest:  # nothing goes on from here: what would lie nearer has met before
+                own = side.reached(roots)
+            else:
+                side.grow(roots)
+                own = side.rim
+            rims = active.join(other.rim.withColumnRenamed("root", far), far).join(own.withColumnRenamed("root", key), [key, "id"])
+            now, n = _written(rims.select("a", "b", "id", F.lit(da).alias("da"), F.lit(db).alias("db")).distinct(), "met")
             if n:
                 met.append(now)
                 active, left = _written(active.join(now, ["a", "b"], "left_anti"), "active")
+            if da + db == longest:
+                break
         self.met = materialize(reduce(DataFrame.unionAll, met), "met")
 
     @staticmethod
     def _ends(pairs: DataFrame, key: str) -> DataFrame:
         return pairs.select(F.col(key).alias("root")).distinct()
 
+    def _told(self, known: DataFrame) -> DataFrame:
+        """``known`` (``x_a``, ``x_b``, ``hops`` and more) by name, with every asked pair and its ``status``."""
+        named = self.joined.join(known.withColumn("status", F.lit(FOUND)), ["x_a", "x_b"], "left").withColumn("status", F.coalesce("status", F.lit(FURTHER)))
+        same = lambda k: F.col(k).eqNullSafe(F.col(f"_{k}"))
+        named = named.drop("x_a", "x_b").withColumnsRenamed({"a": "_a", "b": "_b"})
+        told = self.asked.join(named, same("a") & same("b"), "left").drop("_a", "_b")
+        own = F.col("a") == F.col("b")
+        return told.withColumns({"hops": F.when(own, 0).otherwise(F.col("hops")), "status": F.when(own, FOUND).otherwise(F.coalesce("status", F.lit(APART)))})
+
     def hops(self) -> DataFrame:
         """``(a, b, hops, status)`` of every asked pair."""
-        known = self.met.groupBy("a", "b").agg(F.max(F.col("da") + F.col("db")).alias("hops"), F.lit(FOUND).alias("status"))
-        rest = self.joined.join(known, ["a", "b"], "left_anti").select("a", "b", F.lit(None).cast("int").alias("hops"), F.lit(FURTHER).alias("status"))
-        settled = known.unionByName(rest)
-        same = lambda k: F.col(k).eqNullSafe(F.col(f"_{k}"))
-        named = settled.select(F.col("a").alias("_a"), F.col("b").alias("_b"), "hops", "status")
-        return self.asked.join(named, same("a") & same("b"), "left").select("a", "b", "hops", F.coalesce("status", F.lit(APART)).alias("status"))
+        known = self.met.groupBy(F.col("a").alias("x_a"), F.col("b").alias("x_b")).agg(F.max(F.col("da") + F.col("db")).alias("hops"))
+        return self._told(known).select("a", "b", "hops", "status")
 
     def paths(self) -> DataFrame:
         """``(a, b, hops, status, path)``: the least of a pair's shortest paths, compared node by node, as an array.
@@ -109,41 +142,55 @@ class Search:
         Backwards from where the balls met, the nodes that lie on a shortest
         path are marked; then each path is walked from ``a``, to the
         smallest node that goes on. No row holds more than its own path.
+        Only balls around pairs that met are looked at, and the steps
+        within them.
         """
-        forth, back = materialize(self.forth.distances(), "forth"), materialize(self.back.distances(), "back")
+        forth = materialize(self.forth.distances(self._ends(self.met, "a")), "forth")
+        back = materialize(self.back.distances(self._ends(self.met, "b")), "back")
+        here = forth.select("id").union(back.select("id")).union(self.met.select("id")).distinct().join(self.names.select(F.col("x").alias("id"), "node"), "id")
+        here = materialize(here, "here")
+        steps = self.steps.join(here.select(F.col("id").alias("u")), "u", "left_semi").join(here.select(F.col("id").alias("v"), "node"), "v")
+        steps = materialize(steps.select("u", "v", "node"), "steps")
         mark = materialize(self.met.select("a", "b", "id", F.col("da").alias("t"), (F.col("da") + F.col("db")).alias("hops")), "marks")
         marks = [mark]
-        for _ in range(self.forth.radius):
-            nearer = mark.where("t > 0").join(self.steps, F.col("id") == F.col("u")).select("a", "b", F.col("v").alias("id"), (F.col("t") - 1).alias("t"), "hops").distinct()
+        for _ in range(self._farthest("da")):
+            nearer = mark.where("t > 0").join(steps, F.col("id") == F.col("u")).select("a", "b", F.col("v").alias("id"), (F.col("t") - 1).alias("t"), "hops").distinct()
             on = nearer.join(forth.select(F.col("root").alias("a"), "id", F.col("d").alias("t")), ["a", "id", "t"], "left_semi")
             mark = materialize(on.select("a", "b", "id", "t", "hops"), "marks")
             marks.append(mark)
         ways = materialize(reduce(DataFrame.unionAll, marks).distinct(), "ways")
         # beyond where they met, the distance to b tells what goes on
-        walk = materialize(self.met.groupBy("a", "b").agg(F.max(F.col("da") + F.col("db")).alias("hops"), F.max("da").alias("da")).select("*", F.col("a").alias("id"), F.array("a").alias("path")), "walk")
-        done = [walk.where("hops = 0")]
-        for t in range(1, self.forth.radius + self.back.radius + 1):
-            ahead = walk.where(F.col("hops") >= t).join(self.steps, F.col("id") == F.col("u")).withColumn("id", F.col("v")).drop("u", "v")
+        starts = self.met.groupBy("a", "b").agg(F.max(F.col("da") + F.col("db")).alias("hops"), F.max("da").alias("da")).join(here.withColumnRenamed("id", "a"), "a")
+        walk = materialize(starts.select("a", "b", "hops", "da", F.col("a").alias("id"), F.array("node").alias("path")), "walk")
+        done = []
+        for t in range(1, self._farthest(F.col("da") + F.col("db")) + 1):
+            ahead = walk.where(F.col("hops") >= t).join(steps, F.col("id") == F.col("u")).withColumn("id", F.col("v")).drop("u", "v")
             first = ahead.where(F.col("da") >= t).join(ways.where(F.col("t") == t).select("a", "b", "id"), ["a", "b", "id"], "left_semi")
             left = F.col("hops") - t
             last = ahead.where(F.col("da") < t).withColumn("d", left).join(back.withColumnRenamed("root", "b"), ["b", "id", "d"], "left_semi").drop("d")
-            step = first.unionByName(last).groupBy("a", "b").agg(F.min(F.struct("id", "hops", "da", "path")).alias("x"))
-            walk = materialize(step.select("a", "b", "x.hops", "x.da", "x.id", F.concat("x.path", F.array("x.id")).alias("path")), "walk")
+            step = first.unionByName(last).groupBy("a", "b").agg(F.min(F.struct("id", "node", "hops", "da", "path")).alias("x"))
+            walk = materialize(step.select("a", "b", "x.hops", "x.da", "x.id", F.concat("x.path", F.array("x.node")).alias("path")), "walk")
             done.append(walk.where(F.col("hops") == t))
-        found = reduce(DataFrame.unionByName, done).select(F.col("a").alias("_a"), F.col("b").alias("_b"), "path")
-        return self.hops().join(found, F.col("a").eqNullSafe(F.col("_a")) & F.col("b").eqNullSafe(F.col("_b")), "left").select("a", "b", "hops", "status", "path")
+        found = reduce(DataFrame.unionByName, done) if done else walk.limit(0)
+        told = self._told(found.select(F.col("a").alias("x_a"), F.col("b").alias("x_b"), "hops", "path"))
+        return told.select("a", "b", "hops", "status", F.when(F.col("a") == F.col("b"), F.array("a")).otherwise(F.col("path")).alias("path"))
+
+    def _farthest(self, what: Column | str) -> int:
+        """The most of ``what`` over the pairs that met, or 0."""
+        return self.met.agg(F.max(what).alias("n")).first()["n"] or 0
 
 
-def shortest_paths(edges: DataFrame, pairs: DataFrame, longest: int | None = None) -> DataFrame:
+def shortest_paths(edges: DataFrame, pairs: DataFrame, longest: int | None = None, placed: DataFrame | None = None) -> DataFrame:
     """``(a, b, hops, status, path)`` of each asked pair (TOP20).
 
     ``status`` is ``found``, ``apart`` (no path of any length) or
     ``further`` (a path, but of more than ``longest`` hops). ``path`` is the
     least of the shortest ones, from ``a`` to ``b``, both included. Edges are
     taken without direction; loops, repeats and null ends add nothing. A
-    node is at 0 hops from itself, an edge or none.
+    node is at 0 hops from itself, an edge or none. ``placed`` may give the
+    components (:class:`Search`).
     """
-    return Search(edges, pairs, longest).paths()
+    return Search(edges, pairs, longest, placed).paths()
 
 
 def between_waypoints(edges: DataFrame, waypoints: DataFrame, longest: int | None = None) -> DataFrame:

@@ -9,7 +9,9 @@ from lattis.operators import forests
 from lattis.operators import gaps as G
 from lattis.operators import paths as P
 from lattis.operators import topology as T
+from lattis.operators.components import connected_components
 from lattis.plans.registry import query
+from lattis.session import materialize
 from lattis.sources import graphs as S
 
 #: Components of the web graph, by reachability over distinct pairs.
@@ -144,6 +146,15 @@ def shortest_paths(spark, sf_dir):
     return T.shortest_paths(S.conversations(spark, sf_dir).edges, ends.union(apart), longest=6)
 
 
+def _chained(orders, key):
+    """``(node, component)`` of the orders ``(k, c, day)``: all of a customer's are in one chain, as are a day's, so customers and days are linked in place of orders."""
+    rows = orders.where("k is not null").select("k", *(F.concat(F.lit(c), F.coalesce(F.col(c).cast("string"), F.lit(""))).alias(c) for c in ("c", "day")))
+    each = materialize(rows.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi")), "orders")
+    repeated = rows.join(each.where("lo <> hi"), "k").select("c", "lo")  # a key of several customers
+    within = connected_components(rows.select("c", "day").union(repeated), "c", "day")
+    return each.join(within, F.col("lo") == F.col("node")).select(key("k").alias("node"), "component")
+
+
 def _paths_sql(steps: str, longest: int) -> str:
     """CTEs ``dist`` (by levels from each ``b`` of ``asked``) and ``found`` (walks from ``a`` to the least node that is nearer), over ``steps`` (u, v)."""
     parts = ["l0 AS MATERIALIZED (SELECT DISTINCT b AS root, b AS id FROM asked)"]
@@ -177,7 +188,7 @@ def paths(spark, sf_dir):
     key = lambda c: F.concat(F.lit("order:"), F.col(c).cast("string"))
     chain = lambda by: orders.withColumn("y", F.lag("k").over(Window.partitionBy(by).orderBy("k"))).where("y is not null").select(key("k").alias("source_id"), key("y").alias("target_id"))
     asked = orders.where("k % 100 = 0").select(key("k").alias("a"), F.concat(F.lit("order:"), (F.col("k") + 1).cast("string")).alias("b"))
-    return P.shortest_paths(chain("c").unionByName(chain("day")), asked, longest=10).withColumn("path", F.array_join("path", ">"))
+    return P.shortest_paths(chain("c").unionByName(chain("day")), asked, longest=10, placed=_chained(orders, key)).withColumn("path", F.array_join("path", ">"))
 
 
 @query(
