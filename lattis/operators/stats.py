@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import numpy as np
@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from lattis.operators.ordering import global_index, running
 from lattis.operators.ranks import share
-from lattis.session import cut_lineage
+from lattis.operators.twister import stream_from
+from lattis.session import cut_lineage, materialize
 
 
 def paired(a: DataFrame, b: DataFrame, key: str = "qid", x: str = "score") -> DataFrame:
@@ -50,26 +51,102 @@ def bootstrap_sums(diffs: np.ndarray, n: int, first: int, resamples: int, seed:
     return out
 
 
-def _resampled(diffs: DataFrame, by: Sequence[str], resamples: int, seed: int, most: int) -> DataFrame:
+def shared_sums(diffs: np.ndarray, n: int, first: int, resamples: int, seed: int, place: int, words: int | None, at: int, step: int = 1 << 21) -> np.ndarray:
+    """:func:`bootstrap_sums` of only those draws that ``words`` words of the stream give, from its ``place`` on, or all that are left; ``at`` draws come before.
+
+    A draw is the next word's lowest bits that are less than ``n``.
+    """
+    rng, out, end = stream_from(seed, place), np.zeros(resamples), resamples * n
+    held, left = np.append(diffs, 0.0), words
+    while at < end and left != 0:
+        drawn = rng.randint(0, 1 << 32, size=step if left is None else min(step, left), dtype=np.uint32)
+        left = None if left is None else left - len(drawn)
+        drawn &= np.uint32((1 << (n - 1).bit_length()) - 1)
+        drawn = drawn[drawn < n][: end - at]
+        if not len(drawn):
+            continue
+        if len(diffs) < n:
+            drawn = np.minimum((drawn.astype(np.int64) - first).view(np.uint64), len(diffs)).view(np.int64)
+        row = at // n
+        starts = np.append(0, np.arange((row + 1) * n, at + len(drawn), n) - at)
+        out[row : row + len(starts)] += np.add.reduceat(held[drawn], starts)
+        at += len(drawn)
+    return out
+
+
+def _accepted(n: int, seed: int, place: int, words: int, step: int = 1 << 21) -> int:
+    """How many draws of ``n`` those words of the stream give."""
+    rng, mask, found = stream_from(seed, place), np.uint32((1 << (n - 1).bit_length()) - 1), 0
+    for k in range(0, words, step):
+        found += int(np.count_nonzero((rng.randint(0, 1 << 32, size=min(step, words - k), dtype=np.uint32) & mask) < n))
+    return found
+
+
+#: The fewest words of a stream that are worth a task, and the most tasks among which a group's stream is dealt.
+WORDS, SHARES = 1 << 31, 32
+
+
+def _shares(n: int, resamples: int, words: int) -> list[tuple[int, int | None]]:
+    """``(place, words)`` of the tasks among which the stream of a group of ``n`` is dealt; the last takes what is left."""
+    whole = resamples << (n - 1).bit_length()
+    k = min(SHARES, whole // words) if 1 < n <= 1 << 32 else 1
+    each = whole // max(k, 1)
+    return [(i * each, each if i < k - 1 else None) for i in range(max(k, 1))]
+
+
+def _resampled(diffs: DataFrame, by: Sequence[str], resamples: int, seed: int, most: int, words: int = WORDS) -> DataFrame:
     """``(by..., n, total, block, sums)``: parts of ``most`` pairs of a group, in the order of ``ord``, and what each adds to the resamples' sums.
 
-    Every task draws its group's whole stream, but holds its own pairs only.
+    A task holds its own pairs only. Where a group's stream is long, it is
+    dealt among tasks: the draws that come before each are counted, by tasks
+    too, and then every task draws its share for one part.
     """
     placed = global_index(diffs.select(*by, "ord", "diff"), [*by, "ord"], "_i")
     groups = placed.groupBy(*(F.col(c).alias(f"_{c}") for c in by)).agg(F.min("_i").alias("_first"), F.count("*").alias("_n"))
     same = reduce(lambda a, c: a & F.col(c).eqNullSafe(F.col(f"_{c}")), by, F.lit(True))
     at = F.col("_i") - F.col("_first")
     dealt = placed.join(groups, same).select(*by, "diff", "_n", at.alias("_at"), F.expr(f"(_i - _first) div {most}").alias("_block"))
+    kinds = ", ".join(f"`{c}` {t}" for c, t in diffs.dtypes if c in by)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_at")
-        d = pdf["diff"].to_numpy(dtype=float)
-        sums = bootstrap_sums(d, int(pdf["_n"].iloc[0]), int(pdf["_at"].iloc[0]), resamples, seed)
-        row = {c: [pdf[c].iloc[0]] for c in by}
-        return pd.DataFrame(row | {"n": [pdf["_n"].iloc[0]], "total": [d.sum()], "block": [pdf["_block"].iloc[0]], "sums": [sums]})
-
-    kinds = ", ".join(f"`{c}` {t}" for c, t in diffs.dtypes if c in by)
-    return dealt.groupBy(*by, "_block").applyInPandas(run, f"{kinds}, n long, total double, block long, sums array<double>")
+        d, n, first = pdf["diff"].to_numpy(dtype=float), int(pdf["_n"].iloc[0]), int(pdf["_at"].iloc[0])
+        whole = len(_shares(n, resamples, words)) == 1
+        row = {c: [pdf[c].iloc[0]] for c in by} | {"n": [n], "total": [d.sum()], "block": [pdf["_block"].iloc[0]], "first": [first]}
+        return pd.DataFrame(row | {"sums": [bootstrap_sums(d, n, first, resamples, seed) if whole else None], "held": [None if whole else d.tobytes()]})
+
+    own = materialize(dealt.groupBy(*by, "_block").applyInPandas(run, f"{kinds}, n long, total double, block long, first long, sums array<double>, held binary"), "resamples")
+    done = own.where("held is null").select(*by, "n", "total", "block", "sums")
+    parts = {r["n"]: r["k"] for r in own.where("held is not null").groupBy("n").agg(F.count("*").alias("k")).collect()}  # sizes whose streams are dealt
+    if not parts:
+        return done
+    shares = [(n, i, place, left) for n in parts for i, (place, left) in enumerate(_shares(n, resamples, words))]
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            some = [shares[k] for k in pdf["id"]]
+            yield pd.DataFrame({"id": pdf["id"], "k": [0 if left is None else _accepted(n, seed, place, left) for n, _, place, left in some]})
+
+    spark = diffs.sparkSession
+    counts = {r["id"]: r["k"] for r in spark.range(0, len(shares), 1, len(shares)).mapInPandas(count, "id long, k long").collect()}
+    rows, before = [], 0
+    for k, (n, i, place, left) in enumerate(shares):
+        before = before + counts[k - 1] if i else 0
+        rows.append((n, i, place, left, before))
+    table = F.broadcast(spark.createDataFrame(rows, "n long, share long, place long, words long, before long"))
+    tasks = 4 * sum(k * len(_shares(n, resamples, words)) for n, k in parts.items())  # so that few get two
+    spread = own.where("held is not null").drop("sums").join(table, "n").repartition(tasks, *by, "block", "share")
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for k in range(len(pdf)):
+                r = pdf.iloc[[k]]
+                n, first, place, left, before = (r[c].iloc[0] for c in ("n", "first", "place", "words", "before"))
+                left = None if pd.isna(left) else int(left)
+                sums = shared_sums(np.frombuffer(r["held"].iloc[0]), int(n), int(first), resamples, seed, int(place), left, int(before))
+                yield r[[*by, "n", "block"]].assign(total=r["total"].where(r["share"] == 0, 0.0), sums=[sums])[[*by, "n", "total", "block", "sums"]]
+
+    return done.unionByName(spread.mapInPandas(draw, f"{kinds}, n long, total double, block long, sums array<double>"))
 
 
 def _means(pdf: pd.DataFrame) -> tuple[int, float, np.ndarray]:
@@ -85,7 +162,7 @@ def paired_bootstrap(diffs: DataFrame, by: Sequence[str], resamples: int = 10_00
     Percentile interval, linear; p is twice the share of resampled means on
     the other side of 0, at most 1. A task holds ``most`` pairs of a group,
     of which there may be any number; the stream of draws is the same however
-    a group is dealt. See :func:`poisson_bootstrap` for fewer draws.
+    a group or its stream is dealt. See :func:`poisson_bootstrap` for fewer draws.
     """
     tail = (1 - confidence) / 2 * 100
 
